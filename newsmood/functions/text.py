@@ -41,11 +41,6 @@ def join_terms(country: Column, subjects: list[str]) -> Column:
         TERM_SEPARATOR)
 
 
-def has_all_words(text: Column, term: Column) -> Column:
-    """Every space-separated word of ``term`` is contained in ``text``."""
-    return F.forall(F.split(term, " "), lambda w: F.contains(text, w))
-
-
 def with_scope_prefix(country: Column, international: Column) -> Column:
     return F.when(international, F.concat(F.lit("-"), country)).otherwise(country)
 

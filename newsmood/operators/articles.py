@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.constants import INTERNATIONAL, MAX_RECORDS, NATIONAL, SLOT_HOURS
-from newsmood.functions.text import has_all_words, is_english, translator_language
+from newsmood.functions.text import is_english, translator_language
 from newsmood.functions.timing import in_slot
-from newsmood.operators.dims import checked_terms, term_array
+from newsmood.operators.dims import checked_terms
 from newsmood.operators.domains import is_relevant
 from newsmood.operators.skew import SALTS, first_per_group, spread_join, top_n_per_group
 
@@ -22,16 +22,19 @@ def scope_of(source: Column, target: Column) -> Column:
     return F.when(source == target, NATIONAL).otherwise(INTERNATIONAL)
 
 
-def mentions_subject(text: Column, subjects: list[str]) -> Column:
-    """Some subject is contained in the lower-case text; the words of a subject all have to be."""
-    low = F.lower(text)
-    checks = F.lit(False)
-    for subject in checked_terms(subjects):
-        found = F.lit(True)
-        for word in subject.lower().split(" "):
-            found = found & F.contains(low, F.lit(word))
-        checks = checks | found
-    return checks
+def contains_term(low: Column, term: str) -> Column:
+    """Every space-separated word of the term is contained in the lower-case text."""
+    found = F.lit(True)
+    for word in term.lower().split():
+        found = found & F.contains(low, F.lit(word))
+    return found
+
+
+def contains_any(low: Column, terms: list[str]) -> Column:
+    found = F.lit(False)
+    for term in checked_terms(terms):
+        found = found | contains_term(low, term)
+    return found
 
 
 def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None,
@@ -39,15 +42,19 @@ def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str
     """(article, target country) pairs for the countries a text names, with the scope of each pair.
 
     ``country_terms`` maps a country to the term that names it. Only the countries found in a text are exploded,
-    so there is never a product of articles and countries. The subject test runs first and once per article.
+    so there is never a product of articles and countries.
     """
-    entries = F.array(*[F.struct(F.lit(c).alias("country"), F.lit(t.lower()).alias("term"))
-                        for c, t in country_terms.items()])
     checked_terms(list(country_terms))
-    low = F.lower(F.col(text))
-    named = F.transform(F.filter(entries, lambda e: has_all_words(low, e["term"])), lambda e: e["country"])
-    wanted = df if subjects is None else df.where(mentions_subject(F.col(text), subjects))
-    return (wanted.withColumn("target_country", F.explode(named))
+
+    def countries(low: Column) -> Column:
+        named = F.array_compact(F.array(*[
+            F.when(contains_term(low, term), country) for country, term in country_terms.items()]))
+        return named if subjects is None else F.when(contains_any(low, subjects), named)
+
+    # The one-element array binds the lower-case text, so it is made once and not for every term. The outer explode
+    # keeps Spark from evaluating the whole list a second time as an inferred filter.
+    found = F.flatten(F.transform(F.array(F.lower(text)), countries))
+    return (df.withColumn("target_country", F.explode_outer(found)).where(F.col("target_country").isNotNull())
             .withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
 
 
