@@ -77,14 +77,14 @@ def _equals(value: str):
 def unnest_scope(nested: DataFrame, scope: str, keep: list[str]) -> DataFrame:
     """One row per headline of a scope with both models' scores by position.
 
-    Zipped before the explode: a shorter score array pads with NULL, and no array is repeated per headline.
+    Zipped before the explode: a shorter score array pads with NULL, and no array is repeated per headline. A model
+    that is not there at all is an empty array, as zipping with NULL would lose the row.
     """
     suffix = "national" if scope == NATIONAL else "inter"
-    zipped = F.arrays_zip(
-        F.col(f"headline_{suffix}").alias("headline"),
-        subscript(F.col(f"sentiment_{suffix}"), 1).alias(MODELS[0]),
-        subscript(F.col(f"sentiment_{suffix}"), 2).alias(MODELS[1]))
-    return (nested.select(*keep, F.posexplode(zipped).alias("pos", "row"))
+    arrays = {"headline": F.col(f"headline_{suffix}"),
+              **{m: subscript(F.col(f"sentiment_{suffix}"), i) for i, m in enumerate(MODELS, 1)}}
+    rows = nested.select(*keep, *[F.coalesce(a, F.array()).alias(n) for n, a in arrays.items()])
+    return (rows.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "row"))
             .select(*keep, F.lit(scope).alias("scope"), F.col("pos").cast("bigint").alias("pos"), "row.*"))
 
 
