@@ -130,26 +130,24 @@ Translator = Callable[[str, list[str]], list]
 
 
 def translate_titles(df: DataFrame, translations: DataFrame | None = None, translator: Translator | None = None,
-                     language: str = "language", title: str = "title",
-                     english: str = "English") -> DataFrame:
+                     language: str = "language", title: str = "title", english: str = "English",
+                     by: list[str] | None = None, salts: int = 8) -> DataFrame:
     """English titles as they are, others translated, failures dropped; title and article stay one row.
 
     Either ``translations(language, title, title_en)`` with one row per title, or ``translator(language, titles)``
-    returning one translation or ``None``/``False`` per title.
+    returning one translation or ``None``/``False`` per title. With ``by`` (columns that tell copies of a title apart)
+    the join is salted, for titles that very many articles share.
     """
     if (translations is None) == (translator is None):
         raise ValueError("give either a translations table or a translator")
     if translator is not None:
         return _translate_batches(df, translator, language, title, english)
-    lookup = translations.select(F.col("language").alias("__lang"), F.col("title").alias("__title"), "title_en")
+    lookup = (translations.where(~is_english(F.col("language"), english))
+              .select(F.col("language").alias(language), F.col("title").alias(title), "title_en"))
+    joined = spread_join(df, lookup, [language, title], "left", by or [], salts if by else 1)
     native = is_english(F.col(language), english)
-    # English rows carry a NULL key: they cannot match and Spark spreads them instead of hashing a hot language.
-    keyed = (df.withColumn("__key", F.when(~native, F.col(title))))
-    joined = keyed.join(
-        lookup, (F.col("__key") == F.col("__title")) & (F.col(language) == F.col("__lang")), "left")
     return (joined.where(native | F.col("title_en").isNotNull())
-            .withColumn(title, F.when(native, F.col(title)).otherwise(F.col("title_en")))
-            .drop("__key", "__lang", "__title", "title_en"))
+            .withColumn(title, F.when(native, F.col(title)).otherwise(F.col("title_en"))).drop("title_en"))
 
 
 def _translate_batches(df: DataFrame, translator: Translator, language: str, title: str,

@@ -20,6 +20,26 @@ def test_stream_is_batch(spark, sf):
     assert Counter(a.collect()) == Counter(b.collect())
 
 
+def test_closed_slots_are_final(spark, sf, tmp_path):
+    schema = fx.table(spark, sf, "events").schema
+    rows = stream.with_watermark(fx.labelled_events(stream.read_stream(spark, sf, schema, "events.parquet")), "ts", "1 hour")
+    out = str(tmp_path / "closed")
+    stream.start_closed_counts(stream.slot_counts(rows, ["event_type"]), out, str(tmp_path / "cp")).awaitTermination()
+    closed = spark.read.parquet(out).select(F.date_format("slot", "yyyy-MM-dd-HH").alias("slot_key"), "event_type",
+                                            "negative", "neutral", "positive").collect()
+    everything = {tuple(r) for r in batch_slot_counts(spark, sf).collect()}
+    assert {tuple(r) for r in closed} <= everything and len(closed) == len({tuple(r)[:2] for r in closed})
+
+
+def test_positions_of_one_minute(spark):
+    from newsmood.plans.ingest import rank_titles
+    df = spark.range(500).select(
+        F.lit("X").alias("target_country"), F.lit(NATIONAL).alias("scope"), F.lit("2025-01-01").cast("timestamp_ntz").alias("slot"),
+        F.lit("2025-01-01 00:00:30").cast("timestamp_ntz").alias("seen"), F.concat(F.lit("u"), "id").alias("url"),
+        F.lit("t").alias("title"), F.lit("d").alias("domain"), F.lit("s").alias("source_country"))
+    assert sorted(r.pos for r in rank_titles(df).collect()) == list(range(500))
+
+
 def _landed(spark, tmp_path, sf):
     events = fx.labelled_events(fx.table(spark, sf, "events")).withColumn("day", F.to_date("ts"))
     path = str(tmp_path / "landed")
