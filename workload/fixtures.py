@@ -13,6 +13,7 @@ from newsmood.operators.articles import scope_pairs
 from newsmood.operators.labels import tally_labels
 from newsmood.operators.nested import to_nested
 from newsmood.operators.skew import positions
+from newsmood.sources.readers import spread_scan
 
 FIRST_SLOT = "2025-01-01 00:00:00"
 MIN_MENTIONS, MIN_WEIGHT = 40, 0.966
@@ -37,6 +38,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread_scan(table(spark, sf, "documents"))
+
+
 def slot_at(index: Column) -> Column:
     return F.timestamp_add("HOUR", (index * 4).cast("int"), ntz(FIRST_SLOT))
 
@@ -52,13 +57,15 @@ def codes(spark: SparkSession, sf: str) -> DataFrame:
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     suppliers = table(spark, sf, "supplier")
     n = suppliers.agg(F.count(F.lit(1)).alias("n")).scalar()
-    source = (suppliers.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-              .select("s_suppkey", F.col("s_name").alias("domain"), F.col("n_name").alias("source_country")))
-    docs = table(spark, sf, "documents").withColumn("s_suppkey", F.col("doc_id") % n)
+    docs = documents(spark, sf).withColumn("s_suppkey", F.col("doc_id") % n)
     slot = slot_at(F.col("doc_id") % 6)
-    return docs.join(source, "s_suppkey").select(
+    # One dimension after the other: each is then judged for a broadcast by its own file size.
+    placed = (docs.join(suppliers, "s_suppkey")
+              .join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")))
+    return placed.select(
         "doc_id", F.concat(F.lit("http://news.example/"), F.col("doc_id")).alias("url"),
-        F.col("text").alias("title"), F.col("lang").alias("language"), "domain", "source_country",
+        F.col("text").alias("title"), F.col("lang").alias("language"), F.col("s_name").alias("domain"),
+        F.col("n_name").alias("source_country"),
         slot.alias("slot"),
         F.timestamp_add("SECOND", (F.col("doc_id") % 14400).cast("int"), slot).alias("seen"))
 
@@ -201,7 +208,7 @@ def spoken_documents(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     for old, new in RULE_WORDS:
         text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
-    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return documents(spark, sf).select("doc_id", text.alias("text"))
 
 
 RULE_WORDS = [
@@ -212,7 +219,7 @@ RULE_WORDS = [
 
 def handle_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents with a handle before and a link after them."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", F.concat(F.lit("@"), F.col("source"), F.lit(" @ "), F.col("text"),
                            F.lit(" http://"), F.col("source"), F.lit(".example/"), F.col("doc_id")).alias("text"))
 

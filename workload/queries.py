@@ -11,7 +11,7 @@ from newsmood.operators import articles as art
 from newsmood.operators import dims, domains, labels, nested, outlets
 from newsmood.operators import lexicon as lex
 from newsmood.plans import reports
-from newsmood.sources.shared import fresh_path
+from newsmood.sources.shared import fresh_path, materialise
 from newsmood.sources.writers import batch_name
 from newsmood.streaming import slots as stream
 from workload import fixtures as fx
@@ -232,7 +232,9 @@ def _flagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def relevant_articles(spark: SparkSession, sf: str) -> DataFrame:
-    df = art.keep_relevant(_flagged(spark, sf), GROUP, by=["doc_id"])
+    # Read twice, by the fallback test and by the result, so it is written once, as the load does.
+    flagged = materialise(_flagged(spark, sf).select("doc_id", *GROUP, "relevant"), "flagged")
+    df = art.keep_relevant(flagged, GROUP, by=["doc_id"])
     return df.select("target_country", "scope", KEY(), "doc_id", "relevant")
 
 
@@ -385,11 +387,11 @@ def mask_handles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return lex.token_counts(fx.table(spark, sf, "documents"), "text")
+    return lex.token_counts(fx.documents(spark, sf), "text")
 
 
 def lexicon_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return lex.lexicon_sum(fx.table(spark, sf, "documents"), fx.lexicon(spark), "text", ["doc_id"])
+    return lex.lexicon_sum(fx.documents(spark, sf), fx.lexicon(spark), "text", ["doc_id"])
 
 
 def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
