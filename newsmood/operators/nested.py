@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.constants import INTERNATIONAL, LABELS, MODELS, NATIONAL
+from newsmood.constants import INTERNATIONAL, LABELS, MODELS, NATIONAL, SCOPES
 from newsmood.functions.arrays import length_or_null, subscript
 from newsmood.functions.sentiment import count_struct, label, model_label, polarity
 
@@ -74,25 +74,32 @@ def _equals(value: str):
     return lambda item: item == value
 
 
-def unnest_scope(nested: DataFrame, scope: str, keep: list[str]) -> DataFrame:
-    """One row per headline of a scope with both models' scores by position.
+def unnest(nested: DataFrame, keep: list[str], scopes: list[str] = SCOPES) -> DataFrame:
+    """One row per headline with both models' scores by position, for the given scopes in one pass.
 
     Zipped before the explode: a shorter score array pads with NULL, and no array is repeated per headline. A model
     that is not there at all is an empty array, as zipping with NULL would lose the row.
     """
-    suffix = "national" if scope == NATIONAL else "inter"
-    arrays = {"headline": F.col(f"headline_{suffix}"),
-              **{m: subscript(F.col(f"sentiment_{suffix}"), i) for i, m in enumerate(MODELS, 1)}}
-    rows = nested.select(*keep, *[F.coalesce(a, F.array()).alias(n) for n, a in arrays.items()])
-    return (rows.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "row"))
-            .select(*keep, F.lit(scope).alias("scope"), F.col("pos").cast("bigint").alias("pos"), "row.*"))
+    def lists(scope: str) -> Column:
+        suffix = "national" if scope == NATIONAL else "inter"
+        arrays = {"headline": F.col(f"headline_{suffix}"),
+                  **{m: subscript(F.col(f"sentiment_{suffix}"), i) for i, m in enumerate(MODELS, 1)}}
+        return F.struct(F.lit(scope).alias("scope"), *[F.coalesce(a, F.array()).alias(n) for n, a in arrays.items()])
+
+    per_scope = nested.select(*keep, F.explode(F.array(*[lists(s) for s in scopes])).alias("s")).select(*keep, "s.*")
+    return (per_scope.select(*keep, "scope", F.posexplode(F.arrays_zip("headline", *MODELS)).alias("pos", "row"))
+            .select(*keep, "scope", F.col("pos").cast("bigint").alias("pos"), "row.*"))
+
+
+def unnest_scope(nested: DataFrame, scope: str, keep: list[str]) -> DataFrame:
+    """``unnest`` of one scope."""
+    return unnest(nested, keep, [scope])
 
 
 def from_nested(nested: DataFrame, keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Nested rows -> long fact; the inverse of ``to_nested`` with the same chunk."""
     keys = keys or ["target_country", "slot"]
-    keep = [*keys, "part"]
-    wide = unnest_scope(nested, NATIONAL, keep).unionByName(unnest_scope(nested, INTERNATIONAL, keep))
+    wide = unnest(nested, [*keys, "part"])
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("scores")) for m in MODELS])
     return (wide.withColumn("pos", F.col("part") * F.lit(chunk).cast("bigint") + F.col("pos"))
             .select(*keys, "scope", "pos", "headline.*", F.explode(models).alias("m"))

@@ -1,8 +1,8 @@
 """The load: articles -> pairs -> dedup -> relevance -> translation -> staged titles -> scores -> counts.
 
-Two results are read more than once and are therefore written to the shared folder instead of being computed
-again: the flagged articles (read by the fallback and completeness tests) and the staged titles (read by the ranking
-and by each model).
+Results that are read more than once are written to the shared folder instead of being computed again: the flagged
+articles (read by the fallback and completeness tests), the staged titles (read twice by the ranking) and, if both
+models are given, the ranked titles.
 """
 
 from __future__ import annotations
@@ -94,7 +94,10 @@ def load(articles: DataFrame, country_terms: dict[str, str], codes: DataFrame, r
          translations: DataFrame | None = None, translator: Callable | None = None,
          subjects: list[str] | None = SUBJECTS, hours: int = SLOT_HOURS, cap: int | None = MAX_RECORDS,
          english: str = "English") -> DataFrame:
-    """Articles -> scored fact; the whole load with its two stored intermediate tables."""
+    """Articles -> scored fact; the whole load with its stored intermediate tables."""
     flagged = materialise(flag_articles(articles, country_terms, codes, relevant, subjects, hours, cap), "flagged")
     titles = materialise(select_titles(flagged, translations, translator, english), "titles")
-    return score_titles(rank_titles(titles), lexicon, make_scorer)
+    ranked = rank_titles(titles)
+    if lexicon is not None and make_scorer is not None:
+        ranked = materialise(ranked, "ranked")
+    return score_titles(ranked, lexicon, make_scorer)

@@ -151,3 +151,20 @@ def test_shared_folder_is_the_sessions(spark):
     assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = shared.materialise(spark.range(5), "five")
     assert df.count() == 5 and shared.shared_dir(spark) in df.inputFiles()[0]
+
+
+def test_only_small_scans_are_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(100).coalesce(1).write.parquet(one)
+    spark.range(100).repartition(3 * cores).write.parquet(many)
+
+    def shuffles(df):
+        return "RoundRobin" in df._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        few, lots = readers.spread_scan(spark.read.parquet(one)), readers.spread_scan(spark.read.parquet(many))
+        assert shuffles(few) and not shuffles(lots) and few.count() == lots.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
