@@ -1,8 +1,8 @@
 """The load: articles -> pairs -> dedup -> relevance -> translation -> staged titles -> scores -> counts.
 
 Results that are read more than once are written to the shared folder instead of being computed again: the flagged
-articles (read by the fallback and completeness tests), the staged titles (read twice by the ranking) and, if both
-models are given, the ranked titles.
+articles (read by the fallback and completeness tests), the staged titles (read twice by the ranking) and the ranked
+titles (read by each model).
 """
 
 from __future__ import annotations
@@ -74,7 +74,9 @@ def score_titles(titles: DataFrame, lexicon: DataFrame | None = None,
     scores = ["neg", "neu", "positive", "compound"]
     parts = []
     if lexicon is not None:
-        parts.append(lexicon_score(titles, lexicon, "title", TITLE_COLUMNS).withColumn("model", F.lit(LEXICON)))
+        # Scored by key and joined back: the title would otherwise travel along with each of its own words.
+        scored = lexicon_score(titles, lexicon, "title", HEADLINE_KEYS)
+        parts.append(titles.select(TITLE_COLUMNS).join(scored, HEADLINE_KEYS).withColumn("model", F.lit(LEXICON)))
     if make_scorer is not None:
         parts.append(classify(titles, make_scorer).withColumn("model", F.lit(CLASSIFIER)))
     if not parts:
@@ -98,6 +100,6 @@ def load(articles: DataFrame, country_terms: dict[str, str], codes: DataFrame, r
     flagged = materialise(flag_articles(articles, country_terms, codes, relevant, subjects, hours, cap), "flagged")
     titles = materialise(select_titles(flagged, translations, translator, english), "titles")
     ranked = rank_titles(titles)
-    if lexicon is not None and make_scorer is not None:
+    if lexicon is not None:
         ranked = materialise(ranked, "ranked")
     return score_titles(ranked, lexicon, make_scorer)
