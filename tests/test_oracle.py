@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as main
 from workload.check_oracle import connect, difference
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +14,13 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(main.queries()) == set(main.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(main.queries()) and set(ORACLE) <= set(main.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(main.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, sf, con, name):
-    assert difference(main.queries()[name](spark, sf), con, main.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, sf), con, ORACLE[name]) is None
 
 
 def test_entry(spark):
