@@ -5,18 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsmood.llm import bpe
+from newsmood.llm import bpe, exact_dedup, packing
 from newsmood.llm.common import table
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+
+
+def op1_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf, "documents"), keep="largest")
 
 
 def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_exact_dedup": """
+        WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                   'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, text_sha256
+        FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+}
