@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsmood.llm import bpe, exact_dedup, packing
+from newsmood.llm import bpe, exact_dedup, packing, url_filter
 from newsmood.llm.common import table
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -19,6 +20,19 @@ def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: Words in the host of the pages whose URLs make up the list.
+SPAM_HOST = r"(casino|bets|spam|pills)"
+
+
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The list is that of the pages on hosts with a spam word, whatever form their URLs have."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(SPAM_HOST)).select("url")
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -26,6 +40,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_url_filter": op4_url_filter,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -36,4 +51,27 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+    "op4_url_filter": r"""
+        WITH p AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                   ltrim(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1),
+                                        '(^|&)(utm_[^&=]*|ref)=[^&]*', '', 'g'), '&') AS query
+            FROM pages),
+        c AS (SELECT *, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN
+                  regexp_replace(host, '^www\.', '') || rtrim(path, '/')
+                  || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canon FROM p),
+        r AS (SELECT *, CASE
+                  WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%'
+                      THEN 'www.example.com/en/'
+                  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                  WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
+                  coalesce(canon IN (SELECT canon FROM c WHERE regexp_matches(host, '(casino|bets|spam|pills)')
+                                     AND canon IS NOT NULL), false) AS listed FROM c)
+        SELECT page_id, host, path, rule, CASE
+                   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                   WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r""",
 }
