@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import bpe, exact_dedup, packing, url_filter
+from newsmood.llm import bpe, exact_dedup, packing, token_scan, url_filter
 from newsmood.llm.common import table
+from newsmood.sources.shared import fresh_path
 
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -33,6 +34,18 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+END_OF_TEXT = 50256  # of both vocabulary files; fits 16 bits
+
+
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as flat files of 16-bit ids, then the lengths that the scan finds in them."""
+    path = fresh_path(spark, "tokens")
+    token_scan.write_flat(table(spark, sf, "documents"), path, public_tokenizers.path(VOCABULARY),
+                          public_tokenizers.PATTERN, END_OF_TEXT)
+    return (token_scan.document_lengths(spark, path, END_OF_TEXT)
+            .withColumn("file", F.regexp_replace("file", r"^.*/part-(\d+)-[^/]*\.c(\d+)\.[^/]*$", "$1.$2")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -41,6 +54,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_url_filter": op4_url_filter,
+    "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
