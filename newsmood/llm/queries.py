@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import bpe, exact_dedup, packing, token_scan, url_filter
+from newsmood.llm import bpe, exact_dedup, near_dedup, packing, token_scan, url_filter
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -34,6 +34,10 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 END_OF_TEXT = 50256  # of both vocabulary files; fits 16 bits
 
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_url_filter": op4_url_filter,
+    "op6_near_dedup": op6_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
