@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import bpe, exact_dedup, near_dedup, packing, token_scan, url_filter
+from newsmood.llm import bpe, exact_dedup, near_dedup, packing, secrets, token_scan, url_filter
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -21,6 +21,10 @@ def op2_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.summary(table(spark, sf, "documents"))
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Words in the host of the pages whose URLs make up the list.
@@ -57,6 +61,7 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_scan": op3_secret_scan,
     "op4_url_filter": op4_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op8_token_counts": op8_token_counts,
