@@ -31,19 +31,41 @@ SIZE = 2048
 GROUP = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_MEMO: dict[tuple[str, str], WordMemo] = {}
+JOINED = 256  # unseen words that go to the tokenizer as one text
 
 
-def word_ids(path: str, pattern: str) -> WordMemo:
-    """Ids by ``tokenizers`` of the vocabulary file; the strings of special tokens are ordinary text."""
-    if (path, pattern) not in _MEMO:
+class TokenizerMemo(WordMemo):
+    """Ids by ``tokenizers`` of a vocabulary file; the strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task for each core
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        _MEMO[path, pattern] = WordMemo(
-            pattern, lambda words: [packed_ids(x.ids) for x in own.encode_batch_fast(words, add_special_tokens=False)])
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
+        super().__init__(pattern, lambda matches: [
+            packed_ids(x.ids) for x in self.own.encode_batch_fast(matches, add_special_tokens=False)], most=800_000)
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Several words make one text again, which is cut where the tokens' offsets pass a word's end."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
+            found = self.own.encode(" " + " ".join(some), add_special_tokens=False)
+            ends = np.fromiter((end for _, end in found.offsets), np.int64, len(found))
+            cuts = np.searchsorted(ends, np.cumsum([len(w) + 1 for w in some]), side="right").tolist()
+            ids = packed_ids(found.ids)
+            out += [ids[4 * a:4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+
+_MEMO: dict[tuple[str, str], TokenizerMemo] = {}
+
+
+def word_ids(path: str, pattern: str) -> TokenizerMemo:
+    """One memo for each Python worker; workers serve many tasks."""
+    if (path, pattern) not in _MEMO:
+        _MEMO[path, pattern] = TokenizerMemo(path, pattern)
     return _MEMO[path, pattern]
 
 

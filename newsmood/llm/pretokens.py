@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-WORDS = 700_000  # entries a memo holds before it starts again: some 150 MB in each Python worker
+WORDS = 500_000  # entries that each table of a memo holds before it starts again: some 110 MB
 
 
 class WordMemo:
@@ -41,6 +41,15 @@ class WordMemo:
             rare = dict(zip(long, self.encode(long), strict=True))
         return [known[m] if m in known else rare[m] if m in rare else self.encode([m])[0] for m in matches]
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words that follow a space, which is theirs."""
+        split = [self.split(f" {w}") for w in words]
+        flat, out, at = self._of_matches([m for s in split for m in s]), [], 0
+        for s in split:
+            out.append(b"".join(flat[at:at + len(s)]))
+            at += len(s)
+        return out
+
     def packed(self, text: str) -> bytes:
         if not text:
             return b""
@@ -51,12 +60,7 @@ class WordMemo:
         out = [words.get(w) for w in rest]
         if None in out:
             new = list({w: None for w, ids in zip(rest, out, strict=True) if ids is None})
-            split = [self.split(f" {w}") for w in new]
-            flat = self._of_matches([m for s in split for m in s])
-            fresh, at = {}, 0
-            for w, s in zip(new, split, strict=True):
-                fresh[w] = b"".join(flat[at:at + len(s)])
-                at += len(s)
+            fresh = dict(zip(new, self._of_words(new), strict=True))
             out = [fresh[w] if ids is None else ids for w, ids in zip(rest, out, strict=True)]
             if len(words) + len(fresh) > self.most:
                 words.clear()
