@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text
+from newsmood.llm.common import free_name, id_and_text
 from newsmood.sources.shared import materialise
 
 ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -202,13 +202,36 @@ def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
 
 def summary(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    counts = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{kind}")
-              for r, kind in enumerate(KINDS[:3])]
+    def of_kind(rank: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [of_kind(rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS[:3])]
     return scan(docs, rate).select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                                    _joined(F.col("spans")).alias("spans"))
 
 
-def keep_clean(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id") -> DataFrame:
-    """The documents without any span, with the columns they came with. Ids are taken to be unique."""
-    found = scan(docs, rate).where(F.size("spans") > 0).select(F.col("doc_id").alias("__found"))
-    return docs.join(found, docs[id_col].cast("long") == F.col("__found"), "left_anti")
+def redact(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id", text_col: str = "text",
+           mark: str = "[SECRET]") -> DataFrame:
+    """The documents with each span, or run of overlapping spans, replaced by ``mark``. All other columns stay.
+
+    Ids are taken to be unique. A text without spans, a null one too, stays as it is.
+    """
+    key, at_spans = free_name(docs, "found_id"), free_name(docs, "found_spans")
+    found = (scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rate)
+             .where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(at_spans)))
+    kind = "array<struct<start:int,end:int>>"
+    merged = F.aggregate(F.array_sort(at_spans), F.array().cast(kind), lambda done, s: F.when(
+        (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
+        F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
+            F.element_at(done, -1)["start"].alias("start"),
+            F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(
+        F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
+    text, at = F.col(text_col), lambda i: F.element_at(at_spans, i)
+    # what stands before the first span, between two, and after the last
+    pieces = F.transform(F.sequence(F.lit(0), F.size(at_spans)), lambda i: F.substring(
+        text, F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]) + 1,
+        F.when(i == F.size(at_spans), F.length(text)).otherwise(at(F.least(i + 1, F.size(at_spans)))["start"])
+        - F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"])))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(key), "left").withColumn(at_spans, merged)
+    clean = F.when(F.col(at_spans).isNull(), text).otherwise(F.array_join(pieces, mark))
+    return joined.withColumn(text_col, clean).select(*docs.columns)
