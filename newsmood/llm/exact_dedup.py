@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches
+from newsmood.llm.common import id_and_text, map_batches, with_ids
 
 HELD = 192 << 20  # bytes of text that the trie of a task holds before it spills
 SEEN = 64 << 20  # bytes of text that a map task holds while it collapses its own copies
@@ -239,7 +239,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = HELD) ->
                     F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 
-def keep_one(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with. Ids are taken to be unique."""
-    kept = owners(docs, keep).select(F.col("keep_id").alias("__keep"))
-    return docs.join(kept, docs[id_col].cast("long") == F.col("__keep"), "left_semi")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_ids(docs, owners(named, keep).select("keep_id"), id_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches
+from newsmood.llm.common import id_and_text, map_batches, with_ids
 from newsmood.llm.components import components
 from newsmood.sources.shared import materialise
 
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, one of each component, with the columns they came with. Ids are taken to be unique."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__keep"))
-    return docs.join(kept, docs[id_col].cast("long") == F.col("__keep"), "left_semi")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_ids(docs, near_duplicates(named).where("NOT kept").select("doc_id"), id_col, "left_anti")
