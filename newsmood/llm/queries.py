@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import bpe, exact_dedup, near_dedup, packing, secrets, token_scan, url_filter
+from newsmood.llm import (bpe, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_scan, toxicity,
+                          url_filter)
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -38,10 +39,18 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"), "toxic", rest=2, parts=4)
+
+
 def op6_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"), "quality", rest=0, parts=5)
+
+
 END_OF_TEXT = 50256  # of both vocabulary files; fits 16 bits
 
 
@@ -54,6 +63,11 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
             .withColumn("file", F.regexp_replace("file", r"^.*/part-(\d+)-[^/]*\.c(\d+)\.[^/]*$", "$1.$2")))
 
 
+def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    good = neighbours.usable(table(spark, sf, "embeddings"))
+    return neighbours.search(good, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -63,8 +77,11 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
+    "op7_quality": op7_quality,
     "op8_token_counts": op8_token_counts,
+    "op9_nearest": op9_nearest,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
