@@ -18,7 +18,6 @@ WORLD = "World"
 LABEL_EDGE = 0.05
 SLOT_HOURS = 4
 BACKFILL_SLOTS = 58
-MAX_RECORDS = 250
 MIN_MENTIONS = 3_300_000
 MIN_WEIGHT = 0.76
 MIN_AUTHORITY = 60

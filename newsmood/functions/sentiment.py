@@ -1,4 +1,4 @@
-"""Column functions for scores, labels and label counts. All built-in expressions, so they stay in codegen."""
+"""Column functions for scores, labels and label counts. All built-in expressions; no Python at run time."""
 
 from __future__ import annotations
 
@@ -70,13 +70,10 @@ def net_score(neg: Column, neu: Column, pos: Column) -> Column:
 
 
 def softmax(scores: Column, digits: int = 4) -> Column:
-    """Softmax of an array of class scores, shifted by the maximum so that it cannot overflow."""
-    exps = F.transform(scores, lambda v: F.exp(v.cast("double") - F.array_max(scores).cast("double")))
-    # The one-element array binds the exponentials once for both the sum and the division.
-    return F.transform(
-        F.array(exps),
-        lambda es: F.transform(
-            es, lambda e: F.round(e / F.aggregate(es, F.lit(0.0), lambda a, b: a + b), digits)))[0]
+    """Softmax of an array of three class scores, shifted by the maximum so that it cannot overflow."""
+    values = [scores[i].cast("double") for i in range(3)]
+    exps = [F.exp(v - F.greatest(*values)) for v in values]
+    return F.array(*[F.round(e / (exps[0] + exps[1] + exps[2]), digits) for e in exps])
 
 
 def domain_weight(rank: Column) -> Column:

@@ -2,59 +2,71 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.constants import INTERNATIONAL, MAX_RECORDS, NATIONAL, SLOT_HOURS
+from newsmood.constants import INTERNATIONAL, NATIONAL, SLOT_HOURS
 from newsmood.functions.text import is_english, translator_language
 from newsmood.functions.timing import in_slot
-from newsmood.operators.dims import checked_terms
 from newsmood.operators.domains import is_relevant
 from newsmood.operators.skew import SALTS, first_per_group, spread_join, top_n_per_group
 
 GROUP = ["target_country", "scope", "slot"]
+WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
 def scope_of(source: Column, target: Column) -> Column:
     return F.when(source == target, NATIONAL).otherwise(INTERNATIONAL)
 
 
-def contains_term(low: Column, term: str) -> Column:
-    """Every space-separated word of the term is contained in the lower-case text."""
-    found = F.lit(True)
-    for word in term.lower().split():
-        found = found & F.contains(low, F.lit(word))
-    return found
+def title_words(text: Column) -> Column:
+    """The distinct words of a text in lower case: its runs of letters and digits."""
+    return F.array_distinct(F.split(F.lower(text), WORD_BREAK))
 
 
-def contains_any(low: Column, terms: list[str]) -> Column:
-    found = F.lit(False)
-    for term in checked_terms(terms):
-        found = found | contains_term(low, term)
-    return found
+def term_words(spark: SparkSession, terms: dict[str, str]) -> DataFrame:
+    """(name, word, n): the words of each name's term, and how many there are."""
+    rows = []
+    for name, term in terms.items():
+        words = sorted(set(re.findall(r"[^\W_]+", term.lower())))
+        rows += [(name, word, len(words)) for word in words]
+    return spark.createDataFrame(rows, "name string, word string, n int")
 
 
-def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None,
-                text: str = "title", source: str = "source_country") -> DataFrame:
-    """(article, target country) pairs for the countries a text names, with the scope of each pair.
+def matched_terms(df: DataFrame, terms: DataFrame, by: list[str], text: str = "title") -> DataFrame:
+    """(by, kind, name) of the terms all of whose words are among the words of the text.
 
-    ``country_terms`` maps a country to the term that names it. Only the countries found in a text are exploded,
-    so there is never a product of articles and countries.
+    ``terms``: kind, name, word, n. An equi join of words, each once per article, with the terms' words; a list of any
+    length is a table like any other, which Spark broadcasts on its size. What is found is counted per article.
     """
-    checked_terms(list(country_terms))
+    words = df.select(*by, F.explode(title_words(F.col(text))).alias("word"))
+    return (words.join(terms, "word").groupBy(*by, "kind", "name").agg(F.count(F.lit(1)).alias("found"), F.max("n").alias("n"))
+            .where(F.col("found") == F.col("n")).drop("found", "n"))
+
 
-    def countries(low: Column) -> Column:
-        named = F.array_compact(F.array(*[
-            F.when(contains_term(low, term), country) for country, term in country_terms.items()]))
-        return named if subjects is None else F.when(contains_any(low, subjects), named)
+def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None, by: list[str],
+                text: str = "title", source: str = "source_country") -> DataFrame:
+    """(article, target country) pairs for the countries a text names, with the scope of each pair.
 
-    # The one-element array binds the lower-case text, so it is made once and not for every term. The outer explode
-    # keeps Spark from evaluating the whole list a second time as an inferred filter.
-    found = F.flatten(F.transform(F.array(F.lower(text)), countries))
-    return (df.withColumn("target_country", F.explode_outer(found)).where(F.col("target_country").isNotNull())
+    ``country_terms`` maps a country to the term that names it; ``by`` are columns that identify an article. With
+    ``subjects`` a text must hold one of them as well; those it holds are in ``subjects``, in order. Only the countries
+    found are exploded, so there is never a product of articles and countries.
+    """
+    spark = df.sparkSession
+    terms = term_words(spark, country_terms).withColumn("kind", F.lit("country"))
+    if subjects is not None:
+        terms = terms.unionByName(term_words(spark, {x: x for x in subjects}).withColumn("kind", F.lit("subject")))
+    names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name"))))
+    found = matched_terms(df, terms, by, text).groupBy(*by).agg(
+        names("country").alias("__countries"), names("subject").alias("subjects"))
+    found = found.where(F.size("__countries") > 0)
+    if subjects is not None:
+        found = found.where(F.size("subjects") > 0)
+    return (df.join(found, by).withColumn("target_country", F.explode("__countries")).drop("__countries")
             .withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
 
 
@@ -63,13 +75,15 @@ def seen_in_slot(df: DataFrame, slot_end: Column, seen: str = "seen", hours: int
 
 
 def dedup_titles(df: DataFrame, keys: list[str], order: list[Column], title: str = "title") -> DataFrame:
-    """The first article of each title within the keys."""
-    return first_per_group(df, [*keys, title], order)
+    """The first article of each title within the keys. Titles are told apart by a digest of fixed width, so the
+    shuffle and the sorts do not carry the texts as keys."""
+    digest = df.withColumn("__digest", F.sha2(F.col(title), 256))
+    return first_per_group(digest, [*keys, "__digest"], order).drop("__digest")
 
 
-def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], by: list[str],
-                  n: int = MAX_RECORDS, salts: int = SALTS) -> DataFrame:
-    """At most ``n`` articles per group: the service's record limit, a top-n."""
+def cap_per_group(df: DataFrame, keys: list[str], order: list[Column], by: list[str], n: int,
+                  salts: int = SALTS) -> DataFrame:
+    """At most ``n`` articles per group, as one request to the service returns: a top-n."""
     return top_n_per_group(df, keys, order, n, by, salts)
 
 
@@ -110,6 +124,14 @@ def both_scopes(df: DataFrame, keys: list[str], scope: str = "scope") -> DataFra
             .where(F.col("__nat") & F.col("__int")).select(*keys))
 
 
+def scope_totals(df: DataFrame, keys: list[str], scope: str = "scope") -> DataFrame:
+    """Rows per key, of the keys that have rows in both scopes, in one map-side aggregate."""
+    return (df.groupBy(*keys)
+            .agg(F.bool_or(F.col(scope) == NATIONAL).alias("__nat"),
+                 F.bool_or(F.col(scope) == INTERNATIONAL).alias("__int"), F.count(F.lit(1)).alias("articles"))
+            .where(F.col("__nat") & F.col("__int")).drop("__nat", "__int"))
+
+
 def complete_only(df: DataFrame, keys: list[str], by: list[str], salts: int = SALTS) -> DataFrame:
     """Rows of keys that have both scopes."""
     return spread_join(df, both_scopes(df, keys), keys, "left_semi", by, salts)
@@ -135,19 +157,21 @@ def translate_titles(df: DataFrame, translations: DataFrame | None = None, trans
     """English titles as they are, others translated, failures dropped; title and article stay one row.
 
     Either ``translations(language, title, title_en)`` with one row per title, or ``translator(language, titles)``
-    returning one translation or ``None``/``False`` per title. With ``by`` (columns that tell copies of a title apart)
-    the join is salted, for titles that very many articles share.
+    returning one translation or ``None``/``False`` per title. The join is on a digest of the title, and with ``by``
+    (columns that tell copies of a title apart) salted, for titles that very many articles share.
     """
     if (translations is None) == (translator is None):
         raise ValueError("give either a translations table or a translator")
     if translator is not None:
         return _translate_batches(df, translator, language, title, english)
     lookup = (translations.where(~is_english(F.col("language"), english))
-              .select(F.col("language").alias(language), F.col("title").alias(title), "title_en"))
-    joined = spread_join(df, lookup, [language, title], "left", by or [], salts if by else 1)
+              .select(F.col("language").alias(language), F.sha2(F.col("title"), 256).alias("__digest"), "title_en"))
+    marked = df.withColumn("__digest", F.sha2(F.col(title), 256))
+    joined = spread_join(marked, lookup, [language, "__digest"], "left", by or [], salts if by else 1)
     native = is_english(F.col(language), english)
     return (joined.where(native | F.col("title_en").isNotNull())
-            .withColumn(title, F.when(native, F.col(title)).otherwise(F.col("title_en"))).drop("title_en"))
+            .withColumn(title, F.when(native, F.col(title)).otherwise(F.col("title_en")))
+            .drop("title_en", "__digest"))
 
 
 def _translate_batches(df: DataFrame, translator: Translator, language: str, title: str,

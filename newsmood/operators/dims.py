@@ -1,7 +1,4 @@
-"""Country, subject and alias dimensions.
-
-Bounded by nature (there are some 250 countries), and the bound is checked where one is put into an expression.
-"""
+"""Country, subject and alias dimensions: small tables, joined like any other."""
 
 from __future__ import annotations
 
@@ -10,21 +7,9 @@ from pyspark.sql import functions as F
 
 from newsmood.constants import ALIASES, SUBJECTS, TRACKED_COUNTRIES, WORLD
 
-MAX_TERMS = 2_000
-
-
-def checked_terms(terms: list[str]) -> list[str]:
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"{len(terms)} terms, at most {MAX_TERMS} can be matched as one array")
-    return terms
-
-
-def term_array(terms: list[str]) -> Column:
-    return F.array(*[F.lit(t) for t in checked_terms(terms)])
-
 
 def _column(spark: SparkSession, name: str, values: list[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(term_array(values)).alias(name))
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
 def country_dim(spark: SparkSession, countries: list[str] = TRACKED_COUNTRIES) -> DataFrame:
@@ -75,18 +60,14 @@ def with_alias(df: DataFrame, aliases: dict[str, str], name: str) -> DataFrame:
 
 
 def work_grid(slots: DataFrame, countries: list[str], subjects: list[str] | None = None) -> DataFrame:
-    """Every (slot, country[, subject]) to be loaded; the bounded lists are exploded per slot."""
-    grid = slots.withColumn("target_country", F.explode(term_array(countries)))
-    return grid if subjects is None else grid.withColumn("subject", F.explode(term_array(subjects)))
+    """Every (slot, country[, subject]) to be loaded."""
+    grid = work_grid_from(slots, _column(slots.sparkSession, "country", countries))
+    return grid if subjects is None else grid.join(_column(slots.sparkSession, "subject", subjects))
 
 
 def work_grid_from(slots: DataFrame, countries: DataFrame, name: str = "country") -> DataFrame:
-    """``work_grid`` for a country table: its distinct names become one checked array."""
-    names = countries.agg(F.sort_array(F.collect_set(name)).alias("names"))
-    checked = names.select(
-        F.when(F.size("names") <= MAX_TERMS, F.col("names"))
-        .otherwise(F.raise_error(F.lit("too many countries for one array")).cast("array<string>")))
-    return slots.withColumn("target_country", F.explode(checked.scalar()))
+    """``work_grid`` for a country table. The grid is the product of two dimensions, which is what is asked for."""
+    return slots.join(countries.select(F.col(name).alias("target_country")).distinct())
 
 
 def registered_codes(df: DataFrame, code: str = "country_code") -> DataFrame:

@@ -16,7 +16,7 @@ def collect_mentions(mentions: DataFrame) -> DataFrame:
     array is so bounded by the number of countries, whatever the input holds.
     """
     per_code = mentions.groupBy("domain", "code").agg(F.max("cnt").alias("count"))
-    entry = F.struct(F.col("code").alias("country_code"), F.col("count").cast("int").alias("count"))
+    entry = F.struct(F.col("code").alias("country_code"), F.col("count").cast("bigint").alias("count"))
     return per_code.groupBy("domain").agg(F.sort_array(F.collect_list(entry)).alias("country_mentions"))
 
 

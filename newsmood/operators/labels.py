@@ -22,12 +22,15 @@ def tally_labels(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 def label_counts(scored: DataFrame, day: Column | None = None, subject: str | None = None,
                  scope: str | None = None) -> DataFrame:
-    """Six counts, three labels for each of the two models, of one day and subject or of everything."""
+    """Six counts, three labels for each of the two models, of one day and subject or of everything.
+
+    ``scored`` is the fact, whose headlines carry all subjects they hold.
+    """
     rows = scored
     if day is not None:
         rows = rows.where(F.col("day") == day)
     if subject is not None:
-        rows = rows.where(F.col("subject") == subject)
+        rows = rows.where(F.array_contains("subjects", subject))
     if scope is not None:
         rows = rows.where(F.col("scope") == scope)
     lab = model_label(F.col("model"), F.col("neg"), F.col("positive"), F.col("compound"))

@@ -2,7 +2,8 @@
 
 A nested row holds arrays of headlines and ``[model][headline]`` scores of one (country, slot). A group may be far
 larger than a row should be, so it is cut into parts of at most ``chunk`` positions: ``part = pos div chunk``. A group
-within the chunk size is exactly one row.
+within the chunk size is exactly one row. A part carries the position of its first headline (``first_pos``), so nothing
+that is read from nested rows depends on the chunk.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from newsmood.constants import INTERNATIONAL, LABELS, MODELS, NATIONAL, SCOPES
 from newsmood.functions.arrays import length_or_null, subscript
 from newsmood.functions.sentiment import count_struct, label, model_label, polarity
+from newsmood.operators.skew import positions
 
 CHUNK = 1_000
+POSITIONS = 4_096  # headlines of a slot that are ranked together
 _HEADLINE = ["title", "domain", "source_country"]
 _SCORES = ["neg", "neu", "pos", "compound"]
 
@@ -52,12 +55,31 @@ def to_nested(scored: DataFrame, keys: list[str] | None = None, chunk: int = CHU
         return F.array(*[_count_labels(F.col(scope), m) for m in MODELS])
 
     return grouped.select(
-        *cell,
+        *cell, (F.col("part") * F.lit(chunk).cast("bigint")).alias("first_pos"),
         headlines(NATIONAL).alias("headline_national"), headlines(INTERNATIONAL).alias("headline_inter"),
         scores(NATIONAL).alias("sentiment_national"), scores(INTERNATIONAL).alias("sentiment_inter"),
         counts(NATIONAL).alias("senti_count_nat"), counts(INTERNATIONAL).alias("senti_count_int"))
 
 
+def to_daily(scored: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Long fact -> the daily form: nested rows per (country, day, subject, part), headlines as (title, domain).
+
+    A headline is in the row of each of its subjects. Positions count anew in the day, by slot and position in it.
+    """
+    keys = ["target_country", "on_day", "on_subject"]
+    order = F.struct("slot", "pos")
+    rows = (scored.withColumn("on_day", F.to_date("slot")).withColumn("on_subject", F.explode("subjects"))
+            .groupBy(*keys, "scope", "slot", "pos", *_HEADLINE)
+            .agg(F.collect_list(F.struct("model", "neg", "neu", "positive", "compound")).alias("s")))
+    placed = positions(rows, [*keys, "scope"], [order],
+                       F.struct("slot", F.floor(F.col("pos") / POSITIONS).alias("piece")), "day_pos")
+    long = (placed.withColumn("m", F.explode("s")).drop("pos", "slot", "s").withColumnRenamed("day_pos", "pos")
+            .select(*keys, "scope", "pos", *_HEADLINE, "m.*"))
+    short = lambda name: F.transform(name, lambda h: F.struct(h["title"].alias("title"), h["domain"].alias("domain")))
+    wide = to_nested(long, keys, chunk)
+    return wide.withColumns({c: short(c) for c in ("headline_national", "headline_inter")})
+
+
 def _count_labels(rows: Column, model: str) -> Column:
     """Label counts of one model inside a nested row; headlines the model has no score for are not counted."""
     scored = F.filter(rows, lambda r: r[model].isNotNull())
@@ -75,7 +97,7 @@ def _equals(value: str):
 
 
 def unnest(nested: DataFrame, keep: list[str], scopes: list[str] = SCOPES) -> DataFrame:
-    """One row per headline with both models' scores by position, for the given scopes in one pass.
+    """One row per headline with both models' scores by position in the group, for the given scopes in one pass.
 
     Zipped before the explode: a shorter score array pads with NULL, and no array is repeated per headline. A model
     that is not there at all is an empty array, as zipping with NULL would lose the row.
@@ -86,9 +108,11 @@ def unnest(nested: DataFrame, keep: list[str], scopes: list[str] = SCOPES) -> Da
                   **{m: subscript(F.col(f"sentiment_{suffix}"), i) for i, m in enumerate(MODELS, 1)}}
         return F.struct(F.lit(scope).alias("scope"), *[F.coalesce(a, F.array()).alias(n) for n, a in arrays.items()])
 
-    per_scope = nested.select(*keep, F.explode(F.array(*[lists(s) for s in scopes])).alias("s")).select(*keep, "s.*")
-    return (per_scope.select(*keep, "scope", F.posexplode(F.arrays_zip("headline", *MODELS)).alias("pos", "row"))
-            .select(*keep, "scope", F.col("pos").cast("bigint").alias("pos"), "row.*"))
+    per_scope = (nested.select(*keep, "first_pos", F.explode(F.array(*[lists(s) for s in scopes])).alias("s"))
+                 .select(*keep, "first_pos", "s.*"))
+    return (per_scope.select(*keep, "first_pos", "scope",
+                             F.posexplode(F.arrays_zip("headline", *MODELS)).alias("at", "row"))
+            .select(*keep, "scope", (F.col("first_pos") + F.col("at")).alias("pos"), "row.*"))
 
 
 def unnest_scope(nested: DataFrame, scope: str, keep: list[str]) -> DataFrame:
@@ -96,13 +120,12 @@ def unnest_scope(nested: DataFrame, scope: str, keep: list[str]) -> DataFrame:
     return unnest(nested, keep, [scope])
 
 
-def from_nested(nested: DataFrame, keys: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Nested rows -> long fact; the inverse of ``to_nested`` with the same chunk."""
+def from_nested(nested: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Nested rows -> long fact; the inverse of ``to_nested``, whatever its chunk was."""
     keys = keys or ["target_country", "slot"]
-    wide = unnest(nested, [*keys, "part"])
+    wide = unnest(nested, keys)
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("scores")) for m in MODELS])
-    return (wide.withColumn("pos", F.col("part") * F.lit(chunk).cast("bigint") + F.col("pos"))
-            .select(*keys, "scope", "pos", "headline.*", F.explode(models).alias("m"))
+    return (wide.select(*keys, "scope", "pos", "headline.*", F.explode(models).alias("m"))
             .where(F.col("m.scores").isNotNull())
             .select(*keys, "scope", "pos", *_HEADLINE, "m.model", "m.scores.neg", "m.scores.neu",
                     F.col("m.scores.pos").alias("positive"), "m.scores.compound"))

@@ -34,14 +34,6 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str, by: l
     return big.withColumn(SALT, salt(by, salts)).join(spread, [*on, SALT], how).drop(SALT)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint if the table has at most ``max_rows`` rows, which is counted; otherwise no hint.
-
-    For tables whose size Spark cannot know from files, such as ones made from Python values.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group.
 

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.constants import CLASSIFIER, LEXICON, MAX_RECORDS, SLOT_HOURS, SUBJECTS
+from newsmood.constants import CLASSIFIER, LEXICON, SLOT_HOURS, SUBJECTS
 from newsmood.functions.timing import slot_start
-from newsmood.operators.articles import (GROUP, both_scopes, cap_per_group, dedup_titles, keep_relevant,
-                                         scope_pairs, translate_titles, with_relevance)
+from newsmood.operators.articles import (GROUP, both_scopes, dedup_titles, keep_relevant, scope_pairs,
+                                         translate_titles, with_relevance)
 from newsmood.operators.dims import with_code
 from newsmood.operators.labels import tally_labels
 from newsmood.operators.lexicon import lexicon_score
@@ -24,20 +24,20 @@ from newsmood.operators.skew import positions, spread_join
 from newsmood.sources.shared import materialise
 
 HEADLINE_KEYS = ["target_country", "slot", "scope", "pos"]
-TITLE_COLUMNS = [*HEADLINE_KEYS, "title", "domain", "source_country"]
+TITLE_COLUMNS = [*HEADLINE_KEYS, "title", "domain", "source_country", "subjects"]
 COUNT_KEYS = ["target_country", "slot", "scope", "model"]
 
 
 def flag_articles(articles: DataFrame, country_terms: dict[str, str], codes: DataFrame, relevant: DataFrame,
-                  subjects: list[str] | None = SUBJECTS, hours: int = SLOT_HOURS,
-                  cap: int | None = MAX_RECORDS) -> DataFrame:
+                  subjects: list[str] | None = SUBJECTS, hours: int = SLOT_HOURS) -> DataFrame:
     """Articles(url, title, seen, domain, language, source_country) paired with the countries they name, in their
-    slot, capped and deduplicated per (country, scope, slot), with the relevance flag.
+    slot, deduplicated per (country, scope, slot), with the subjects they hold and the relevance flag.
+
+    Every article stays that some request for the group returns, however many there are. Of equal titles the one seen
+    first stays, then the smaller url: the order in which requests happen to be answered is not kept.
     """
-    pairs = (scope_pairs(articles, country_terms, subjects)
+    pairs = (scope_pairs(articles, country_terms, subjects, by=["url"])
              .withColumn("slot", slot_start(F.col("seen"), hours)))
-    if cap is not None:
-        pairs = cap_per_group(pairs, GROUP, [F.col("seen").desc(), F.col("url")], by=["url"], n=cap)
     unique = dedup_titles(pairs, GROUP, [F.col("seen"), F.col("url")])
     return with_relevance(with_code(unique, codes, "target_country", "target_code"), relevant, by=["url"])
 
@@ -86,18 +86,24 @@ def score_titles(titles: DataFrame, lexicon: DataFrame | None = None,
     return fact.withColumn("day", F.to_date("slot"))
 
 
-def count_labels(fact: DataFrame) -> DataFrame:
-    """The counts rollup of the fact."""
+def count_labels(fact: DataFrame, by_subject: bool = False) -> DataFrame:
+    """The counts rollup of the fact; by subject, a headline counts for each of its subjects."""
+    if by_subject:
+        return tally_labels(fact.withColumn("subject", F.explode("subjects")),
+                            [*COUNT_KEYS, "subject"]).withColumn("day", F.to_date("slot"))
     return tally_labels(fact, COUNT_KEYS).withColumn("day", F.to_date("slot"))
 
 
 def load(articles: DataFrame, country_terms: dict[str, str], codes: DataFrame, relevant: DataFrame,
          lexicon: DataFrame | None = None, make_scorer: Callable | None = None,
          translations: DataFrame | None = None, translator: Callable | None = None,
-         subjects: list[str] | None = SUBJECTS, hours: int = SLOT_HOURS, cap: int | None = MAX_RECORDS,
-         english: str = "English") -> DataFrame:
-    """Articles -> scored fact; the whole load with its stored intermediate tables."""
-    flagged = materialise(flag_articles(articles, country_terms, codes, relevant, subjects, hours, cap), "flagged")
+         subjects: list[str] | None = SUBJECTS, hours: int = SLOT_HOURS, english: str = "English") -> DataFrame:
+    """Articles -> scored fact; the whole load with its stored intermediate tables.
+
+    A lexicon scores English. Titles in other languages are scored as they are unless there are translations or a
+    translator. With ``hours=24`` slots are days, as the daily load has them.
+    """
+    flagged = materialise(flag_articles(articles, country_terms, codes, relevant, subjects, hours), "flagged")
     titles = materialise(select_titles(flagged, translations, translator, english), "titles")
     ranked = rank_titles(titles)
     if lexicon is not None:

@@ -72,13 +72,17 @@ def sum_struct_by(df: DataFrame, counts: str, keys: list[str], null_policy: str
     return df.groupBy(*keys).agg(sum_counts(F.col(counts), null_policy).alias(counts))
 
 
-def as_response(by_slot: DataFrame, codes: DataFrame) -> DataFrame:
-    """One JSON array per row: code, four composites, slot key, name. A country without a code is an error."""
+def as_response(cells: DataFrame, codes: DataFrame) -> DataFrame:
+    """One JSON array per row: code, four composites, slot key if counted by slot, name.
+
+    A country without a code is an error.
+    """
     from newsmood.operators.dims import with_code
-    coded = with_code(by_slot, codes, "target_country", "country_code", unknown="error")
+    coded = with_code(cells, codes, "target_country", "country_code", unknown="error")
+    slot = ["slot"] if "slot" in cells.columns else []
     texts = [format_composite(F.col(c)) for c in CELL_NAMES]
-    row = F.array(F.col("country_code"), *texts, hour_key(F.col("slot")), F.col("target_country"))
-    return coded.select("target_country", "slot", F.to_json(row).alias("response"))
+    row = F.array(F.col("country_code"), *texts, *[hour_key(F.col(c)) for c in slot], F.col("target_country"))
+    return coded.select("target_country", *slot, F.to_json(row).alias("response"))
 
 
 def in_mode(counts: DataFrame, mode: str) -> DataFrame:
@@ -119,5 +123,6 @@ def slot_map(by_slot: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("slots"))
 
 
-def rows_per(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(keys[0]).alias("rows"))
+def rows_per(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """Nested rows per key. A (country, slot) that is cut into parts is one row; every one has a part 0."""
+    return nested.where("part = 0").groupBy(*keys).agg(F.count(keys[0]).alias("rows"))

@@ -21,13 +21,13 @@ _S, _I, _L, _D, _F = StringType(), IntegerType(), LongType(), DoubleType(), Floa
 SENTIMENT = _struct(neg=_F, neu=_F, pos=_F, compound=_F)
 HEADLINE_DAILY = _struct(title=_S, domain=_S)
 HEADLINE = _struct(title=_S, domain=_S, source_country=_S)
-COUNT_SENTIMENT = _struct(negative=_I, neutral=_I, positive=_I)
-COUNTRY_MENTION = _struct(country_code=_S, count=_I)
+COUNT_SENTIMENT = _struct(negative=_L, neutral=_L, positive=_L)
+COUNTRY_MENTION = _struct(country_code=_S, count=_L)
 
 ARTICLE = _struct(url=_S, url_mobile=_S, title=_S, seendate=_S, socialimage=_S, domain=_S, language=_S,
                   sourcecountry=_S)
 ARTICLE_PAYLOAD = _struct(articles=ArrayType(ARTICLE))
-MENTION_COUNT = _struct(domain=_S, countrycode=_S, cnt=_I)
+MENTION_COUNT = _struct(domain=_S, countrycode=_S, cnt=_L)
 RANK = _struct(rank=_D, domain=_S)
 OUTLET = _struct(domain=_S, facebook_fol=_S, twitter_fol=_S, insta_fol=_S, freq_post=_S, domain_auth=_S)
 COUNTRY_CODE = _struct(name=_S, code=_S)
@@ -40,7 +40,7 @@ SCORED_PAYLOAD.add("is_hourly", "boolean")
 
 SCORED_HEADLINE = _struct(
     target_country=_S, slot=TimestampNTZType(), scope=_S, pos=_L, title=_S, domain=_S, source_country=_S,
-    model=_S, neg=_D, neu=_D, positive=_D, compound=_D, day=DateType())
+    subjects=ArrayType(_S), model=_S, neg=_D, neu=_D, positive=_D, compound=_D, day=DateType())
 SENTIMENT_COUNTS = _struct(
     target_country=_S, slot=TimestampNTZType(), scope=_S, model=_S, negative=_L, neutral=_L, positive=_L,
     day=DateType())
@@ -58,7 +58,7 @@ def _nested(time_name, time_type, headline, subject):
         ("sentiment_national", ArrayType(ArrayType(SENTIMENT))),
         ("sentiment_inter", ArrayType(ArrayType(SENTIMENT))),
         ("senti_count_nat", ArrayType(COUNT_SENTIMENT)), ("senti_count_int", ArrayType(COUNT_SENTIMENT)),
-        ("latest_processed", time_type), ("part", _I),
+        ("latest_processed", time_type), ("part", _I), ("first_pos", _L),
     ]
     return StructType([StructField(name, kind) for name, kind in fields])
 

@@ -11,22 +11,6 @@ from newsmood.functions.text import file_country_code
 JSON_TIMES = "yyyyMMdd'T'HHmmss'Z'"
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores is spread over the cores; any larger scan is left as it is.
-
-    For costly work per row on a few files whose row groups cannot be split. On a large table this adds nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if _filled_splits(df) < cores else df
-
-
-def _filled_splits(df: DataFrame) -> int:
-    """Splits of the scan, from the plan alone. A split without the middle of a row group yields no rows, so for few
-    files the files are what counts."""
-    splits = df.rdd.getNumPartitions()
-    return splits if splits > 1_000 else min(splits, max(len(df.inputFiles()), 1))
-
-
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Landed article payloads, one JSON object per line -> one row per article.
 
@@ -105,10 +89,13 @@ def read_table(spark: SparkSession, table: str, where: Column | None = None) ->
     return rows if where is None else rows.where(where)
 
 
-def read_staged(spark: SparkSession, path: str, country: str, slot_key: str) -> DataFrame:
-    """Staged titles of one country and slot. An empty result is an error, as a missing file is."""
+def read_staged(spark: SparkSession, path: str, country: str | None = None, slot_key: str | None = None) -> DataFrame:
+    """Staged titles, all or those of one country and slot, for which an empty result is an error, as a missing file is."""
     rows = spark.read.schema("query string, titles array<array<string>>, target_country string, slot_key string") \
-        .json(path).where((F.col("target_country") == country) & (F.col("slot_key") == slot_key))
+        .json(path)
+    if country is None:
+        return rows
+    rows = rows.where((F.col("target_country") == country) & (F.col("slot_key") == slot_key))
     if rows.isEmpty():
         raise FileNotFoundError(f"nothing staged for {country} at {slot_key}")
     return rows

@@ -23,23 +23,27 @@ def append(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
 
 
 def only_new(df: DataFrame, stored: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
-    """Rows whose key is not stored yet. ``by`` tells rows of one key apart when a key may be hot."""
+    """Rows whose key is not stored yet, each once. ``keys`` identify a row, so none of them is hot; where they do not,
+    ``by`` are the columns that tell rows of one key apart, and all rows of a new key stay."""
     known = stored.select(*keys).distinct()
     if by is None:
-        return df.join(known, keys, "left_anti")
+        return df.dropDuplicates(keys).join(known, keys, "left_anti")
     return spread_join(df, known, keys, "left_anti", by)
 
 
-def append_new(df: DataFrame, table: str, keys: list[str], by: list[str] | None = None,
-               stored_where: Column | None = None) -> None:
-    """Appends rows of keys that are not in the table yet; running it again adds nothing.
+def touched(df: DataFrame, stored: DataFrame, partition: str) -> DataFrame:
+    """The stored rows of the partitions that ``df`` has rows in: a batch touches few days, and only they are read."""
+    values = [r[0] for r in df.select(partition).distinct().collect()]
+    return stored.where(F.col(partition).isin([v for v in values if v is not None]))
 
-    ``stored_where`` limits what is read of the table to the partitions the rows can be in.
+
+def append_new(df: DataFrame, table: str, keys: list[str], partition: str = "day") -> None:
+    """Appends the rows that are not in the table yet by ``keys``, which identify a row; running it again adds nothing.
+
+    A headline is identified by (country, slot, scope, title, model); (country, slot) alone would leave out every
+    headline of a slot but those that came first.
     """
-    stored = df.sparkSession.table(table)
-    if stored_where is not None:
-        stored = stored.where(stored_where)
-    append(only_new(df, stored, keys, by), table)
+    append(only_new(df, touched(df, df.sparkSession.table(table), partition), keys), table)
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str = "day", mode: str = "append") -> None:

@@ -1,16 +1,20 @@
-"""The recurring load as Structured Streaming: slot counts, deduplication, idempotent append, backfill."""
+"""The recurring load as Structured Streaming: slot counts, deduplication, idempotent append, backfill.
+
+``start_closed_counts`` is the form for a load that never ends. Rows later than the watermark are left out by Spark and
+counted: ``late_rows``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from newsmood.constants import SLOT_HOURS
 from newsmood.functions.sentiment import tally
-from newsmood.functions.timing import from_instant, in_slot, to_instant
-from newsmood.sources.writers import only_new
+from newsmood.functions.timing import from_instant, slot_start, to_instant
+from newsmood.sources.writers import only_new, touched
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None,
@@ -42,10 +46,10 @@ def dedup_stream(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def start_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the complete counts in ``path``: each batch writes a new version ``v=<batch id>`` and readers take the
-    newest (``latest``), so a batch that is run again replaces only its own version."""
+    """Keeps the complete counts in ``path``, for totals over all slots: batches write to two folders in turn and readers
+    take the newer (``latest``), so there is always a whole version and never more than two."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id:012d}")
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/v={batch_id % 2}")
 
     return (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(write).start())
@@ -54,8 +58,7 @@ def start_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 def start_closed_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes each slot's counts once, when the watermark has passed it, to a day-partitioned table.
 
-    State and output stay as small as the open slots, so this is the form for a load that never ends; rows later than
-    the watermark are left out, as no late-data rule is defined.
+    State and output stay as small as the open slots.
     """
     return (counts.withColumn("day", F.to_date("slot")).writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -63,36 +66,43 @@ def start_closed_counts(counts: DataFrame, path: str, checkpoint: str) -> Stream
 
 
 def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest version of streamed counts; the version is a partition, so older ones are not read."""
-    versions = spark.read.schema(StructType(schema.fields).add("v", "string")).parquet(path)
-    newest = versions.agg(F.max("v").alias("v")).scalar()
-    return versions.where(F.col("v") == newest).drop("v")
+    """The newer of the two versions of streamed counts."""
+    versions = spark.read.schema(StructType(schema.fields).add("batch", IntegerType()).add("v", IntegerType())).parquet(path)
+    newest = versions.agg(F.max("batch").alias("batch")).scalar()
+    return versions.where(F.col("batch") == newest).drop("batch", "v")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, over the batches the query reports on."""
+    return sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
 
 
-def start_append(df: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str = "day",
-                 by: list[str] | None = None) -> StreamingQuery:
-    """Appends each batch to the stored table, leaving out keys that are there already.
+def start_append(df: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str = "day") -> StreamingQuery:
+    """Appends each batch to the stored table, leaving out rows that are there already by ``keys``.
 
-    A batch that was written before a failure and is run again therefore adds nothing.
+    ``keys`` identify a row, such as (country, slot, scope, title, model): a slot may come in any number of batches.
+    A batch that was written before a failure and is run again adds nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_missing(batch, path, keys, partition, by)
+        append_missing(batch, path, keys, partition)
 
     return (df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(write).start())
 
 
-def append_missing(batch: DataFrame, path: str, keys: list[str], partition: str = "day",
-                   by: list[str] | None = None) -> None:
+def append_missing(batch: DataFrame, path: str, keys: list[str], partition: str = "day") -> None:
+    """Appends the rows of a batch that the table does not hold by ``keys``; reads only the partitions it touches."""
     spark = batch.sparkSession
     # A table of this shape without rows is written first, so that the first batch can be compared with it too.
     batch.limit(0).write.mode("append").partitionBy(partition).parquet(path)
-    stored = spark.read.schema(batch.schema).parquet(path)
-    new = only_new(batch, stored, keys, by)
-    new.write.mode("append").partitionBy(partition).parquet(path)
+    stored = touched(batch, spark.read.schema(batch.schema).parquet(path), partition)
+    only_new(batch, stored, keys).write.mode("append").partitionBy(partition).parquet(path)
 
 
-def backfill(df: DataFrame, slot_ends: list, time: str, run) -> None:
-    """Runs the batch function once per slot, over that slot's rows only."""
-    for end in slot_ends:
-        run(df.where(in_slot(F.col(time), F.lit(str(end)).cast("timestamp_ntz"))))
+def backfill(df: DataFrame, slots: DataFrame, time: str, hours: int = SLOT_HOURS) -> DataFrame:
+    """The rows of many slots at once, with the start of theirs in ``slot``: one pass, however many slots there are.
+
+    ``slots`` has the starts in its column ``slot``.
+    """
+    wanted = slots.select("slot").distinct()
+    return df.withColumn("slot", slot_start(F.col(time), hours)).join(wanted, "slot", "left_semi")

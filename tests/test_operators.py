@@ -86,13 +86,6 @@ def test_positions(hot, width):
     assert {r.id: r.pos for r in got} == expected
 
 
-def test_broadcast_within(spark, hot):
-    _, df = hot
-    def hinted(d):
-        return "broadcast" in d._jdf.queryExecution().analyzed().toString().lower()
-    assert hinted(skew.broadcast_within(df, 3000)) and not hinted(skew.broadcast_within(df, 2999))
-
-
 def _articles(spark):
     rows = [
         (1, "India economy up", "a.in", "India", "English"), (2, "India economy up", "b.us", "US", "English"),
@@ -105,16 +98,34 @@ def _articles(spark):
 def test_scope_pairs(spark):
     terms = {"India": "India", "Niger": "Niger", "Nigeria": "Nigeria"}
     got = {(r.id, r.target_country, r.scope) for r in
-           art.scope_pairs(_articles(spark), terms, ["Economy", "Trade"]).collect()}
+           art.scope_pairs(_articles(spark), terms, ["Economy", "Trade"], by=["id"]).collect()}
     assert got == {(1, "India", NATIONAL), (2, "India", INTERNATIONAL), (3, "Niger", INTERNATIONAL),
                    (3, "Nigeria", NATIONAL), (5, "India", NATIONAL)}
-    unlimited = art.scope_pairs(_articles(spark), terms, None)
+    unlimited = art.scope_pairs(_articles(spark), terms, None, by=["id"])
     assert (6, "India") in {(r.id, r.target_country) for r in unlimited.collect()}
 
 
 def test_every_word_of_a_term_is_needed(spark):
     df = _articles(spark).where("id = 3")
-    assert art.scope_pairs(df, {"X": "niger trade", "Y": "niger economy"}, None).select("target_country").collect()[0][0] == "X"
+    pairs = art.scope_pairs(df, {"X": "niger trade", "Y": "niger economy"}, None, by=["id"])
+    assert [r.target_country for r in pairs.collect()] == ["X"]
+
+
+def test_terms_are_whole_words(spark):
+    df = spark.createDataFrame(
+        [(1, "Romania woman economy", "x"), (2, "Nigeria trade", "x"), (3, "Somalia-Mali energy", "x"),
+         (4, "OMAN: trade, economy", "x"), (5, None, "x"), (6, "", "x")], "id int, title string, source_country string")
+    terms = {c: c for c in ("Oman", "Romania", "Niger", "Nigeria", "Mali", "Somalia")}
+    got = art.scope_pairs(df, terms, ["Economy", "Trade", "Energy"], by=["id"]).collect()
+    assert {(r.id, r.target_country, tuple(r.subjects)) for r in got} == {
+        (1, "Romania", ("Economy",)), (2, "Nigeria", ("Trade",)), (3, "Somalia", ("Energy",)), (3, "Mali", ("Energy",)),
+        (4, "Oman", ("Economy", "Trade"))}
+
+
+def test_any_number_of_terms(spark):
+    df = spark.createDataFrame([(1, "w17 w4999", "x")], "id int, title string, source_country string")
+    got = art.scope_pairs(df, {f"C{i}": f"w{i}" for i in range(5_000)}, None, by=["id"]).collect()
+    assert {r.target_country for r in got} == {"C17", "C4999"}
 
 
 def test_domain_info(spark):
@@ -159,6 +170,7 @@ def test_relevance_with_fallback(spark):
 def test_complete_only_and_pending(spark):
     rows = spark.createDataFrame([(1, "A", NATIONAL), (2, "A", INTERNATIONAL), (3, "B", NATIONAL)],
                                  "id int, target_country string, scope string")
+    assert [tuple(r) for r in art.scope_totals(rows, ["target_country"]).collect()] == [("A", 2)]
     assert {r.id for r in art.complete_only(rows, ["target_country"], by=["id"]).collect()} == {1, 2}
     grid = spark.createDataFrame([("A",), ("B",), ("C",)], "target_country string")
     assert {r.target_country for r in art.pending(grid, rows, ["target_country"]).collect()} == {"C"}
@@ -207,20 +219,24 @@ def test_nested_round_trip(spark, chunk):
     scored = _scored(spark)
     wide = nested.to_nested(scored, chunk=chunk)
     assert (wide.count() == 2) == (chunk == 1_000)
-    back = nested.from_nested(wide, chunk=chunk)
+    back = nested.from_nested(wide)
     assert Counter(back.select(sorted(back.columns)).collect()) == Counter(scored.select(sorted(back.columns)).collect())
     six = labels.label_counts(scored, scope=NATIONAL).collect()[0].asDict()
     stored = wide.select(F.inline("senti_count_nat")).agg(F.sum("negative"), F.sum("neutral"), F.sum("positive")).collect()[0]
     assert sum(stored) == sum(six.values()) == scored.where(F.col("scope") == NATIONAL).count()
     total = nested.headline_total(wide).collect()[0].headline_amount
     lengths = nested.headline_lengths(wide, ["target_country"]).collect()
+    assert {r.rows for r in reports.rows_per(wide, ["target_country"]).collect()} == {1}
+    paired = nested.pair_models(wide, NATIONAL, ["target_country"]).select("target_country", "pos").collect()
+    assert len(set(paired)) == len(paired) == 50
     assert total == sum(r.head_nat for r in lengths) == 50
 
 
 def test_unnest_pads_shorter_arrays(spark):
     df = spark.sql("""SELECT array(named_struct('title', 'a', 'domain', 'd', 'source_country', 's'),
                                    named_struct('title', 'b', 'domain', 'd', 'source_country', 's')) AS headline_national,
-                      array(array(named_struct('neg', 0D, 'neu', 0D, 'pos', 1D, 'compound', 0.5D))) AS sentiment_national""")
+                      array(array(named_struct('neg', 0D, 'neu', 0D, 'pos', 1D, 'compound', 0.5D))) AS sentiment_national,
+                      0L AS first_pos""")
     rows = nested.unnest_scope(df, NATIONAL, []).orderBy("pos").collect()
     assert [r.lexicon and r.lexicon.compound for r in rows] == [0.5, None] and rows[0].classifier is None
     assert nested.scores_per_headline(df, NATIONAL, []).where("title = 'b'").collect()[0].classifier_polarity is None
@@ -262,7 +278,7 @@ def test_region_scores_and_net(spark):
 
 # Published example sentences of the model with the scores of its authors' word list.
 LEXICON_ROWS = [("smart", 1.7), ("handsome", 2.2), ("funny", 1.9), ("good", 1.9), ("great", 3.1),
-                ("uncompelling", -0.9), ("horrible", -2.5)]
+                ("uncompelling", -0.9), ("horrible", -2.5), ("kind", 2.4)]
 SENTENCES = [
     ("VADER is smart, handsome, and funny.", 0.0, 0.254, 0.746, 0.8316),
     ("VADER is smart, handsome, and funny!", 0.0, 0.248, 0.752, 0.8439),
@@ -276,6 +292,8 @@ SENTENCES = [
     ("nothing known here", 0.0, 1.0, 0.0, 0.0), ("", 0.0, 0.0, 0.0, 0.0), ("a", 0.0, 0.0, 0.0, 0.0),
     # By hand: (1.9 + 0.293) * 1.5 = 3.2895 for "so" and "never so"; 1.9 * -0.74 = -1.406 for "least".
     ("never so good", 0.0, 0.318, 0.682, 0.6474), ("least good", 0.706, 0.294, 0.0, -0.3412),
+    # "kind of" has no valence of its own and weakens: 1.9 - 0.293 = 1.607
+    ("it was kind of late", 0.0, 1.0, 0.0, 0.0), ("it was kind of good", 0.0, 0.605, 0.395, 0.3832),
 ]
 
 
@@ -287,6 +305,46 @@ def test_lexicon_sentences(spark):
     assert not wrong
 
 
+def test_idioms(spark):
+    lexicon = spark.createDataFrame([("hand", 2.2), ("bomb", -2.2), ("mustard", 0.5)], "token string, valence double")
+    df = spark.createDataFrame([(0, "this is really the bomb"), (1, "they lived hand to mouth here"), (2, "bomb"),
+                                (3, "we all cut the mustard")], "id int, text string")
+    idioms = {"the bomb": 3.0, "hand to mouth": -2.0, "cut the mustard": 2.0}
+    got = {r.id: r.compound for r in lexicon_score(df, lexicon, "text", ["id"], idioms).collect()}
+    expected = {0: 3.0, 1: 2.2, 2: -2.2, 3: 2.0}  # of the second, only two words come before: no phrase is looked for
+    assert got == {i: pytest.approx(round(v / np.sqrt(v * v + 15), 4)) for i, v in expected.items()}
+
+
+def test_lexicon_plan_needs_no_job_and_no_broadcast(spark):
+    lexicon = spark.createDataFrame(LEXICON_ROWS, "token string, valence double")
+    df = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SENTENCES)], "id int, text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lexicon-plan", "")
+    plan = lexicon_score(df, lexicon, "text", ["id"])
+    assert not tracker.getJobIdsForGroup("lexicon-plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.id: r.compound for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: s[4] for i, s in enumerate(SENTENCES)}
+
+
+def test_daily_form(spark):
+    scored = _scored(spark).withColumn("subjects", F.expr(
+        "IF(pos % 2 = 0, array('Economy', 'Trade'), array('Trade'))"))
+    daily = nested.to_daily(scored, chunk=7)
+    rows = nested.unnest(daily, ["target_country", "on_day", "on_subject"]).collect()
+    trade = [r for r in rows if r.on_subject == "Trade" and r.scope == NATIONAL and r.target_country == "C0"]
+    assert sorted(r.pos for r in trade) == list(range(25)) and set(trade[0].headline.asDict()) == {"title", "domain"}
+    assert sum(r.on_subject == "Economy" for r in rows) == sum(r["count"] for r in scored.where(
+        "array_contains(subjects, 'Economy') AND model = 'lexicon'").groupBy().count().collect())
+    six = labels.label_counts(scored, subject="Economy").collect()[0].asDict()
+    assert sum(six.values()) == scored.where("array_contains(subjects, 'Economy')").count()
+
+
 def test_classifier_hook(spark):
     def make():
         def score(titles):

@@ -36,7 +36,8 @@ def test_positions_of_one_minute(spark):
     df = spark.range(500).select(
         F.lit("X").alias("target_country"), F.lit(NATIONAL).alias("scope"), F.lit("2025-01-01").cast("timestamp_ntz").alias("slot"),
         F.lit("2025-01-01 00:00:30").cast("timestamp_ntz").alias("seen"), F.concat(F.lit("u"), "id").alias("url"),
-        F.lit("t").alias("title"), F.lit("d").alias("domain"), F.lit("s").alias("source_country"))
+        F.lit("t").alias("title"), F.lit("d").alias("domain"), F.lit("s").alias("source_country"),
+        F.array().cast("array<string>").alias("subjects"))
     assert sorted(r.pos for r in rank_titles(df).collect()) == list(range(500))
 
 
@@ -57,13 +58,50 @@ def test_append_again_adds_nothing(spark, sf, tmp_path):
     assert stored.count() == events.count() == stored.select("event_id").distinct().count()
 
 
+def test_a_slot_in_two_batches_and_a_rerun_keeps_every_row_once(spark, tmp_path):
+    """Rows are told apart by title; the slot is the same in both micro-batches, and both are run again."""
+    keys, path, out = ["target_country", "slot", "scope", "title"], str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame(
+        [("C", NATIONAL, "first", "2025-01-01"), ("C", NATIONAL, "second", "2025-01-01"),
+         ("C", NATIONAL, "first", "2025-01-01"), ("D", NATIONAL, "first", "2025-01-02")],
+        "target_country string, scope string, title string, t string").select(
+        "target_country", "scope", "title", F.col("t").cast("timestamp_ntz").alias("slot"), F.col("t").cast("date").alias("day"))
+    for title in ("first", "second"):
+        rows.where(F.col("title") == title).coalesce(1).write.mode("append").parquet(path)
+    for run in range(2):
+        source = stream.read_stream(spark, path, rows.schema, files_per_trigger=1)
+        stream.start_append(source, out, str(tmp_path / f"cp{run}"), keys).awaitTermination()
+    got = sorted((r.target_country, r.title) for r in spark.read.schema(rows.schema).parquet(out).collect())
+    assert got == [("C", "first"), ("C", "second"), ("D", "first")]
+
+
+def test_counts_keep_two_versions_and_late_rows_are_counted(spark, tmp_path):
+    import os
+
+    rows = spark.createDataFrame([("A", f"2025-01-0{d} 00:30:00") for d in (1, 3, 5, 2)], "label string, t string").select(
+        "label", F.col("t").cast("timestamp_ntz").alias("ts"))
+    path = str(tmp_path / "in")
+    for d in ("01", "03", "05", "02"):  # the last file is days late
+        rows.where(F.date_format("ts", "dd") == d).coalesce(1).write.mode("append").parquet(path)
+    source = stream.with_watermark(stream.read_stream(spark, path, rows.schema, files_per_trigger=1), "ts", "1 hour")
+    counts = stream.slot_counts(source, [])
+    query = stream.start_counts(counts, str(tmp_path / "t"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert sorted(x for x in os.listdir(tmp_path / "t") if x.startswith("v=")) == ["v=0", "v=1"]
+    assert stream.latest(spark, str(tmp_path / "t"), counts.schema).count() == 4
+    closed = stream.start_closed_counts(counts, str(tmp_path / "c"), str(tmp_path / "cp2"))
+    closed.awaitTermination()
+    assert stream.late_rows(closed) == 1
+
+
 def test_backfill_is_the_stream(spark, sf, tmp_path):
     events, _ = _landed(spark, tmp_path, sf)
     out = str(tmp_path / "filled")
     days = [r.d for r in events.select(F.date_trunc("day", "ts").cast("date").alias("d")).distinct().orderBy("d").limit(2).collect()]
-    ends = [f"{days[0]} 08:00:00", f"{days[0]} 12:00:00"]
+    slots = spark.createDataFrame([(f"{days[0]} 04:00:00",), (f"{days[0]} 08:00:00",)], "s string").select(
+        F.col("s").cast("timestamp_ntz").alias("slot"))
     for _ in range(2):
-        stream.backfill(events, ends, "ts", lambda rows: stream.append_missing(rows, out, ["event_id"]))
+        stream.append_missing(stream.backfill(events, slots, "ts").drop("slot"), out, ["event_id"])
     stored = spark.read.schema(events.schema).parquet(out)
     wanted = events.where(slot_start(F.col("ts")).cast("string").isin(f"{days[0]} 04:00:00", f"{days[0]} 08:00:00"))
     assert Counter(r.event_id for r in stored.collect()) == Counter(r.event_id for r in wanted.collect())
@@ -128,6 +166,21 @@ def test_load(spark):
         (NATIONAL, "00", 0, 0, 1), (INTERNATIONAL, "00", 1, 0, 1), (NATIONAL, "04", 0, 1, 0), (INTERNATIONAL, "04", 0, 0, 1)}
 
 
+def test_load_keeps_every_article_of_a_group(spark):
+    rows = [(f"u{i}", f"India economy story {i}", "2025-01-01 00:05:00", "a.in", "English", "India") for i in range(600)]
+    rows += [("x", "India economy abroad", "2025-01-01 00:06:00", "b.us", "English", "US")]
+    ARTICLES_BEFORE = list(ARTICLES)
+    try:
+        ARTICLES[:] = rows
+        fact = _load(spark)
+        assert fact.where(F.col("scope") == NATIONAL).select("title").distinct().count() == 600
+        assert fact.first().subjects == ["Economy"]
+        by_subject = ingest.count_labels(fact, by_subject=True).where(F.col("scope") == NATIONAL).collect()
+        assert [(r.subject, r.negative + r.neutral + r.positive) for r in by_subject] == [("Economy", 600)]
+    finally:
+        ARTICLES[:] = ARTICLES_BEFORE
+
+
 def test_load_with_both_models(spark):
     def make():
         return lambda titles: np.array([[0.0, 0.0, 3.0]] * len(titles))

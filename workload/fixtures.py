@@ -11,27 +11,28 @@ from newsmood.functions.timing import hour_key, ntz
 from newsmood.operators import domains as dom
 from newsmood.operators.articles import scope_pairs
 from newsmood.operators.labels import tally_labels
-from newsmood.operators.nested import to_nested
+from newsmood.operators.nested import CHUNK, to_nested
 from newsmood.operators.skew import positions
-from newsmood.sources.readers import spread_scan
 
 FIRST_SLOT = "2025-01-01 00:00:00"
 MIN_MENTIONS, MIN_WEIGHT = 40, 0.966
 ENGLISH = "en"
 
-# Parameters of the fixtures: the word that names each nation, subjects, and a small lexicon over frequent words.
+# Parameters of the fixtures: the words that name each nation, subjects, and a small lexicon over frequent words.
 NATION_TERMS = [
     "thble", "thtion", "thing", "attion", "erble", "ertion", "ering", "thanea", "eriner", "oning", "ontion",
     "thanedble", "antion", "retion", "onble", "reing", "aning", "heble", "nicht", "ining", "anble", "inble",
-    "reble", "ément", "étion",
+    "reble", "thon thth", "than erin",
 ]
 COUNTRY_TERMS = {f"NATION_{i}": term for i, term in enumerate(NATION_TERMS)}
-SUBJECTS = ["tion and", "nicht", "ment la", "que"]
+SUBJECTS = ["that from", "nicht", "la", "que"]
+HEADLINE_SUBJECTS = ["Climate", "Economy", "Trade"]
 LEXICON_WORDS = [
     ("the", 0.4), ("that", -0.6), ("to", 1.3), ("is", -1.7), ("it", 2.1), ("der", 0.9), ("die", -1.1),
     ("und", 1.6), ("nicht", -2.2), ("de", 0.7), ("la", 1.2), ("le", -0.8), ("et", 1.9), ("es", -1.4),
-    ("el", 0.5), ("les", -2.6),
+    ("el", 0.5), ("les", -2.6), ("kind", 2.4),
 ]
+IDIOMS = {"de la": 3.0, "not the": -1.5, "la que": 1.1, "hardly so the": 2.5, "it VERY": -0.5}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_scan(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def slot_at(index: Column) -> Column:
@@ -72,7 +73,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str, subjects: list[str] | None = None) -> DataFrame:
     """(article, target) pairs with scope and the target's code."""
-    rows = scope_pairs(articles(spark, sf), COUNTRY_TERMS, subjects)
+    rows = scope_pairs(articles(spark, sf), COUNTRY_TERMS, subjects, by=["doc_id"])
     return (rows.join(codes(spark, sf).select(F.col("name").alias("target_country"),
                                               F.col("code").alias("target_code")), "target_country"))
 
@@ -88,10 +89,9 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranks(mentioned: DataFrame) -> DataFrame:
-    """The five most mentioned domains of each country."""
+    """The domains of each country by their mentions."""
     place = F.row_number().over(Window.partitionBy("code").orderBy(F.col("cnt").desc(), "domain"))
-    return (mentioned.withColumn("rank", place).where(F.col("rank") <= 5)
-            .select("domain", "code", F.col("rank").cast("double").alias("rank")))
+    return mentioned.select("domain", "code", place.cast("double").alias("rank"))
 
 
 def authority(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,17 +115,23 @@ def relevant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per headline: class scores out of embedding elements 1-3, a lexicon score out of 4 and 5."""
-    e = F.col("embedding")
-    compound = F.round(F.tanh((e[3].cast("double") - e[4].cast("double")) * 10.0), 4)
-    raw = F.transform(F.slice(e, 1, 3), lambda v: v.cast("double") * F.lit(10.0))
+    """One row per headline, out of the whole vector: every third element adds to a class, every second to the sign of
+    the lexicon score, and a headline has the subjects whose third is positive."""
+    def folded(of: int, rest: int) -> Column:
+        part = F.filter("embedding", lambda _, i: i % of == rest)
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    thirds = [folded(3, r) for r in range(3)]
+    compound = F.round(F.tanh(folded(2, 0) - folded(2, 1)), 4)
+    raw = F.array(*[t * F.lit(2.0) for t in thirds])
+    subjects = F.array_compact(F.array(*[F.when(t > 0, s) for t, s in zip(thirds, HEADLINE_SUBJECTS, strict=True)]))
     base = table(spark, sf, "embeddings").select(
         "vec_id", F.concat(F.lit("NATION_"), F.col("label")).alias("target_country"),
         slot_at(F.col("vec_id") % 6).alias("slot"),
         F.when(F.floor(F.col("vec_id") / 6) % 2 == 0, NATIONAL).otherwise(INTERNATIONAL).alias("scope"),
         F.concat(F.lit("headline "), F.col("vec_id")).alias("title"),
         F.concat(F.lit("site"), F.col("vec_id") % 7).alias("domain"),
-        F.concat(F.lit("NATION_"), F.col("label")).alias("source_country"),
+        F.concat(F.lit("NATION_"), F.col("label")).alias("source_country"), subjects.alias("subjects"),
         softmax(raw).alias("p"), compound.alias("c"))
     c = F.col("c")
     pos, neg = F.greatest(c, F.lit(0.0)), F.greatest(-c, F.lit(0.0))
@@ -134,7 +140,7 @@ def wide_scores(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p")
     classifier = F.struct(p[0].alias("neg"), p[1].alias("neu"), p[2].alias("pos"),
                           class_compound(p[0], p[1], p[2]).alias("compound"))
-    return base.select("vec_id", "target_country", "slot", "scope", "title", "domain", "source_country",
+    return base.select("vec_id", "target_country", "slot", "scope", "title", "domain", "source_country", "subjects",
                        lexicon.alias(LEXICON), classifier.alias(CLASSIFIER))
 
 
@@ -160,18 +166,19 @@ def counts(spark: SparkSession, sf: str) -> DataFrame:
     return tally_labels(scores(spark, sf), ["target_country", "slot", "scope", "model"])
 
 
-def nested(spark: SparkSession, sf: str) -> DataFrame:
-    return to_nested(placed_scores(spark, sf))
+def nested(spark: SparkSession, sf: str, chunk: int = CHUNK) -> DataFrame:
+    return to_nested(placed_scores(spark, sf), chunk=chunk)
 
 
-def nested_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+def nested_with_gaps(spark: SparkSession, sf: str, chunk: int = CHUNK) -> DataFrame:
     """Nested rows, plus a row with empty arrays for every nation that has no headlines."""
-    full = nested(spark, sf)
+    full = nested(spark, sf, chunk)
     silent = (table(spark, sf, "nation").select(F.col("n_name").alias("target_country"))
               .join(wide_scores(spark, sf).select("target_country").distinct(), "target_country", "left_anti"))
     empty = silent.select(
         "target_country", ntz(FIRST_SLOT).alias("slot"), F.lit(0).alias("part"),
-        *[F.array().cast(full.schema[c].dataType).alias(c) for c in full.columns[3:]])
+        F.lit(0).cast("bigint").alias("first_pos"),
+        *[F.array().cast(full.schema[c].dataType).alias(c) for c in full.columns[4:]])
     return full.unionByName(empty)
 
 
@@ -214,6 +221,7 @@ def spoken_documents(spark: SparkSession, sf: str) -> DataFrame:
 RULE_WORDS = [
     ("of", "very"), ("and", "not"), ("in", "hardly"), ("no", "but"), ("thble", "never"), ("thtion", "so"),
     ("thing", "least"), ("to", "TO"), ("on", "VERY"), ("ist", "isn't"), ("los", "at"),
+    ("that", "kind of"), ("by", "sort of"),
 ]
 
 
@@ -229,16 +237,20 @@ def host_of(url: str) -> Column:
 
 
 def outlet_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """A directory page per crawled page: a record of its host, one of its site, a short one, the end, and one more."""
+    """Each crawled page whole, with a record of its host before every paragraph and one of its site behind, then a
+    denied one, a blank one, the end, and one more."""
     host, size = host_of("url"), F.length("html")
-    text = F.concat(
-        F.lit("Top news\nMedia Outlet "), host, F.lit(" Facebook Followers "), size.cast("string"),
+    opening = F.concat(
+        F.lit(" Media Outlet "), host, F.lit(" Facebook Followers "), size.cast("string"),
         F.lit("KTwitter\nTwitter Followers "), F.col("page_id").cast("string"),
         F.lit("MInstagram Instagram Followers 7K Frequency "), (size % 30).cast("string"),
-        F.lit(" posts/day Domain Authority "), (size % 100).cast("string"),
-        F.lit(" Media Outlet www."), host, F.lit(" Facebook Followers 12M Frequency 1 post/week Domain Authority "),
-        ((size + F.col("page_id")) % 100).cast("string"),
-        F.lit(" Since Media Outlet bbc.com Domain Authority 95 Media Outlet blank.example nothing here"),
+        F.lit(" posts/day Domain Authority "), (size % 100).cast("string"), F.lit(" <p>"))
+    closing = F.concat(
+        F.lit("</p> Media Outlet www."), host, F.lit(" Facebook Followers 12M Frequency 1 post/week Domain Authority "),
+        ((size + F.col("page_id")) % 100).cast("string"), F.lit(" "))
+    marked = F.replace(F.replace(F.col("html"), F.lit("</p>"), closing), F.lit("<p>"), opening)
+    text = F.concat(
+        marked, F.lit(" Media Outlet bbc.com Domain Authority 95 Media Outlet blank.example nothing here"),
         F.lit(" Media Outlet Contact us Media Outlet late.example Domain Authority 99 "))
     return table(spark, sf, "pages").select("page_id", text.alias("text"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsmood.constants import BOOSTERS_DOWN, BOOSTERS_UP, NEGATIONS, PUNCTUATION
-from workload.fixtures import COUNTRY_TERMS, LEXICON_WORDS, RULE_WORDS, SUBJECTS
+from workload.fixtures import COUNTRY_TERMS, HEADLINE_SUBJECTS, IDIOMS, LEXICON_WORDS, RULE_WORDS, SUBJECTS
 
 
 def _q(text: str) -> str:
@@ -31,11 +31,21 @@ _VIEWS = {
         FROM documents d
         JOIN supplier s ON s.s_suppkey = d.doc_id % (SELECT count(*) FROM supplier)
         JOIN nation n ON n.n_nationkey = s.s_nationkey""",
-    "terms": "SELECT * FROM " + _values(COUNTRY_TERMS.items(), "country, term"),
+    "terms": "SELECT * FROM " + _values(
+        [(n, w, len(set(t.split()))) for n, t in COUNTRY_TERMS.items() for w in set(t.split())], "country, word, n"),
+    "subject_terms": "SELECT * FROM " + _values(
+        [(s, w, len(set(s.split()))) for s in SUBJECTS for w in set(s.split())], "subject, word, n"),
+    "title_words": r"""
+        SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS word FROM documents""",
+    "named": "SELECT doc_id, country FROM title_words JOIN terms USING (word) GROUP BY ALL HAVING count(*) = max(n)",
+    "held": """
+        SELECT doc_id, string_agg(subject, '|' ORDER BY subject) AS subjects FROM (
+            SELECT doc_id, subject FROM title_words JOIN subject_terms USING (word)
+            GROUP BY doc_id, subject HAVING count(*) = max(n)) GROUP BY doc_id""",
     "pairs": """
         SELECT a.*, t.country AS target_country, c.code AS target_code,
                CASE WHEN a.source_country = t.country THEN 'national' ELSE 'international' END AS scope
-        FROM articles a JOIN terms t ON contains(lower(a.title), t.term) JOIN codes c ON c.name = t.country""",
+        FROM articles a JOIN named t ON t.doc_id = a.doc_id JOIN codes c ON c.name = t.country""",
     "mentions": """
         SELECT s.s_name AS domain, lpad(CAST(c.c_nationkey AS VARCHAR), 2, '0') AS code, count(*) AS cnt
         FROM lineitem JOIN supplier s ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
@@ -43,7 +53,7 @@ _VIEWS = {
     "ranks": """
         SELECT domain, code, rank, 1 / (ln(rank + 10) + 1) + 0.68 AS weight FROM (
             SELECT domain, code, CAST(row_number() OVER (PARTITION BY code ORDER BY cnt DESC, domain) AS DOUBLE)
-                   AS rank FROM mentions) WHERE rank <= 5""",
+                   AS rank FROM mentions)""",
     "authority": """
         SELECT s_name AS domain, CAST(CAST(floor(s_acctbal / 100) AS BIGINT) AS VARCHAR) AS domain_auth FROM supplier
         UNION ALL SELECT r_name, CAST(r_regionkey * 20 AS VARCHAR) FROM region""",
@@ -63,11 +73,16 @@ _VIEWS = {
                'headline ' || vec_id AS title, 'site' || (vec_id % 7) AS domain,
                CASE WHEN (vec_id // 6) % 2 = 0 THEN 'national' ELSE 'international' END AS scope,
                TIMESTAMP '2025-01-01 00:00:00' + to_hours(CAST((vec_id % 6) * 4 AS INTEGER)) AS slot,
-               exp(10 * CAST(embedding[1] AS DOUBLE) - 10 * CAST(list_max(embedding[1:3]) AS DOUBLE)) AS x1,
-               exp(10 * CAST(embedding[2] AS DOUBLE) - 10 * CAST(list_max(embedding[1:3]) AS DOUBLE)) AS x2,
-               exp(10 * CAST(embedding[3] AS DOUBLE) - 10 * CAST(list_max(embedding[1:3]) AS DOUBLE)) AS x3,
-               round(tanh((CAST(embedding[4] AS DOUBLE) - CAST(embedding[5] AS DOUBLE)) * 10), 4) AS c
-        FROM embeddings""",
+               t1, t2, t3,
+               exp(2 * t1 - 2 * greatest(t1, t2, t3)) AS x1, exp(2 * t2 - 2 * greatest(t1, t2, t3)) AS x2,
+               exp(2 * t3 - 2 * greatest(t1, t2, t3)) AS x3, round(tanh(h1 - h2), 4) AS c
+        FROM folded""",
+    "folded": "SELECT vec_id, label, " + ", ".join(
+        f"list_sum(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: i % {of} = {rest % of}), "
+        f"lambda i: CAST(embedding[i] AS DOUBLE))) AS {name}{rest}"
+        for of, name in ((3, "t"), (2, "h")) for rest in range(1, of + 1)) + " FROM embeddings",
+    "subject_rows": " UNION ALL ".join(
+        f"SELECT vec_id, '{s}' AS subject FROM folded WHERE t{i} > 0" for i, s in enumerate(HEADLINE_SUBJECTS, 1)),
     "wide": """
         SELECT *, row_number() OVER (PARTITION BY target_country, slot, scope ORDER BY vec_id) - 1 AS pos,
                round(x1 / (x1 + x2 + x3), 4) AS cneg, round(x2 / (x1 + x2 + x3), 4) AS cneu,
@@ -99,7 +114,9 @@ _VIEWS = {
 }
 
 _NEEDS = {
-    "pairs": ["articles", "terms", "codes"], "ranks": ["mentions"], "best": ["ranks"],
+    "named": ["title_words", "terms"], "held": ["title_words", "subject_terms"], "raw_scores": ["folded"],
+    "subject_rows": ["folded"],
+    "pairs": ["articles", "named", "codes"], "ranks": ["mentions"], "best": ["ranks"],
     "domain_info": ["mentions", "best", "authority"], "relevant": ["mentions", "domain_info"],
     "wide": ["raw_scores"], "labelled": ["wide"], "counts": ["labelled"], "silent": ["wide"],
     "nested_keys": ["wide", "silent"],
@@ -192,14 +209,20 @@ def _lexicon_rules() -> str:
     def negated(k: int) -> str:
         return f"(lower(p{k}) IN {neg} OR contains(lower(p{k}), 'n''t'))"
 
-    def step(k: int, damp: str, never: str) -> str:
+    def step(k: int, damp: str, never: str, name: str) -> str:
         factor = f"CASE {never} WHEN {negated(k)} THEN -0.74 ELSE 1 END"
         return (f"st{k} AS (SELECT *, CASE WHEN p{k} IS NOT NULL AND k{k} IS NULL THEN (s{k - 1} + {damp} * "
-                f"{degree(k)}) * {factor} ELSE s{k - 1} END AS s{k} FROM {'st' + str(k - 1)})")
+                f"{degree(k)}) * {factor} ELSE s{k - 1} END AS {name} FROM {'st' + str(k - 1)})")
 
+    orders = [("word", "n1", "n2"), ("word", "n1"), ("p1", "word"), ("p2", "p1", "word"), ("p2", "p1"),
+              ("p3", "p2", "p1"), ("p3", "p2")]
+    phrases = "coalesce(" + ", ".join(
+        f"(SELECT value FROM idioms WHERE phrase = {joined})" for joined in (" || ' ' || ".join(o) for o in orders)) + ")"
+    weak = _in(["kind of", "sort of", "just enough"])
     return f"""
     WITH lexicon AS ({_VIEWS['lexicon']}),
     spoken AS (SELECT doc_id, {_spoken()} AS text FROM documents),
+    idioms AS (SELECT * FROM {_values(IDIOMS.items(), "phrase, value")}),
     split AS (SELECT doc_id, text, list_transform(
         list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1),
         lambda w: regexp_replace(regexp_replace(w, '^(?:{marks})({word})$', '\\1'),
@@ -213,17 +236,25 @@ def _lexicon_rules() -> str:
                THEN (length(text) - length(replace(text, '?', ''))) * 0.18 ELSE 0.96 END AS emphasis FROM split),
     words AS (SELECT doc_id, n_shouted > 0 AND n_shouted < n AS mixed, but_at, unnest(w) AS word,
                      unnest(range(1, n + 1)) AS i FROM facts),
-    near AS (SELECT *, lag(word, 1) OVER o AS p1, lag(word, 2) OVER o AS p2, lag(word, 3) OVER o AS p3
+    near AS (SELECT *, lag(word, 1) OVER o AS p1, lag(word, 2) OVER o AS p2, lag(word, 3) OVER o AS p3,
+                    lead(word, 1) OVER o AS n1, lead(word, 2) OVER o AS n2
              FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     st0 AS (SELECT near.*, l0.valence AS v, l1.token AS k1, l2.token AS k2, l3.token AS k3,
-        CASE WHEN lower(word) NOT IN {up} AND lower(word) NOT IN {down} THEN l0.valence
+        lower(word) NOT IN {up} AND lower(word) NOT IN {down}
+        AND NOT (lower(word) = 'kind' AND coalesce(lower(n1), '') = 'of') AS plain,
+        CASE WHEN lower(word) NOT IN {up} AND lower(word) NOT IN {down}
+             AND NOT (lower(word) = 'kind' AND coalesce(lower(n1), '') = 'of') THEN l0.valence
              + CASE WHEN mixed AND {shouted('word')} THEN CASE WHEN l0.valence > 0 THEN 0.733 ELSE -0.733 END
                     ELSE 0 END END AS s0
         FROM near LEFT JOIN lexicon l0 ON lower(word) = l0.token LEFT JOIN lexicon l1 ON lower(p1) = l1.token
         LEFT JOIN lexicon l2 ON lower(p2) = l2.token LEFT JOIN lexicon l3 ON lower(p3) = l3.token),
-    {step(1, '1', '')},
-    {step(2, '0.95', "WHEN p2 = 'never' AND p1 IN ('so', 'this') THEN 1.5")},
-    {step(3, '0.9', "WHEN p3 = 'never' AND (p2 IN ('so', 'this') OR p1 IN ('so', 'this')) THEN 1.25")},
+    {step(1, '1', '', 's1')},
+    {step(2, '0.95', "WHEN p2 = 'never' AND p1 IN ('so', 'this') THEN 1.5", 's2')},
+    {step(3, '0.9', "WHEN p3 = 'never' AND (p2 IN ('so', 'this') OR p1 IN ('so', 'this')) THEN 1.25", 'r3')
+     .replace('st3 AS', 'st3r AS')},
+    st3 AS (SELECT *, CASE WHEN p3 IS NOT NULL AND k3 IS NULL THEN CASE WHEN plain AND v IS NOT NULL THEN coalesce({phrases}, r3)
+        + CASE WHEN concat(p3, ' ', p2) IN {weak} OR concat(p2, ' ', p1) IN {weak} THEN -0.293 ELSE 0 END END
+        ELSE r3 END AS s3 FROM st3r),
     done AS (SELECT doc_id, coalesce(s3
         * CASE WHEN lower(p1) = 'least' AND k1 IS NULL AND coalesce(lower(p2), '') NOT IN ('at', 'very')
                THEN -0.74 ELSE 1 END
@@ -245,11 +276,6 @@ def _lexicon_rules() -> str:
     FROM loud"""
 
 
-def _subject_test(text: str) -> str:
-    return " OR ".join("(" + " AND ".join(f"contains(lower({text}), {_q(w)})" for w in s.split(" ")) + ")"
-                       for s in SUBJECTS)
-
-
 _K = _KEY.format("slot")
 _TOKENS = "unnest(regexp_extract_all(lower({0}), '\\p{{L}}+'))"
 _SLOT_OF = "time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '1970-01-01')"
@@ -273,13 +299,14 @@ def _outlets() -> str:
                 f"WHEN contains({v}, 'Instagram') THEN left({v}, length({v}) - 9) ELSE {v} END")
 
     return f"""
-    WITH page AS (SELECT page_id, length(html) AS size,
+    WITH page AS (SELECT page_id, html, length(html) AS size,
                          regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages),
-    txt AS (SELECT page_id, 'Top news Media Outlet ' || host || ' Facebook Followers ' || size
-        || 'KTwitter Twitter Followers ' || page_id || 'MInstagram Instagram Followers 7K Frequency ' || (size % 30)
-        || ' posts/day Domain Authority ' || (size % 100) || ' Media Outlet www.' || host
-        || ' Facebook Followers 12M Frequency 1 post/week Domain Authority ' || ((size + page_id) % 100)
-        || ' Since Media Outlet bbc.com Domain Authority 95 Media Outlet blank.example nothing here'
+    txt AS (SELECT page_id, replace(replace(replace(html, '</p>', '</p> Media Outlet www.' || host
+        || ' Facebook Followers 12M Frequency 1 post/week Domain Authority ' || ((size + page_id) % 100) || ' '),
+        '<p>', ' Media Outlet ' || host || ' Facebook Followers ' || size || 'KTwitter Twitter Followers ' || page_id
+        || 'MInstagram Instagram Followers 7K Frequency ' || (size % 30) || ' posts/day Domain Authority '
+        || (size % 100) || ' <p>'), chr(10), ' ')
+        || ' Media Outlet bbc.com Domain Authority 95 Media Outlet blank.example nothing here'
         || ' Media Outlet Contact us Media Outlet late.example Domain Authority 99 ' AS text FROM page),
     parts AS (SELECT page_id, text, string_split(text, 'Media Outlet') AS p FROM txt),
     marks AS (SELECT page_id, text, unnest(range(1, len(p))) AS k, p FROM parts),
@@ -380,7 +407,8 @@ ORACLE = {
         SELECT target_country, {_K}, scope, model,
                '(' || negative || ',' || neutral || ',' || positive || ')' AS composite,
                negative AS n0, neutral AS n1, positive AS n2 FROM counts"""),
-    "subject_match": _with(["pairs"], f"SELECT doc_id, target_country FROM pairs WHERE {_subject_test('title')}"),
+    "subject_match": _with(
+        ["pairs", "held"], "SELECT p.doc_id, target_country, subjects FROM pairs p JOIN held h ON h.doc_id = p.doc_id"),
     "scope_split": _with(["pairs"], """
         SELECT target_country, scope, CASE WHEN scope = 'international' THEN '-' ELSE '' END || target_country
                AS query_name, count(*) AS articles, target_country AS plain_name
@@ -441,7 +469,7 @@ ORACLE = {
             EXCEPT SELECT target_country, slot FROM counts GROUP BY 1, 2 HAVING count(DISTINCT scope) = 2)"""),
     "domain_mentions": _with(["mentions"], """
         SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY code) - 1 AS INTEGER) AS place, code,
-               CAST(cnt AS INTEGER) AS cnt FROM mentions"""),
+               CAST(cnt AS BIGINT) AS cnt FROM mentions"""),
     "domain_weight": _with(["ranks"], "SELECT domain, code, rank, round(weight, 6) AS weight FROM ranks"),
     "domain_best_rank": _with(["domain_info"], """
         SELECT domain, country_code, round(domain_weight, 6) AS domain_weight, codes AS countries FROM domain_info"""),
@@ -494,6 +522,61 @@ ORACLE = {
                  USING (doc_id) LEFT JOIN lexicon l ON l.token = t.token GROUP BY d.doc_id)"""),
     "lexicon_score": _lexicon_rules(),
     "outlet_extract": _outlets(),
+    "label_counts_day_subject": _with(["labelled", "subject_rows"], f"""
+        SELECT {_six()} FROM labelled WHERE CAST(slot AS DATE) = DATE '2025-01-01'
+        AND vec_id IN (SELECT vec_id FROM subject_rows WHERE subject = 'Economy')"""),
+    "nested_daily": _with(["wide", "subject_rows"], """
+        SELECT target_country, strftime(slot, '%Y%m%d') AS day, subject AS on_subject, scope,
+               row_number() OVER (PARTITION BY target_country, CAST(slot AS DATE), subject, scope ORDER BY slot, pos) - 1
+               AS pos, title, domain, c AS lexicon_compound, cneg AS classifier_neg
+        FROM wide JOIN subject_rows USING (vec_id)"""),
+    "response_by_country": _with(["counts", "codes"], f"""
+        SELECT target_country, '["' || code || '",' || {_composite('lexicon_nat')} || ','
+               || {_composite('classifier_nat')} || ',' || {_composite('lexicon_int')} || ','
+               || {_composite('classifier_int')} || ',"' || target_country || '"]' AS response
+        FROM (SELECT target_country, {_cell_sums()} FROM counts GROUP BY target_country)
+        JOIN codes ON name = target_country"""),
+    "translate_hook": """
+        SELECT doc_id, lang AS language, CASE WHEN lang = 'en' THEN text ELSE '[' || lang || '] ' || text END AS title
+        FROM documents WHERE lang = 'en' OR length(text) % 7 <> 0""",
+    "classify_documents": """
+        WITH raw AS (SELECT doc_id, exp((length(text) % 5) / 2) AS a, exp((length(text) % 3) / 2) AS b,
+                            exp((length(text) % 7) / 2) AS c FROM documents),
+        p AS (SELECT doc_id, round(a / (a + b + c), 4) AS neg, round(b / (a + b + c), 4) AS neu,
+                     round(c / (a + b + c), 4) AS positive FROM raw)
+        SELECT *, round((positive - neg) / (neu + 1), 6) AS compound,
+               CASE WHEN tanh(positive - neg) <= -0.05 THEN 'negative' WHEN tanh(positive - neg) >= 0.05 THEN 'positive'
+                    ELSE 'neutral' END AS label FROM p""",
+    "stream_append_once": _with(["events_labelled"], """
+        SELECT event_id, event_type, label, strftime(ts, '%Y%m%d') AS day FROM events_labelled"""),
+    "stream_dedup_titles": "SELECT DISTINCT sha256(text) AS title_sha FROM documents",
+    "stream_closed_counts": _with(["events_labelled"], f"""
+        SELECT * EXCLUDE (ends) FROM (
+            SELECT {_KEY.format(_SLOT_OF)}, event_type, {_SLOT_OF} + INTERVAL 4 HOUR AS ends,
+                   count(*) FILTER (label = 'negative') AS negative, count(*) FILTER (label = 'neutral') AS neutral,
+                   count(*) FILTER (label = 'positive') AS positive FROM events_labelled GROUP BY ALL)
+        WHERE ends <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""),
+    "backfill_counts": _with(["events_labelled"], f"""
+        SELECT * FROM ({_EVENT_COUNTS}) WHERE slot_key IN (
+            SELECT strftime((SELECT min({_SLOT_OF}) FROM events) + to_hours(CAST(i * 4 AS INTEGER)), '%Y-%m-%d-%H')
+            FROM range(58) AS r(i))"""),
+    "article_files": _with(["articles"], """
+        SELECT 'http://news.example/' || doc_id AS url, sha256(title) AS title_sha,
+               strftime(seen, '%Y%m%d%H%M%S') AS seen, domain, language, source_country,
+               row_number() OVER (PARTITION BY doc_id // 7 ORDER BY doc_id) - 1 AS arrival FROM articles"""),
+    "mention_files": _with(["mentions"], "SELECT domain, code, cnt FROM mentions"),
+    "authority_files": _with(
+        ["authority"], "SELECT domain, domain_auth, CAST(NULL AS VARCHAR) AS facebook_fol FROM authority"),
+    "staged_roundtrip": _with(["wide"], """
+        SELECT target_country, strftime(slot, '%Y%m%d%H%M%S') AS slot_key, 'economy' AS query, title, domain,
+               source_country FROM wide WHERE scope = 'national'"""),
+    "scored_roundtrip": _with(["wide"], f"""
+        SELECT target_country, {_K}, title, c AS compound, cneg AS neg FROM wide WHERE scope = 'national'"""),
+    "batch_roundtrip": "SELECT doc_id, lang, n_chars FROM documents",
+    "term_lists": """
+        SELECT n_name, array_to_string(t, ' OR ') AS joined, CAST(i - 1 AS INTEGER) AS place, t[i] AS term
+        FROM (SELECT n_name, [n_name || ' Climate', n_name || ' Economy', n_name || ' Trade'] AS t FROM nation),
+             range(1, 4) AS r(i)""",
     "stream_slot_counts": _with(["events_labelled"], _EVENT_COUNTS),
     "batch_slot_counts": _with(["events_labelled"], _EVENT_COUNTS),
 }

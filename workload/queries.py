@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.constants import CLASSIFIER, INTERNATIONAL, LEXICON, NATIONAL
+from newsmood.constants import INTERNATIONAL, LEXICON, NATIONAL
 from newsmood.functions import arrays, sentiment, text, timing
+from newsmood.functions.timing import hour_key
 from newsmood.operators import articles as art
-from newsmood.operators import dims, domains, labels, nested, outlets
+from newsmood.operators import dims, domains, labels, models, nested, outlets
 from newsmood.operators import lexicon as lex
 from newsmood.plans import reports
+from newsmood.sources import readers, writers
 from newsmood.sources.shared import fresh_path, materialise
 from newsmood.sources.writers import batch_name
 from newsmood.streaming import slots as stream
@@ -82,6 +84,10 @@ def avg_scores(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(*[_r6(c) for c in df.columns])
 
 
+def label_counts_day_subject(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.label_counts(fx.scores(spark, sf), day=F.lit("2025-01-01").cast("date"), subject="Economy")
+
+
 # ---- nested form ---------------------------------------------------------------------------------------------
 
 def headline_total(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,11 +112,11 @@ def nested_counts_by_country(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rows_per_country(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.rows_per(fx.nested_with_gaps(spark, sf), ["target_country"]).orderBy("target_country")
+    return reports.rows_per(fx.nested_with_gaps(spark, sf, chunk=3), ["target_country"]).orderBy("target_country")
 
 
 def rows_per_country_day(spark: SparkSession, sf: str) -> DataFrame:
-    df = fx.nested_with_gaps(spark, sf).withColumn("day", timing.day_key(F.col("slot")))
+    df = fx.nested_with_gaps(spark, sf, chunk=3).withColumn("day", timing.day_key(F.col("slot")))
     return reports.rows_per(df, ["target_country", "day"]).orderBy("target_country", "day")
 
 
@@ -120,12 +126,12 @@ def headline_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores_per_headline(spark: SparkSession, sf: str) -> DataFrame:
-    df = nested.scores_per_headline(fx.nested(spark, sf), NATIONAL, ["target_country", "slot"])
+    df = nested.scores_per_headline(fx.nested(spark, sf, chunk=3), NATIONAL, ["target_country", "slot"])
     return df.select("target_country", KEY(), "pos", "title", "lexicon_compound", _r6("classifier_polarity"))
 
 
 def pair_models(spark: SparkSession, sf: str) -> DataFrame:
-    df = nested.pair_models(fx.nested_with_gaps(spark, sf), INTERNATIONAL, ["target_country", "slot"])
+    df = nested.pair_models(fx.nested_with_gaps(spark, sf, chunk=3), INTERNATIONAL, ["target_country", "slot"])
     return df.select("target_country", KEY(), "pos", F.col("headline.title").alias("title"),
                      F.col("lexicon.compound").alias("lexicon_compound"),
                      _r6("classifier.compound", "classifier_compound"))
@@ -141,11 +147,21 @@ def second_model_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    df = nested.from_nested(fx.nested_with_gaps(spark, sf))
+    df = nested.from_nested(fx.nested_with_gaps(spark, sf, chunk=3))
     return df.select("target_country", KEY(), "scope", "pos", "title", "domain", "source_country", "model",
                      "neg", "neu", "positive", _r6("compound"))
 
 
+def nested_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily form, headline by headline."""
+    daily = nested.to_daily(fx.placed_scores(spark, sf), chunk=3)
+    rows = nested.unnest(daily, ["target_country", "on_day", "on_subject"])
+    return rows.select(
+        "target_country", F.date_format("on_day", "yyyyMMdd").alias("day"), "on_subject", "scope", "pos",
+        F.col("headline.title").alias("title"), F.col("headline.domain").alias("domain"),
+        F.col("lexicon.compound").alias("lexicon_compound"), F.col("classifier.neg").alias("classifier_neg"))
+
+
 # ---- scores ---------------------------------------------------------------------------------------------------
 
 def softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,6 +206,10 @@ def response_rows(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("target_country", KEY(), "response")
 
 
+def response_by_country(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.as_response(reports.counts_by_country(fx.counts(spark, sf)), fx.codes(spark, sf))
+
+
 def composite_parse(spark: SparkSession, sf: str) -> DataFrame:
     counts = fx.counts(spark, sf)
     written = arrays.format_composite(F.struct("negative", "neutral", "positive"))
@@ -201,7 +221,8 @@ def composite_parse(spark: SparkSession, sf: str) -> DataFrame:
 # ---- articles -------------------------------------------------------------------------------------------------
 
 def subject_match(spark: SparkSession, sf: str) -> DataFrame:
-    return art.scope_pairs(fx.articles(spark, sf), fx.COUNTRY_TERMS, fx.SUBJECTS).select("doc_id", "target_country")
+    return art.scope_pairs(fx.articles(spark, sf), fx.COUNTRY_TERMS, fx.SUBJECTS, by=["doc_id"]).select(
+        "doc_id", "target_country", F.array_join("subjects", "|").alias("subjects"))
 
 
 def scope_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,8 +234,7 @@ def scope_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def both_scope_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.pairs(spark, sf)
-    df = art.complete_only(rows, ["target_country", "slot"], by=["doc_id"])
-    return df.groupBy("target_country", KEY()).agg(F.count(F.lit(1)).alias("articles"))
+    return art.scope_totals(rows, ["target_country", "slot"]).select("target_country", KEY(), "articles")
 
 
 def dedup_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,10 +267,30 @@ def language_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def translated_titles(spark: SparkSession, sf: str) -> DataFrame:
-    df = art.translate_titles(fx.articles(spark, sf), fx.translations(spark, sf), english=fx.ENGLISH)
+    df = art.translate_titles(fx.articles(spark, sf), fx.translations(spark, sf), english=fx.ENGLISH, by=["doc_id"])
     return df.select("doc_id", "language", "domain", "title")
 
 
+def translate_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A translator that fails on every seventh length."""
+    def translator(language: str, titles: list[str]) -> list:
+        return [None if len(t) % 7 == 0 else f"[{language}] {t}" for t in titles]
+
+    rows = fx.articles(spark, sf).select("doc_id", "language", "title")
+    return art.translate_titles(rows, translator=translator, english=fx.ENGLISH)
+
+
+def classify_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A classifier whose raw scores are remainders of the text's length."""
+    def make():
+        import numpy as np
+
+        return lambda titles: np.array([[len(t) % 5, len(t) % 3, len(t) % 7] for t in titles], dtype=float) / 2
+
+    rows = fx.documents(spark, sf).select("doc_id", F.col("text").alias("title"))
+    return models.classify(rows, make).select("doc_id", "neg", "neu", "positive", _r6("compound"), "label")
+
+
 # ---- time -----------------------------------------------------------------------------------------------------
 
 def slot_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,7 +435,7 @@ def lexicon_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
-    return lex.lexicon_score(fx.spoken_documents(spark, sf), fx.lexicon(spark), "text", ["doc_id"])
+    return lex.lexicon_score(fx.spoken_documents(spark, sf), fx.lexicon(spark), "text", ["doc_id"], fx.IDIOMS)
 
 
 def outlet_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -423,6 +463,124 @@ def batch_slot_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stream.slot_counts(rows, ["event_type"]).select(KEY(), "event_type", "negative", "neutral", "positive")
 
 
+def stream_append_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Events landed in four files, appended file by file, and once more by a stream that has lost its checkpoint."""
+    events = fx.labelled_events(fx.table(spark, sf, "events")).withColumn("day", F.to_date("ts"))
+    path = fresh_path(spark, "append")
+    events.repartition(4, "event_id").write.parquet(f"{path}/landed")
+    for run in range(2):
+        landed = stream.read_stream(spark, f"{path}/landed", events.schema, files_per_trigger=1)
+        stream.start_append(landed, f"{path}/table", f"{path}/checkpoint{run}", ["event_id"]).awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{path}/table").select(
+        "event_id", "event_type", "label", F.date_format("day", "yyyyMMdd").alias("day"))
+
+
+def stream_dedup_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of a stream of articles, each once, over the borders of batches."""
+    rows = fx.articles(spark, sf).select(F.sha2("title", 256).alias("title_sha"), "seen")
+    path = fresh_path(spark, "dedup")
+    rows.repartition(3, "seen").write.parquet(f"{path}/landed")
+    landed = stream.read_stream(spark, f"{path}/landed", rows.schema, files_per_trigger=1)
+    unique = stream.dedup_stream(stream.with_watermark(landed, "seen", "2 days"), ["title_sha"]).select("title_sha")
+    (unique.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint")
+     .trigger(availableNow=True).format("parquet").start(f"{path}/table").awaitTermination())
+    return spark.read.schema(unique.schema).parquet(f"{path}/table")
+
+
+def stream_closed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the slots that the watermark has passed, each written once."""
+    schema = fx.table(spark, sf, "events").schema
+    rows = stream.with_watermark(
+        fx.labelled_events(stream.read_stream(spark, sf, schema, "events.parquet")), "ts", "1 hour")
+    counts = stream.slot_counts(rows, ["event_type"])
+    path = fresh_path(spark, "closed")
+    stream.start_closed_counts(counts, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/table").select(
+        KEY(), "event_type", "negative", "neutral", "positive")
+
+
+def backfill_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all events in the 58 slots from the first one on, in one pass."""
+    events = fx.labelled_events(fx.table(spark, sf, "events"))
+    start = events.agg(timing.slot_start(F.min("ts")).alias("start"))
+    slots = start.select(F.explode(timing.slot_array(F.col("start"))).alias("slot"))
+    return (stream.backfill(events, slots, "ts").groupBy(KEY(), "event_type")
+            .agg(*sentiment.tally(F.col("label"))))
+
+
+# ---- files ----------------------------------------------------------------------------------------------------
+
+def article_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles as landed payloads of seven, and read again."""
+    item = F.struct(
+        "url", F.col("title"), F.date_format("seen", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), "domain", "language",
+        F.col("source_country").alias("sourcecountry"))
+    payloads = (fx.articles(spark, sf).groupBy(F.floor(F.col("doc_id") / 7).alias("payload"))
+                .agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("a")))).alias("rows"))
+                .select(F.to_json(F.struct(F.transform("rows", lambda r: r["a"]).alias("articles"))).alias("value")))
+    path = fresh_path(spark, "articles")
+    payloads.write.text(path)
+    return readers.read_articles(spark, path).select(
+        "url", F.sha2("title", 256).alias("title_sha"), second_key_of("seen"), "domain", "language", "source_country",
+        F.col("arrival").cast("bigint").alias("arrival"))
+
+
+def second_key_of(column: str):
+    return timing.second_key(F.col(column)).alias(column)
+
+
+def mention_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Mention counts as one JSON array per country, and read again."""
+    arrays_of = fx.mentions(spark, sf).groupBy("code").agg(F.to_json(F.collect_list(F.struct(
+        "domain", F.col("code").alias("countrycode"), "cnt"))).alias("value"))
+    path = fresh_path(spark, "mentions")
+    arrays_of.withColumnRenamed("code", "part").write.partitionBy("part").text(path)
+    return readers.read_mentions(spark, f"{path}/part=*")
+
+
+def authority_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Authority records as JSON arrays of some hundred, and read again."""
+    known = fx.authority(spark, sf).withColumn("part", F.pmod(F.xxhash64("domain"), F.lit(16)))
+    path = fresh_path(spark, "authority")
+    (known.groupBy("part").agg(F.to_json(F.collect_list(F.struct("domain", "domain_auth"))).alias("value"))
+     .write.partitionBy("part").text(path))
+    return readers.read_authority(spark, f"{path}/part=*").select("domain", "domain_auth", "facebook_fol")
+
+
+def staged_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """National titles staged per country and slot in payloads of three, and read again."""
+    titles = fx.placed_scores(spark, sf).where((F.col("model") == LEXICON) & (F.col("scope") == NATIONAL))
+    path = fresh_path(spark, "staged")
+    writers.stage(titles, path, F.lit("economy"), chunk=3)
+    return readers.staged_titles(readers.read_staged(spark, path)).drop("pos")
+
+
+def scored_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested rows as scored payloads, and read again."""
+    path = fresh_path(spark, "scored")
+    writers.write_scored(fx.nested(spark, sf, chunk=3), path)
+    rows = readers.read_scored(spark, path)
+    each = rows.select("target_country", "on_time", F.inline(F.arrays_zip("titles_nat", "lexicon_nat", "classes_nat")))
+    return each.select("target_country", hour_key(F.col("on_time")).alias("slot_key"),
+                       F.col("titles_nat")[0].alias("title"), F.col("lexicon_nat.compound").alias("compound"),
+                       F.col("classes_nat")[0].alias("neg"))
+
+
+def batch_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents exported for two days, one of them twice, and one day imported."""
+    docs, path = fx.documents(spark, sf).select("doc_id", "lang", "n_chars"), fresh_path(spark, "batches")
+    for day in ("2025-02-01", "2025-02-02", "2025-02-01"):
+        writers.export_batch(docs, path, day)
+    return readers.import_batch(spark, path, "2025-02-01").select("doc_id", "lang", "n_chars")
+
+
+def term_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms of a country joined into one query, and split again."""
+    joined = fx.table(spark, sf, "nation").select(
+        "n_name", text.join_terms(F.col("n_name"), fx.HEADLINE_SUBJECTS).alias("joined"))
+    return joined.select("n_name", "joined", F.posexplode(text.split_terms(F.col("joined"))).alias("place", "term"))
+
+
 QUERIES = {f.__name__: f for f in (
     label_counts, label_counts_by_group, label_counts_sql, counts_by_country_slot, counts_by_country,
     counts_one_country, counts_unknown_code, counts_missing_model, avg_scores, headline_total,
@@ -434,4 +592,7 @@ QUERIES = {f.__name__: f for f in (
     domain_mentions, domain_weight, domain_best_rank, domain_authority, domain_authority_missing,
     relevant_domains_national, relevant_domains_international, domains_for_country, heavy_domains,
     country_code_lookup, code_to_country, registered_codes, unique_domains, batch_names, try_casts, mask_handles,
-    token_counts, lexicon_sum, lexicon_score, outlet_extract, stream_slot_counts, batch_slot_counts)}
+    token_counts, lexicon_sum, lexicon_score, outlet_extract, stream_slot_counts, batch_slot_counts,
+    label_counts_day_subject, nested_daily, response_by_country, translate_hook, classify_documents,
+    stream_append_once, stream_dedup_titles, stream_closed_counts, backfill_counts, article_files, mention_files,
+    authority_files, staged_roundtrip, scored_roundtrip, batch_roundtrip, term_lists)}
