@@ -153,7 +153,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         memo = _loaded(ranks_path, pattern)[1]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [memo.packed(t) for t in batch.column(1).to_pylist()]
+            ids = [x.tobytes() for x in memo.batch(batch.column(1))]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
         return each
@@ -183,11 +183,10 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids_sha, data_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = memo.packed(text)
-                counts.append(len(ids) // 4)
+            for ids in memo.batch(batch.column(1)):
+                counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
-                data_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest())
+                data_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(data_sha)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -43,20 +43,26 @@ class TokenizerMemo(WordMemo):
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        super().__init__(pattern, lambda matches: [
-            packed_ids(x.ids) for x in self.own.encode_batch_fast(matches, add_special_tokens=False)], most=800_000)
-
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """Several words make one text again, which is cut where the tokens' offsets pass a word's end."""
-        out = []
-        for at in range(0, len(words), JOINED):
-            some = words[at:at + JOINED]
-            found = self.own.encode(" " + " ".join(some), add_special_tokens=False)
-            ends = np.fromiter((end for _, end in found.offsets), np.int64, len(found))
-            cuts = np.searchsorted(ends, np.cumsum([len(w) + 1 for w in some]), side="right").tolist()
-            ids = packed_ids(found.ids)
-            out += [ids[4 * a:4 * b] for a, b in zip([0, *cuts], cuts, strict=False)]
-        return out
+        self.line_break = self._ids("\n")[0]
+        super().__init__(pattern, self._encode)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, matches: list[str]) -> list[bytes]:
+        """Several matches that begin with a space make one text, a line each, which is cut at the line breaks.
+
+        A line break before a space is a match of its own, so it stands for itself and changes no other's ids.
+        """
+        out: dict[str, bytes] = {}
+        lines = [m for m in matches if m[0] == " " and len(m) > 1 and "\n" not in m]
+        for at in range(0, len(lines), JOINED):
+            some = lines[at:at + JOINED]
+            found = np.asarray(self._ids("\n".join(some) + "\n"), "<u4")
+            ends, ids = np.flatnonzero(found == self.line_break).tolist(), found.tobytes()
+            for m, a, b in zip(some, [0, *[e + 1 for e in ends]], ends, strict=False):
+                out[m] = ids[4 * a:4 * b]
+        return [out[m] if m in out else packed_ids(self._ids(m)) for m in matches]
 
 
 _MEMO: dict[tuple[str, str], TokenizerMemo] = {}
@@ -83,10 +89,10 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 0, size: int
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memo.packed(text) + end
-                rows += [(doc_id, k, at, n, zlib.crc32(ids[4 * at:4 * (at + n)]))
-                         for k, (at, n) in enumerate(cut(len(ids) // 4, size))]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.batch(batch.column(1)), strict=True):
+                for k, (at, n) in enumerate(cut(len(ids) + 1, size)):
+                    crc = zlib.crc32(ids[at:at + n])
+                    rows.append((doc_id, k, at, n, zlib.crc32(end, crc) if at + n > len(ids) else crc))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],

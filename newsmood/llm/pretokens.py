@@ -1,20 +1,29 @@
 """Token ids of whole texts by the ids of their distinct words.
 
 A byte-level tokenizer splits a text by a pattern and encodes every match for itself, so equal matches have equal ids.
-``WordMemo`` encodes each distinct stretch between single spaces once and keeps its ids, packed; a text is then a join
-of packed ids. A stretch may stand for itself because no match of the pattern holds a space after a character that is
-no white space, and what follows such a space does not change how the stretch before it is split. Texts with two white
-spaces side by side, or with one at an end, are split by the pattern as a whole.
+``WordMemo`` finds the distinct stretches between single spaces of a batch of texts, encodes each once, keeps its ids,
+and puts the ids of the texts together with array operations. A stretch may stand for itself because no match of the
+pattern holds a space after a character that is no white space, and what follows such a space does not change how the
+stretch before it is split. Texts with two white spaces side by side, or with one at an end, are split by the pattern
+as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 WORDS = 500_000  # entries that each table of a memo holds before it starts again: some 110 MB
+KEPT_LENGTH = 64  # longer words and matches are hardly met again
+STEP = 200_000  # words whose ids are put together at once
+SLICE = 8 << 20  # bytes of text that are split into words together, if one text is not longer
+SPACE = r"[\t-\r\x{85}\pZ]"  # the pattern's \s
+UNEVEN = f"^{SPACE}|{SPACE}{SPACE}|{SPACE}$|^$"
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII that is neither letter, digit nor apostrophe
 
 
 class WordMemo:
@@ -22,50 +31,95 @@ class WordMemo:
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = WORDS):
         self.split = regex.compile(pattern).findall
-        self.uneven = regex.compile(r"\A\s|\s\s|\s\Z").search
         self.encode, self.most = encode, most
         self.matches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _of_matches(self, matches: list[str]) -> list[bytes]:
         known = self.matches
-        new = list({m: None for m in matches if m not in known})
-        if len(known) + len(new) > self.most:
+        if len(known) > self.most:
             known.clear()
-            new = list(dict.fromkeys(matches))
-        short = [m for m in new if len(m) <= 64]
-        known.update(zip(short, self.encode(short), strict=True))
-        rare = {}
-        if len(short) < len(new):
-            long = [m for m in new if len(m) > 64]  # never met again: not kept
-            rare = dict(zip(long, self.encode(long), strict=True))
-        return [known[m] if m in known else rare[m] if m in rare else self.encode([m])[0] for m in matches]
+        new = list({m: None for m in matches if m not in known})
+        own = dict(zip(new, self.encode(new), strict=True)) if new else {}
+        known.update((m, ids) for m, ids in own.items() if len(m) <= KEPT_LENGTH)
+        return [own[m] if m in own else known[m] for m in matches]
+
+    def _split_word(self, word: str) -> list[str]:
+        """The matches in a space and a word; letters with signs behind them, as most are, need no pattern."""
+        core = word.rstrip(SIGNS)
+        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            return [f" {core}", word[len(core):]] if len(core) < len(word) else [f" {core}"]
+        return self.split(f" {word}")
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of words that follow a space, which is theirs."""
-        split = [self.split(f" {w}") for w in words]
+        split = [self._split_word(w) for w in words]
         flat, out, at = self._of_matches([m for s in split for m in s]), [], 0
         for s in split:
-            out.append(b"".join(flat[at:at + len(s)]))
+            out.append(flat[at] if len(s) == 1 else b"".join(flat[at:at + len(s)]))
             at += len(s)
         return out
 
+    def _known_words(self, words: list[str]) -> list[bytes]:
+        if len(self.words) > self.most:
+            self.words.clear()
+        out = list(map(self.words.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if new:
+            for i, ids in zip(new, self._of_words([words[i] for i in new]), strict=True):
+                out[i] = ids
+                if len(words[i]) <= KEPT_LENGTH:
+                    self.words[words[i]] = ids
+        return out
+
     def packed(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.uneven(text):
-            return b"".join(self._of_matches(self.split(text)))
-        first, *rest = text.split(" ")
-        words = self.words
-        out = [words.get(w) for w in rest]
-        if None in out:
-            new = list({w: None for w, ids in zip(rest, out, strict=True) if ids is None})
-            fresh = dict(zip(new, self._of_words(new), strict=True))
-            out = [fresh[w] if ids is None else ids for w, ids in zip(rest, out, strict=True)]
-            if len(words) + len(fresh) > self.most:
-                words.clear()
-            words.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
-        return b"".join(self._of_matches(self.split(first))) + b"".join(out)
+        """The ids of one text, little-endian unsigned 32-bit integers."""
+        return next(self.batch(pa.array([text], pa.string()))).tobytes()
+
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(texts):
+            before = int(sizes[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(sizes, before + SLICE, side="right")))
+            yield from self._slice(texts[low:high])
+            low = high
+
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; the arrays are views of one."""
+        uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        for i in np.flatnonzero(uneven).tolist():
+            text = texts[i].as_py()
+            out[i] = np.frombuffer(b"".join(self._of_matches(self.split(text))), "<u4")
+        even = np.flatnonzero(~uneven)
+        if not len(even):
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(even)) if uneven.any() else texts, " ")
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        # the first word of a text follows no space: it is a word of its own
+        first = bounds[:-1]
+        opening = [b"".join(self._of_matches(self.split(distinct[i]))) for i in at[first].tolist()]
+        at[first] = len(distinct) + np.arange(len(first))
+        table = self._known_words(distinct) + opening
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        ids, start = np.frombuffer(b"".join(table), "<u4"), np.cumsum(size) - size
+        ends = np.cumsum(size[at])
+        total = np.empty(int(ends[-1]), "<u4")
+        for low in range(0, len(at), STEP):
+            some = at[low:low + STEP]
+            n, begun = size[some], int(ends[low - 1]) if low else 0
+            stop = int(ends[low + len(some) - 1])
+            before = ends[low:low + len(some)] - n
+            total[begun:stop] = ids[np.repeat(start[some] - before, n) + np.arange(begun, stop)]
+        cuts = np.concatenate([[0], ends])[bounds]
+        for i, a, b in zip(even.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = total[a:b]
+        return out
 
 
 def pack(ids) -> bytes:

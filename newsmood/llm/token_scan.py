@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id
         memo = word_ids(vocabulary, pattern)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [np.frombuffer(memo.packed(t), "<u4").astype(kind).tobytes() for t in batch.column(1).to_pylist()]
+            ids = [x.astype(kind).tobytes() for x in memo.batch(batch.column(1))]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
         return each
