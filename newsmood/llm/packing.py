@@ -55,7 +55,7 @@ class TokenizerMemo(WordMemo):
         A line break before a space is a match of its own, so it stands for itself and changes no other's ids.
         """
         out: dict[str, bytes] = {}
-        lines = [m for m in matches if m[0] == " " and len(m) > 1 and "\n" not in m]
+        lines = [m for m in matches if m[:1] == " " and len(m) > 1 and "\n" not in m]
         for at in range(0, len(lines), JOINED):
             some = lines[at:at + JOINED]
             found = np.asarray(self._ids("\n".join(some) + "\n"), "<u4")

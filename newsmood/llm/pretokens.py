@@ -17,13 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-WORDS = 500_000  # entries that each table of a memo holds before it starts again: some 110 MB
+WORDS = 400_000  # entries that each table of a memo holds before it starts again: some 90 MB
 KEPT_LENGTH = 64  # longer words and matches are hardly met again
 STEP = 200_000  # words whose ids are put together at once
 SLICE = 8 << 20  # bytes of text that are split into words together, if one text is not longer
 SPACE = r"[\t-\r\x{85}\pZ]"  # the pattern's \s
 UNEVEN = f"^{SPACE}|{SPACE}{SPACE}|{SPACE}$|^$"
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII that is neither letter, digit nor apostrophe
+#: A word as most are: Latin letters, which with the space before them are one match, and ASCII signs but the apostrophe
+#: behind them, which are another.
+PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class WordMemo:
@@ -44,16 +46,9 @@ class WordMemo:
         known.update((m, ids) for m, ids in own.items() if len(m) <= KEPT_LENGTH)
         return [own[m] if m in own else known[m] for m in matches]
 
-    def _split_word(self, word: str) -> list[str]:
-        """The matches in a space and a word; letters with signs behind them, as most are, need no pattern."""
-        core = word.rstrip(SIGNS)
-        if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
-            return [f" {core}", word[len(core):]] if len(core) < len(word) else [f" {core}"]
-        return self.split(f" {word}")
-
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of words that follow a space, which is theirs."""
-        split = [self._split_word(w) for w in words]
+        split = [self.split(f" {w}") for w in words]
         flat, out, at = self._of_matches([m for s in split for m in s]), [], 0
         for s in split:
             out.append(flat[at] if len(s) == 1 else b"".join(flat[at:at + len(s)]))
@@ -100,22 +95,42 @@ class WordMemo:
         lists = pc.split_pattern(texts.take(pa.array(even)) if uneven.any() else texts, " ")
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
-        at, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
-        # the first word of a text follows no space: it is a word of its own
+        at, distinct = coded.indices.to_numpy(), coded.dictionary
+        # every distinct word is one or two entries of a table of ids; entry 0 is empty
+        parts = pc.extract_regex(distinct, PLAIN)
+        plain = parts.is_valid()
+        core = parts.field("core").filter(plain).dictionary_encode()
+        tail = parts.field("tail").filter(plain).dictionary_encode()
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        letters = pc.binary_join_element_wise(none, core.dictionary, space)  # a space before each
+        table = [b"", *self._of_matches(letters.to_pylist())]
+        head, rest = np.zeros((2, len(distinct)), np.int64)
+        is_plain = np.ones(len(distinct), bool)
+        is_plain[odd] = False
+        head[is_plain] = core.indices.to_numpy() + 1
+        rest[is_plain] = tail.indices.to_numpy() + len(table)
+        table += self._of_matches(tail.dictionary.to_pylist())
+        head[odd] = np.arange(len(odd)) + len(table)
+        table += self._known_words(distinct.take(pa.array(odd)).to_pylist())
+        # the first word of a text follows no space: it is an entry of its own
         first = bounds[:-1]
-        opening = [b"".join(self._of_matches(self.split(distinct[i]))) for i in at[first].tolist()]
+        opening = [b"".join(self._of_matches(self.split(w))) for w in distinct.take(pa.array(at[first])).to_pylist()]
+        head = np.concatenate([head, np.arange(len(first)) + len(table)])
+        rest = np.concatenate([rest, np.zeros(len(first), np.int64)])
+        at = at.astype(np.int64)
         at[first] = len(distinct) + np.arange(len(first))
-        table = self._known_words(distinct) + opening
+        table += opening
         size = np.fromiter(map(len, table), np.int64, len(table)) // 4
         ids, start = np.frombuffer(b"".join(table), "<u4"), np.cumsum(size) - size
-        ends = np.cumsum(size[at])
+        ends = np.cumsum((size[head] + size[rest])[at])
         total = np.empty(int(ends[-1]), "<u4")
         for low in range(0, len(at), STEP):
             some = at[low:low + STEP]
-            n, begun = size[some], int(ends[low - 1]) if low else 0
-            stop = int(ends[low + len(some) - 1])
-            before = ends[low:low + len(some)] - n
-            total[begun:stop] = ids[np.repeat(start[some] - before, n) + np.arange(begun, stop)]
+            entries = np.stack([head[some], rest[some]], axis=1).ravel()
+            n, begun, stop = size[entries], int(ends[low - 1]) if low else 0, int(ends[low + len(some) - 1])
+            before = begun + np.cumsum(n) - n
+            total[begun:stop] = ids[np.repeat(start[entries] - before, n) + np.arange(begun, stop)]
         cuts = np.concatenate([[0], ends])[bounds]
         for i, a, b in zip(even.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             out[i] = total[a:b]
