@@ -38,7 +38,7 @@ from newsmood.sources.shared import materialise
 COORDINATES, MATCHES, WORDS = 32, 9, 5
 PERCENT = 75
 GROUP_BYTES = 16 << 20
-VOCABULARY = 500_000  # words whose hashes a Python worker keeps before it starts again
+VOCABULARY = 300_000  # words whose hashes a Python worker keeps before it starts again
 
 _RANDOM = np.random.default_rng(2024)
 FACTORS = _RANDOM.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

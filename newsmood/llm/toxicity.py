@@ -38,7 +38,7 @@ LEAST_SEEN = 3  # toxic surroundings of a term
 CHANCE = 1e-4  # largest probability of as many toxic surroundings by chance
 NEAR = 6  # words between a hit and a word of the second person
 PREDICTED = 0.3
-MEMO = 500_000
+MEMO = 300_000
 PREFIXES = (4, 5, 6)
 #: Words of the second person in English, German, French and Spanish.
 SECOND_PERSON = frozenset(
