@@ -9,8 +9,8 @@ such files with Spark's own writer. ``document_lengths`` reads any number of the
    block, so documents that lie across blocks are stitched together without looking at ids again.
 3. Each block turns its separators, with what was carried in, into (doc_no, start, n_tokens).
 
-A file is read as one binary value, of which Spark allows 2 GB: ``write_flat`` starts a new file after
-``docs_per_file`` documents. Ids after the last separator are a document that was cut off; it counts, closed = false.
+A file is read as one binary value, which a task holds: ``write_flat`` starts a new file after ``chunks`` stretches of
+about a megabyte, so that it is of a known size unless a single document is larger. Ids after the last separator are a document that was cut off; it counts, closed = false.
 Defined results: an empty document has 0 tokens, an empty file has no documents, a file whose size is no multiple of
 the width is an error. Null texts are empty texts.
 """
@@ -28,31 +28,39 @@ from newsmood.llm.common import id_and_text, map_batches
 from newsmood.llm.packing import word_ids
 
 BLOCK = 1 << 20  # ids in a block
-DOCS_PER_FILE = 200_000
+CHUNK_BYTES, CHUNKS = 1 << 20, 8  # files of some 8 MB, for executors of 3 GB; more with more memory
 WIDTHS = {2: "<u2", 4: "<u4"}
 
 
 def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int, width: int = 2,
-               docs_per_file: int = DOCS_PER_FILE) -> None:
+               chunks: int = CHUNKS, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Writes the ids of every text, each closed by ``end_id``, to files of a folder, in the order of the tasks' rows.
 
-    The ids of a document are a row of raw bytes; the end id is the writer's line separator.
+    A row of the writer is a stretch of documents with the end id between them, as raw bytes; the end id is the writer's
+    line separator as well.
     """
-    kind = WIDTHS[width]
+    kind, end = WIDTHS[width], end_id.to_bytes(width, "little")
 
     def make():
         memo = word_ids(vocabulary, pattern)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x.astype(kind).tobytes() for x in memo.batch(batch.column(1))]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            rows, held, size = [], [], 0
+            for ids in memo.batch(batch.column(1)):
+                held.append(ids.astype(kind).tobytes())
+                size += len(held[-1])
+                if size >= chunk_bytes:
+                    rows.append(end.join(held))
+                    held, size = [], 0
+            if held:
+                rows.append(end.join(held))
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
 
         return each
 
-    separator = end_id.to_bytes(width, "little").decode("latin-1")
     (map_batches(id_and_text(docs), make, "ids binary").select(F.col("ids").cast("string").alias("value"))
-     .write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("compression", "none")
-     .option("maxRecordsPerFile", docs_per_file).text(path))
+     .write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none")
+     .option("maxRecordsPerFile", chunks).text(path))
 
 
 def block_separators(ids: np.ndarray, end_id: int, block: int) -> Iterator[tuple[int, int, np.ndarray]]:

@@ -43,10 +43,11 @@ def test_round_trip(spark, make_docs, tmp_path):
     own.encode_special_tokens = True
     texts = [None, "", "one two", "<|endoftext|>", "Ċ \n x", "long " * 20_000, "one two"]
     path = str(tmp_path / "flat")
-    token_scan.write_flat(make_docs(texts).coalesce(1), path, PATH, public_tokenizers.PATTERN, 50256, docs_per_file=3)
+    token_scan.write_flat(make_docs(texts).coalesce(1), path, PATH, public_tokenizers.PATTERN, 50256, chunks=2,
+                          chunk_bytes=5)
     ids = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
     files = sorted(glob.glob(f"{path}/part-*"))
-    assert len(files) == 3
+    assert len(files) == 2
     flat = b"".join(open(f, "rb").read() for f in files)
     assert np.frombuffer(flat, "<u2").tolist() == [x for i in ids for x in (*i, 50256)]
     got = rows(token_scan.document_lengths(spark, path, 50256, block=10))
