@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newsmood.llm.common import id_and_text, map_batches
+from newsmood.llm.common import id_and_text, map_batches, worker_cache
 from newsmood.llm.pretokens import WordMemo, pack
 
 PAIRS = 1_000_000  # memoised pairs before the memo starts again
@@ -135,16 +135,13 @@ class Backtracker:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_LOADED: dict[tuple[str, str], tuple[Backtracker, WordMemo]] = {}
-
-
 def _loaded(path: str, pattern: str) -> tuple[Backtracker, WordMemo]:
     """One automaton and memo for each Python worker; workers serve many tasks."""
-    if (path, pattern) not in _LOADED:
+    def make() -> tuple[Backtracker, WordMemo]:
         bpe = Backtracker(read_ranks(path))
-        memo = WordMemo(pattern, lambda words: [pack(bpe.encode(w.encode("utf-8", "replace"))) for w in words])
-        _LOADED[path, pattern] = bpe, memo
-    return _LOADED[path, pattern]
+        return bpe, WordMemo(pattern, lambda words: [pack(bpe.encode(w.encode("utf-8", "replace"))) for w in words])
+
+    return worker_cache(("bpe", path, pattern), make)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

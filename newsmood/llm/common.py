@@ -61,6 +61,23 @@ def learns(rest: int, parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % parts != rest
 
 
+def values(column: pa.Array, step: int = 512) -> Iterator:
+    """The values of a column of texts, a few at a time: a batch may hold ten thousand."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
+_KEPT: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task. Only one at a time: another operator's drops the one before."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
                 schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``make`` runs once in each task, for what is loaded first."""

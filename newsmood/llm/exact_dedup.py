@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches, with_ids
+from newsmood.llm.common import id_and_text, map_batches, values, with_ids
 
 HELD = 192 << 20  # bytes of text that the trie of a task holds before it spills
 SEEN = 64 << 20  # bytes of text that a map task holds while it collapses its own copies
@@ -168,7 +168,7 @@ def _own_copies(largest: bool):
                 ["size", "sha", "data", "owner", "copies"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
                 data = normalised(text)
                 known = seen.get(data)
                 if known:
@@ -189,7 +189,7 @@ def _tries(largest: bool, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = OwnerTrie(largest, budget)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(values(c) for c in batch.columns), strict=True):
                 trie.insert(*row)
         out = []
         for data, owner, count in trie.owners():
@@ -224,7 +224,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, text_sha256) of the normalised texts."""
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sha = [hashlib.sha256(normalised(t)).hexdigest() for t in batch.column(1).to_pylist()]
+            sha = [hashlib.sha256(normalised(t)).hexdigest() for t in values(batch.column(1))]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha)], ["doc_id", "text_sha256"])
 
         return each

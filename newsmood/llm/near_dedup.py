@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches, with_ids
+from newsmood.llm.common import id_and_text, map_batches, values, with_ids, worker_cache
 from newsmood.llm.components import components
 from newsmood.sources.shared import materialise
 
@@ -57,15 +57,13 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
 def shingles(text: str) -> np.ndarray:
     """The distinct hashed shingles of a text, ascending. bytes.split() cuts at x20 and x09-x0D and nowhere else."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = worker_cache("word hashes", WordHashes)
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(each) - WORDS + 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(WORDS, len(each))):
@@ -95,7 +93,7 @@ def signed(docs: DataFrame) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, keys, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 found = shingles(text)
                 counts.append(len(found))
                 keys.append(_key(found) if len(found) else None)
@@ -161,7 +159,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, dealt: DataFrame) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cls, text, key, hubs, firsts, seconds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cls, text, key, hubs, firsts, seconds in zip(*(values(c) for c in batch.columns), strict=True):
                 found = shingles(text)
                 if _key(found) != key:
                     continue  # another row with the id of the class

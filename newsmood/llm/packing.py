@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches
+from newsmood.llm.common import id_and_text, map_batches, worker_cache
 from newsmood.llm.pretokens import WordMemo
 from newsmood.llm.pretokens import pack as packed_ids
 from newsmood.sources.shared import materialise
@@ -65,14 +65,9 @@ class TokenizerMemo(WordMemo):
         return [out[m] if m in out else packed_ids(self._ids(m)) for m in matches]
 
 
-_MEMO: dict[tuple[str, str], TokenizerMemo] = {}
-
-
 def word_ids(path: str, pattern: str) -> TokenizerMemo:
     """One memo for each Python worker; workers serve many tasks."""
-    if (path, pattern) not in _MEMO:
-        _MEMO[path, pattern] = TokenizerMemo(path, pattern)
-    return _MEMO[path, pattern]
+    return worker_cache(("tokenizer", path, pattern), lambda: TokenizerMemo(path, pattern))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, learns, map_batches
+from newsmood.llm.common import id_and_text, learns, map_batches, values
 from newsmood.llm.labelled import SAMPLE, learnable, sample
 from newsmood.llm.textstats import FORM, form
 from newsmood.sources.shared import materialise
@@ -35,7 +35,7 @@ def _features(docs: DataFrame, extra: str = "") -> DataFrame:
     """(doc_id, x, ...): the features of each text."""
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [form(t) for t in batch.column(1).to_pylist()]
+            rows = [form(t) for t in values(batch.column(1))]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]],
                 ["doc_id", "x", *batch.schema.names[2:]])
@@ -88,7 +88,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", rest: int
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([form(t) for t in batch.column(1).to_pylist()])
+            x = np.array([form(t) for t in values(batch.column(1))])
             strength = model.strength(x) if model else np.zeros(len(x))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(strength)], ["doc_id", "strength"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.llm.boosting import BoostedTrees, Isotonic
-from newsmood.llm.common import id_and_text, learns, map_batches
+from newsmood.llm.common import id_and_text, learns, map_batches, values, worker_cache
 from newsmood.llm.labelled import SAMPLE, learnable, sample
 from newsmood.llm.textstats import FORM, form
 from newsmood.sources.shared import materialise
@@ -109,7 +109,7 @@ def count_terms(some: DataFrame) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[int, int], Counter] = {(h, y): Counter() for h in (0, 1) for y in (0, 1)}
         for batch in batches:
-            for half, text, y in zip(_half(batch.column(0)), batch.column(1).to_pylist(),
+            for half, text, y in zip(_half(batch.column(0)), values(batch.column(1)),
                                      batch.column(2).to_pylist(), strict=True):
                 counts[half, y].update({t for w in set(words_of(text)) for t in terms_of(w)})
         for half in (0, 1):
@@ -134,7 +134,7 @@ def count_surroundings(some: DataFrame, terms: set[str]) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
-            for half, text, y in zip(_half(batch.column(0)), batch.column(1).to_pylist(),
+            for half, text, y in zip(_half(batch.column(0)), values(batch.column(1)),
                                      batch.column(2).to_pylist(), strict=True):
                 words = ["", *words_of(text), ""]
                 known: dict[str, list[str]] = {}
@@ -175,11 +175,11 @@ def weights(seen: pd.DataFrame, halves: list[int], prior: float) -> dict[str, fl
 def _sample_features(some: DataFrame, lexicons: list[dict[str, float]]) -> pd.DataFrame:
     """doc_id, half, y, x: a half's features are by the lexicon of the other half."""
     def make():
-        own = [Lexicon(w) for w in lexicons]
+        own = worker_cache(object(), lambda: [Lexicon(w) for w in lexicons])
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             half = _half(batch.column(0))
-            rows = [features(t, own[1 - h]) for t, h in zip(batch.column(1).to_pylist(), half, strict=True)]
+            rows = [features(t, own[1 - h]) for t, h in zip(values(batch.column(1)), half, strict=True)]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(half, pa.int32()), batch.column(2),
                  pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "half", "y", "x"])
@@ -224,12 +224,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", rest: int =
     model = fit(docs, learnable(labels, label, rest, parts), most)
 
     def make():
-        lexicon = Lexicon(model.lexicon) if model else None
+        lexicon = worker_cache(object(), lambda: Lexicon(model.lexicon)) if model else None
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = np.zeros(batch.num_rows)
             if model:
-                found = model.probability(np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]))
+                found = model.probability(np.array([features(t, lexicon) for t in values(batch.column(1))]))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
         return each
@@ -247,10 +247,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", rest: i
     at = docs.columns.index(text_col)
 
     def make():
-        lexicon = Lexicon(model.lexicon)
+        lexicon = worker_cache(object(), lambda: Lexicon(model.lexicon))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([features(t or "", lexicon) for t in batch.column(at).to_pylist()])
+            x = np.array([features(t or "", lexicon) for t in values(batch.column(at))])
             return batch.filter(pa.array(model.probability(x) < PREDICTED))
 
         return each
