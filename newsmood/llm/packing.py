@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsmood.llm.common import id_and_text, map_batches, worker_cache
-from newsmood.llm.pretokens import WordMemo
+from newsmood.llm.pretokens import SLICE, WordMemo
 from newsmood.llm.pretokens import pack as packed_ids
 from newsmood.sources.shared import materialise
 
 SIZE = 2048
 GROUP = 16_384
+MEMO_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 JOINED = 256  # unseen words that go to the tokenizer as one text
@@ -37,14 +38,14 @@ JOINED = 256  # unseen words that go to the tokenizer as one text
 class TokenizerMemo(WordMemo):
     """Ids by ``tokenizers`` of a vocabulary file; the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most: int, slice_bytes: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task for each core
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.line_break = self._ids("\n")[0]
-        super().__init__(pattern, self._encode)
+        super().__init__(pattern, self._encode, most, slice_bytes)
 
     def _ids(self, text: str) -> list[int]:
         return self.own.encode(text, add_special_tokens=False).ids
@@ -65,9 +66,10 @@ class TokenizerMemo(WordMemo):
         return [out[m] if m in out else packed_ids(self._ids(m)) for m in matches]
 
 
-def word_ids(path: str, pattern: str) -> TokenizerMemo:
+def word_ids(path: str, pattern: str, most: int = MEMO_WORDS, slice_bytes: int = SLICE) -> TokenizerMemo:
     """One memo for each Python worker; workers serve many tasks."""
-    return worker_cache(("tokenizer", path, pattern), lambda: TokenizerMemo(path, pattern))
+    return worker_cache(("tokenizer", path, pattern, most, slice_bytes),
+                        lambda: TokenizerMemo(path, pattern, most, slice_bytes))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:

@@ -31,9 +31,10 @@ PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 class WordMemo:
     """``encode`` gives the packed ids of each of several matches of ``pattern``."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = WORDS):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = WORDS,
+                 slice_bytes: int = SLICE):
         self.split = regex.compile(pattern).findall
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.slice_bytes = encode, most, slice_bytes
         self.matches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -73,13 +74,12 @@ class WordMemo:
 
     def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        texts = texts.cast(pa.large_string())
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         low = 0
         while low < len(texts):
             before = int(sizes[low - 1]) if low else 0
-            high = max(low + 1, int(np.searchsorted(sizes, before + SLICE, side="right")))
-            yield from self._slice(texts[low:high])
+            high = max(low + 1, int(np.searchsorted(sizes, before + self.slice_bytes, side="right")))
+            yield from self._slice(texts[low:high].cast(pa.large_string()))
             low = high
 
     def _slice(self, texts: pa.Array) -> list[np.ndarray]:

@@ -28,6 +28,7 @@ from newsmood.llm.common import id_and_text, map_batches
 from newsmood.llm.packing import word_ids
 
 BLOCK = 1 << 20  # ids in a block
+MEMO_WORDS, SLICE_BYTES = 300_000, 4 << 20  # less than packing takes: the files themselves need memory here
 CHUNK_BYTES, CHUNKS = 1 << 20, 8  # files of some 8 MB, for executors of 3 GB; more with more memory
 WIDTHS = {2: "<u2", 4: "<u4"}
 
@@ -42,7 +43,7 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id
     kind, end = WIDTHS[width], end_id.to_bytes(width, "little")
 
     def make():
-        memo = word_ids(vocabulary, pattern)
+        memo = word_ids(vocabulary, pattern, MEMO_WORDS, SLICE_BYTES)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, held, size = [], [], 0
