@@ -37,14 +37,27 @@ def term_words(spark: SparkSession, terms: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, word string, n int")
 
 
-def matched_terms(df: DataFrame, terms: DataFrame, by: list[str], text: str = "title") -> DataFrame:
-    """(by, kind, name) of the terms all of whose words are among the words of the text.
+TEXT_KEY = ["__digest", "__by"]
 
-    ``terms``: kind, name, word, n. An equi join of words, each once per article, with the terms' words; a list of any
-    length is a table like any other, which Spark broadcasts on its size. What is found is counted per article.
+
+def with_text_key(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """Adds ``TEXT_KEY``: a digest of the text, and a hash of ``by`` so that copies of a hot text have many keys.
+
+    What a text holds depends on nothing but the text, so rows with equal keys may share what is found. No part is
+    null where the text is not.
+    """
+    return df.withColumn("__digest", F.sha2(F.col(text), 256)).withColumn("__by", F.xxhash64(*by))
+
+
+def matched_terms(keyed: DataFrame, terms: DataFrame, text: str = "title") -> DataFrame:
+    """(TEXT_KEY, kind, name) of the terms all of whose words are among the words of the text.
+
+    ``terms``: kind, name, word, n. An equi join of words with the terms' words; a list of any length is a table like
+    any other, which Spark broadcasts on its size. Distinct words are counted, so rows that repeat do not add up.
     """
-    words = df.select(*by, F.explode(title_words(F.col(text))).alias("word"))
-    return (words.join(terms, "word").groupBy(*by, "kind", "name").agg(F.count(F.lit(1)).alias("found"), F.max("n").alias("n"))
+    words = keyed.select(*TEXT_KEY, F.explode(title_words(F.col(text))).alias("word"))
+    return (words.join(terms, "word").groupBy(*TEXT_KEY, "kind", "name")
+            .agg(F.size(F.collect_set("word")).alias("found"), F.max("n").alias("n"))
             .where(F.col("found") == F.col("n")).drop("found", "n"))
 
 
@@ -52,22 +65,24 @@ def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str
                 text: str = "title", source: str = "source_country") -> DataFrame:
     """(article, target country) pairs for the countries a text names, with the scope of each pair.
 
-    ``country_terms`` maps a country to the term that names it; ``by`` are columns that identify an article. With
-    ``subjects`` a text must hold one of them as well; those it holds are in ``subjects``, in order. Only the countries
-    found are exploded, so there is never a product of articles and countries.
+    ``country_terms`` maps a country to the term that names it; ``by`` are columns that tell copies of a text apart.
+    Every row is matched by its own text, also where ``by`` repeats or is null. With ``subjects`` a text must hold one
+    of them as well; those it holds are in ``subjects``, in order. Only the countries found are exploded, so there is
+    never a product of articles and countries.
     """
     spark = df.sparkSession
     terms = term_words(spark, country_terms).withColumn("kind", F.lit("country"))
     if subjects is not None:
         terms = terms.unionByName(term_words(spark, {x: x for x in subjects}).withColumn("kind", F.lit("subject")))
     names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name"))))
-    found = matched_terms(df, terms, by, text).groupBy(*by).agg(
+    keyed = with_text_key(df, by, text)
+    found = matched_terms(keyed, terms, text).groupBy(*TEXT_KEY).agg(
         names("country").alias("__countries"), names("subject").alias("subjects"))
     found = found.where(F.size("__countries") > 0)
     if subjects is not None:
         found = found.where(F.size("subjects") > 0)
-    return (df.join(found, by).withColumn("target_country", F.explode("__countries")).drop("__countries")
-            .withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
+    return (keyed.join(found, TEXT_KEY).drop(*TEXT_KEY).withColumn("target_country", F.explode("__countries"))
+            .drop("__countries").withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
 
 
 def seen_in_slot(df: DataFrame, slot_end: Column, seen: str = "seen", hours: int = SLOT_HOURS) -> DataFrame:

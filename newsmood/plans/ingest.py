@@ -31,7 +31,8 @@ COUNT_KEYS = ["target_country", "slot", "scope", "model"]
 def flag_articles(articles: DataFrame, country_terms: dict[str, str], codes: DataFrame, relevant: DataFrame,
                   subjects: list[str] | None = SUBJECTS, hours: int = SLOT_HOURS) -> DataFrame:
     """Articles(url, title, seen, domain, language, source_country) paired with the countries they name, in their
-    slot, deduplicated per (country, scope, slot), with the subjects they hold and the relevance flag.
+    slot, deduplicated per (country, scope, slot), with the subjects they hold and the relevance flag. Articles may land
+    any number of times, and urls may be null.
 
     Every article stays that some request for the group returns, however many there are. Of equal titles the one seen
     first stays, then the smaller url: the order in which requests happen to be answered is not kept.

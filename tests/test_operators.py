@@ -1,5 +1,6 @@
 """Operators against brute force over small fixtures, hot keys included."""
 
+import datetime
 import random
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from newsmood.functions.timing import ntz
 from newsmood.operators import articles as art
 from newsmood.operators import domains, labels, models, nested, outlets, skew
 from newsmood.operators.lexicon import lexicon_score
-from newsmood.plans import reports
+from newsmood.plans import ingest, reports
 
 SLOT = "2025-01-01 00:00:00"
 
@@ -122,6 +123,32 @@ def test_terms_are_whole_words(spark):
         (4, "Oman", ("Economy", "Trade"))}
 
 
+def test_rows_are_matched_one_by_one(spark):
+    """The same article landed twice, two titles under one url, and null urls."""
+    rows = [("u1", "India trade"), ("u1", "India trade"), ("u2", "Burkina economy"), ("u2", "Faso economy"),
+            ("u3", "India"), ("u3", "economy"), (None, "India economy"), (None, "Burkina Faso trade")]
+    df = spark.createDataFrame([(*r, "India") for r in rows], "url string, title string, source_country string")
+    terms = {"India": "India", "Burkina Faso": "Burkina Faso"}
+    got = art.scope_pairs(df, terms, ["Economy", "Trade"], by=["url"]).collect()
+    assert sorted((r.url or "", r.title, r.target_country, tuple(r.subjects)) for r in got) == [
+        ("", "Burkina Faso trade", "Burkina Faso", ("Trade",)), ("", "India economy", "India", ("Economy",)),
+        ("u1", "India trade", "India", ("Trade",)), ("u1", "India trade", "India", ("Trade",))]
+
+
+def test_flag_articles_keeps_repeated_articles(spark):
+    seen = datetime.datetime(2024, 1, 1, 1)
+    rows = [("u1", "India trade"), ("u1", "India trade"), ("u2", "India economy"), ("u2", "India energy"),
+            (None, "India trade up")]
+    df = spark.createDataFrame(
+        [(*r, seen, "a.in", "English", "India") for r in rows],
+        "url string, title string, seen timestamp_ntz, domain string, language string, source_country string")
+    codes = spark.createDataFrame([("India", "IN")], "name string, code string")
+    relevant = spark.createDataFrame([("a.in", ["IN"])], "domain string, codes array<string>")
+    got = ingest.flag_articles(df, {"India": "India"}, codes, relevant, ["Trade", "Economy", "Energy"]).collect()
+    assert sorted((r.url or "", r.title) for r in got) == [
+        ("", "India trade up"), ("u1", "India trade"), ("u2", "India economy"), ("u2", "India energy")]
+
+
 def test_any_number_of_terms(spark):
     df = spark.createDataFrame([(1, "w17 w4999", "x")], "id int, title string, source_country string")
     got = art.scope_pairs(df, {f"C{i}": f"w{i}" for i in range(5_000)}, None, by=["id"]).collect()
