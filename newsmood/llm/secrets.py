@@ -210,14 +210,15 @@ def summary(docs: DataFrame, rate: float = FDR) -> DataFrame:
                                    _joined(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id", text_col: str = "text",
-           mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rate: float = FDR, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with each span, or run of overlapping spans, replaced by ``mark``. All other columns stay.
 
-    Ids are taken to be unique. A text without spans, a null one too, stays as it is.
+    The rows are stored once, each with a key of its own that brings its spans back to it: ids may repeat, with equal
+    or other texts, or be null. A text without spans, a null one too, stays as it is.
     """
-    key, at_spans = free_name(docs, "found_id"), free_name(docs, "found_spans")
-    found = (scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rate)
+    key, at_spans = free_name(docs, "found_row"), free_name(docs, "found_spans")
+    stored = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "to-redact")
+    found = (scan(stored.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")), rate)
              .where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(at_spans)))
     kind = "array<struct<start:int,end:int>>"
     merged = F.aggregate(F.array_sort(at_spans), F.array().cast(kind), lambda done, s: F.when(
@@ -232,6 +233,6 @@ def redact(docs: DataFrame, rate: float = FDR, id_col: str = "doc_id", text_col:
         text, F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]) + 1,
         F.when(i == F.size(at_spans), F.length(text)).otherwise(at(F.least(i + 1, F.size(at_spans)))["start"])
         - F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"])))
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col(key), "left").withColumn(at_spans, merged)
+    joined = stored.join(found, key, "left").withColumn(at_spans, merged)
     clean = F.when(F.col(at_spans).isNull(), text).otherwise(F.array_join(pieces, mark))
     return joined.withColumn(text_col, clean).select(*docs.columns)

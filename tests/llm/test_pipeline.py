@@ -71,5 +71,12 @@ def test_stages_keep_the_columns(spark, make_docs, sf):
     assert masked == {0: ("plain text here", 15), 1: (None, None), 2: ("", 0), 3: ("[SECRET]", 8)}
 
 
+def test_mask_stage_with_repeated_rows_and_null_ids(spark, make_docs, sf):
+    rows = [(1, "token = 0123456789abcdef0123")] * 2 + [(1, "x 0123456789abcdef"), (None, "0123456789abcdef y")]
+    out = corpus_pipeline.mask_secrets(spark, make_docs(rows, clash=False), sf).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in out) == [
+        (0, "[SECRET] y", 10), (1, "[SECRET]", 8), (1, "[SECRET]", 8), (1, "x [SECRET]", 10)]
+
+
 def test_crc_of_pieces_is_of_packed_ids():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
