@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -35,11 +35,11 @@ def ship_code(spark: SparkSession) -> None:
     context.addPyFile(archive)
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) only, whatever else the table has; a null text is an empty one."""
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text) and the columns ``more``, whatever else the table has; a null text is an empty one."""
     ship_code(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
 def free_name(df: DataFrame, name: str) -> str:

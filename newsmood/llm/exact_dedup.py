@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches, values, with_ids
+from newsmood.llm.common import free_name, id_and_text, map_batches, values, with_ids
+from newsmood.sources.shared import materialise
 
 HELD = 192 << 20  # bytes of text that the trie of a task holds before it spills
 SEEN = 64 << 20  # bytes of text that a map task holds while it collapses its own copies
@@ -220,16 +221,18 @@ def owners(docs: DataFrame, keep: str = "largest", budget: int = HELD) -> DataFr
     return dealt.mapInArrow(_tries(largest, budget), "text_sha256 string, keep_id long, group_size long")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256) of the normalised texts."""
+def digests(docs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text_sha256) of the normalised texts, and the columns ``more`` of whole numbers."""
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sha = [hashlib.sha256(normalised(t)).hexdigest() for t in values(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha)], ["doc_id", "text_sha256"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha), *batch.columns[2:]],
+                                              ["doc_id", "text_sha256", *more])
 
         return each
 
-    return map_batches(id_and_text(docs), make, "doc_id long, text_sha256 string")
+    schema = ", ".join(["doc_id long", "text_sha256 string", *(f"{c} long" for c in more)])
+    return map_batches(id_and_text(docs, more=more), make, schema)
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = HELD) -> DataFrame:
@@ -240,6 +243,15 @@ def exact_groups(docs: DataFrame, keep: str = "largest", budget: int = HELD) ->
 
 
 def keep_one(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the columns they came with. Ids are taken to be unique."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_ids(docs, owners(named, keep).select("keep_id"), id_col)
+    """The rows that stay, one for each distinct normalised text, with the columns they came with.
+
+    The rows are stored once, each with a key of its own. Of the rows with a text and its owner's id, which may be null,
+    the one with the smallest key stays, so ids may repeat. The rows of a text and id are one before the join.
+    """
+    row = free_name(docs, "row_key")
+    stored = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "to-dedup")
+    named = stored.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("row"))
+    first = digests(named, ["row"]).groupBy("text_sha256", "doc_id").agg(F.min("row").alias("row"))
+    own = owners(named, keep).select(F.col("text_sha256").alias("owned"), "keep_id")
+    wanted = first.join(own, (F.col("text_sha256") == F.col("owned")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return with_ids(stored, wanted.select("row"), row).select(*docs.columns)

@@ -40,6 +40,16 @@ def test_smallest_and_empty(spark, make_docs):
         ed.owners(df, keep="first")
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_keep_one_keeps_one_row_of_each_text(spark, make_docs, keep):
+    rows = [(None, "alone"), (None, "twice"), (None, "TWICE"), (None, "with an id"), (4, "with an id"), (9, "again"),
+            (9, "again"), (9, "Again"), (5, "a"), (7, "b"), (5, "b"), (7, "a"), (6, None), (None, "")]
+    kept = [(r.doc_id, (r.text or "").lower()) for r in ed.keep_one(make_docs(rows).repartition(3), keep=keep).collect()]
+    low = 5 if keep == "smallest" else 7
+    assert sorted(kept, key=str) == sorted([(None, "alone"), (None, "twice"), (4, "with an id"), (9, "again"), (low, "a"),
+                                            (low, "b"), (6, "")], key=str)
+
+
 @pytest.mark.parametrize("budget", [1, 500, 5_000, 10**9])
 def test_trie_spills_by_subtree(budget):
     random.seed(3)

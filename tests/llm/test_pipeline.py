@@ -71,6 +71,13 @@ def test_stages_keep_the_columns(spark, make_docs, sf):
     assert masked == {0: ("plain text here", 15), 1: (None, None), 2: ("", 0), 3: ("[SECRET]", 8)}
 
 
+def test_copies_stage_with_repeated_rows_and_null_ids(spark, make_docs, sf):
+    rows = [(None, "nobody else has this"), (3, "the same row"), (3, "the same row"), (3, "another text of this id")]
+    out = corpus_pipeline.drop_copies(spark, make_docs(rows, clash=False), sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [
+        (0, "nobody else has this"), (3, "another text of this id"), (3, "the same row")]
+
+
 def test_mask_stage_with_repeated_rows_and_null_ids(spark, make_docs, sf):
     rows = [(1, "token = 0123456789abcdef0123")] * 2 + [(1, "x 0123456789abcdef"), (None, "0123456789abcdef y")]
     out = corpus_pipeline.mask_secrets(spark, make_docs(rows, clash=False), sf).collect()
