@@ -11,7 +11,8 @@
    collisions of signatures are counted, and pairs above the match threshold are confirmed on the full sets: first
    all members against the hub, then each member that its hub did not link against those of other components. The
    group gives a spanning forest of its links. A group of more than ``GROUP_BYTES`` of sets is dealt out as pairs of
-   blocks, so that no task holds more and no pair is lost.
+   blocks, so that no task holds much more and no pair is lost. The copies of a set that this takes, for the hub one
+   for each pair of blocks, are made by several tasks, and leave them in batches of ``GROUP_BYTES``.
 5. The forests' components are the result.
 
 A pair at the threshold of similarity agrees in a coordinate with probability 0.75; that it agrees in fewer than 9 of
@@ -132,9 +133,10 @@ def stars(classes: DataFrame) -> DataFrame:
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """(cls, groups): the (hub, block, block) tasks that a class takes part in.
+    """(cls, slice, groups): the (hub, block, block) tasks that a class takes part in, in slices whose copies of its set
+    hold ``GROUP_BYTES`` for each hub at most, or are one copy.
 
-    The array of a class is bounded by its lists and the blocks of their groups.
+    A hub takes part in all pairs of blocks of its group, others in one task for each block.
     """
     blocks = (members.groupBy("hub").agg(F.sum("n_shingles").alias("held"))
               .select("hub", F.ceil(F.col("held") * 8 / GROUP_BYTES).cast("int").alias("blocks")))
@@ -145,30 +147,43 @@ def _dealt(members: DataFrame) -> DataFrame:
                       F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
     pair = F.coalesce(pair, F.transform(every, lambda j: F.struct(
         F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"))))
+    copies = F.greatest(F.lit(1), F.floor(F.lit(GROUP_BYTES) / (F.col("n_shingles") * 8)))
     tasks = (members.join(blocks, "hub").withColumn("own", own)
-             .select("cls", F.explode(F.transform(pair, lambda p: F.struct(
-                 F.col("hub").alias("hub"), p["i"].alias("i"), p["j"].alias("j")))).alias("task")))
-    return tasks.groupBy("cls").agg(F.collect_list("task").alias("groups"))
+             .select("cls", "n_shingles", "hub", F.posexplode(pair).alias("at", "pair"))
+             .select("cls", F.floor(F.col("at") / copies).cast("int").alias("slice"),
+                     F.struct("hub", "pair.i", "pair.j").alias("task")))
+    return tasks.groupBy("cls", "slice").agg(F.collect_list("task").alias("groups"))
+
+
+def copies_of(cls: int, found: np.ndarray, groups: list[tuple], most: int) -> Iterator[pa.RecordBatch]:
+    """A set once for each of its tasks, in batches of ``most`` bytes of sets at most, or of one copy."""
+    data, sig = found.tobytes(), signature(found).tobytes()
+    step = max(1, most // len(data))
+    for at in range(0, len(groups), step):
+        hubs, firsts, seconds = zip(*groups[at:at + step], strict=True)
+        n = len(hubs)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hubs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(seconds, pa.int32()),
+             pa.array([cls] * n, pa.int64()), pa.array([data] * n, pa.binary()), pa.array([sig] * n, pa.binary())],
+            ["hub", "i", "j", "cls", "found", "sig"])
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(hub, i, j, cls, found, sig): the full set of each class, once for each of its tasks."""
+    """(hub, i, j, cls, found, sig): the full set of each class, once for each of its tasks.
+
+    The slices of a class are dealt out with its text, so that the copies of a hub are not made in one task.
+    """
     wanted = dealt.join(classes.select("cls", "set_key"), "cls")
-    rows = (id_and_text(docs).join(wanted, F.col("doc_id") == F.col("cls"))
+    rows = (id_and_text(docs).join(wanted, F.col("doc_id") == F.col("cls")).repartition("cls", "slice")
             .select("cls", "text", "set_key", F.col("groups.hub"), F.col("groups.i"), F.col("groups.j")))
+    most = GROUP_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cls, text, key, hubs, firsts, seconds in zip(*(values(c) for c in batch.columns), strict=True):
                 found = shingles(text)
-                if _key(found) != key:
-                    continue  # another row with the id of the class
-                n = len(hubs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hubs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(seconds, pa.int32()),
-                     pa.array([cls] * n, pa.int64()), pa.array([found.tobytes()] * n, pa.binary()),
-                     pa.array([signature(found).tobytes()] * n, pa.binary())],
-                    ["hub", "i", "j", "cls", "found", "sig"])
+                if _key(found) == key:  # else another row with the id of the class
+                    yield from copies_of(cls, found, list(zip(hubs, firsts, seconds, strict=True)), most)
 
     return rows.mapInArrow(run, "hub long, i int, j int, cls long, found binary, sig binary")
 

@@ -73,6 +73,27 @@ def test_same_as_brute_force(spark, make_docs, monkeypatch, group_bytes):
     assert {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if w[2]}
 
 
+def test_copies_of_a_hub_are_made_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 16_000)
+    members = spark.createDataFrame([(1, cls, 1_000) for cls in range(1, 51)], "hub long, cls long, n_shingles long")
+    rows = near_dedup._dealt(members).collect()
+    assert max(len(r.groups) for r in rows) * 8_000 <= 16_000
+    tasks = {c: Counter(tuple(g) for r in rows if r.cls == c for g in r.groups) for c in range(1, 51)}
+    every = {(1, i, j) for i in range(25) for j in range(i, 25)}
+    assert set(tasks[1]) == every and all(len(tasks[c]) == 25 for c in range(2, 51))
+    assert all(n == 1 for found in tasks.values() for n in found.values())
+    assert all(tasks[a].keys() & tasks[b].keys() for a, b in itertools.combinations(tasks, 2))  # no pair is lost
+
+
+def test_batches_of_copies_are_bounded():
+    found, groups = np.arange(1_000, dtype=np.uint64), [(1, i, j) for i in range(24) for j in range(i, 24)]
+    for most, step in ((20_000, 2), (1, 1)):
+        batches = list(near_dedup.copies_of(7, found, groups, most))
+        assert max(b.num_rows for b in batches) == step
+        assert [(r["hub"], r["i"], r["j"]) for b in batches for r in b.to_pylist()] == groups
+    assert batches[0].to_pylist()[0]["found"] == found.tobytes()
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark, make_docs):
     docs = make_docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (3, None)])
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()))
