@@ -9,16 +9,20 @@
    only where a piece fits no open one. The state is a count for each gap: ``size`` numbers, whatever the number of
    bins. Pieces of exactly ``size`` fill a bin of their own.
 
+The string of a special token, such as ``<|endoftext|>``, is its one id, as for ``tokenizers`` with the file as loaded.
 A text without ids still has its end token, so that every document has a piece. Null is an empty text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ JOINED = 256  # unseen words that go to the tokenizer as one text
 
 
 class TokenizerMemo(WordMemo):
-    """Ids by ``tokenizers`` of a vocabulary file; the strings of special tokens are ordinary text."""
+    """Ids by ``tokenizers`` of a vocabulary file. The strings of special tokens are ordinary text, but in
+    ``special_batch``, where each is the one id that the file gives it."""
 
     def __init__(self, path: str, pattern: str, most: int, slice_bytes: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task for each core
@@ -45,11 +50,30 @@ class TokenizerMemo(WordMemo):
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
         self.line_break = self._ids("\n")[0]
+        # the longest first, as one string may begin with another; the file's have no further conditions
+        added = sorted((t.content, i) for i, t in self.own.get_added_tokens_decoder().items() if t.special)
+        self.special = {text: np.array([i], "<u4") for text, i in added}
+        self.special_re = "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))
         super().__init__(pattern, self._encode, most, slice_bytes)
 
     def _ids(self, text: str) -> list[int]:
         return self.own.encode(text, add_special_tokens=False).ids
 
+    def special_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text as the vocabulary file is loaded: texts are split at the strings of special tokens."""
+        held = pa.array(np.zeros(len(texts), bool))
+        for text in self.special:
+            held = pc.or_(held, pc.match_substring(texts, text))
+        at, low = np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist(), 0
+        for i in [*at, len(texts)]:
+            yield from self.batch(texts[low:i])
+            if i < len(texts):
+                parts = re.split(f"({self.special_re})", texts[i].as_py())
+                plain = self.batch(pa.array(parts[::2], pa.string()))
+                yield np.concatenate([ids for p, found in zip([*parts[1::2], None], plain, strict=True)
+                                      for ids in (found, *([] if p is None else [self.special[p]]))])
+            low = i + 1
+
     def _encode(self, matches: list[str]) -> list[bytes]:
         """Several matches that begin with a space make one text, a line each, which is cut at the line breaks.
 
@@ -86,7 +110,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 0, size: int
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.batch(batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.special_batch(batch.column(1)), strict=True):
                 for k, (at, n) in enumerate(cut(len(ids) + 1, size)):
                     crc = zlib.crc32(ids[at:at + n])
                     rows.append((doc_id, k, at, n, zlib.crc32(end, crc) if at + n > len(ids) else crc))

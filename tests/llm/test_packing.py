@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from newsmood.llm import packing
@@ -45,6 +46,19 @@ def test_pieces_and_sequences(spark, make_docs):
     assert packing.pack(make_docs([]), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_special_tokens_as_the_file_has_them(spark, make_docs):
+    own, memo = Tokenizer.from_file(PATH), packing.word_ids(PATH, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(6)
+    parts = ["a", "bc", " ", "\n", "é", "1", "'s", "\t", "<|endoftext|>", "<|endoftext|", "<|"]
+    texts = ["", "a b", "<|endoftext|>"] + ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(1_000)]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in memo.special_batch(pa.array(texts))] == want
+    assert sum(50256 in ids for ids in want) > 300
+    rows = packing.pack(make_docs(texts), PATH, public_tokenizers.PATTERN).collect()
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in rows} == {
+        (i, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_sum_of_squares_against_definition():
     """Each piece goes where the sum of squares, counted anew, is smallest."""
     rng = np.random.default_rng(1)
