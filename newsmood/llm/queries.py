@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import (bpe, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_scan, toxicity,
-                          url_filter)
+from newsmood.llm import (bpe, conversations, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_scan,
+                          toxicity, url_filter)
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -72,6 +72,11 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_nearest": op9_nearest,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
