@@ -7,7 +7,8 @@ Nodes have prices that start at 0, with which no arc costs less than the fall of
 its origin along an arc that costs exactly the fall; where there is none, the price of its last node rises to the least
 it can and the path is contracted by that node. When the path ends in a node whose price has converged, so have the
 prices of all its nodes. Origins are taken from the end of the lattice on, every ``STRIDE`` rows, and keep the prices
-found before, so a path is extended over few rows only and the work grows with the rows.
+found before. The rows before them start at the least price of the origins' row, which leaves every arc at or above its
+fall. So paths are extended and prices raised over few rows only, and the work grows with the rows.
 
 In the converged prices an arc is tight when it costs exactly the fall. Every cheapest path consists of tight arcs and
 every path of tight arcs from an origin to an exit is cheapest, so the path with the least letters is traced through them
@@ -18,8 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-STATES, STRIDE = 4, 32
+STATES, STRIDE = 4, 8
 Arc = tuple[int, int, int, object]
+Path = list
 
 
 class Lattice:
@@ -30,7 +32,12 @@ class Lattice:
         self.price = [0] * (STATES * len(arcs))
         self.solved = bytearray(len(self.price))
         self.alive = self._alive()
+        after = self.n
         for i in sorted({*range(self.n, -1, -stride), 0}, reverse=True):
+            if i < after:
+                least = min(self.price[STATES * after + q] for q in range(STATES) if self.alive[STATES * after + q])
+                self.price[STATES * i:STATES * after] = [least] * (STATES * (after - i))
+                after = i
             for q in range(STATES):
                 if self.alive[STATES * i + q]:
                     self._auction(i, q)
@@ -53,8 +60,8 @@ class Lattice:
 
     def _auction(self, i: int, q: int) -> None:
         price, solved, alive, arcs = self.price, self.solved, self.alive, self.arcs
-        path = [STATES * i + q]
-        while path:
+        path = Path([STATES * i + q])
+        while True:
             node = path[-1]
             if solved[node]:
                 break

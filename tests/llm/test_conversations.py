@@ -6,8 +6,7 @@ import zlib
 
 import pytest
 
-from newsmood.llm import conversations
-from newsmood.llm.lattice import Lattice
+from newsmood.llm import conversations, lattice
 
 ROWS = "conv_id long, turn long, role string, text string"
 WHITE = " \t\n\x0b\x0c\r"
@@ -159,18 +158,18 @@ def test_no_rows_and_no_rows_left(spark):
         gone: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
 
 
-def test_lattice_of_a_long_conversation_takes_linear_time():
+def test_lattice_of_a_long_conversation_takes_linear_time(monkeypatch):
     rng = random.Random(4)
     steps = []
 
-    class Counted(Lattice):
-        def _auction(self, i, q):
-            price = self.price
-            before = sum(price)
-            super()._auction(i, q)
-            steps.append(sum(price) - before)
+    class Path(list):
+        def append(self, node):
+            steps[-1] += 1
+            super().append(node)
 
+    monkeypatch.setattr(lattice, "Path", Path)
     for n in (2_000, 8_000):
+        steps.append(0)
         codes = bytes(rng.choice([1, 2, 1, 2, 0, 3, 17, 5, 10]) for _ in range(n))
         found = conversations.leaf_lattice(codes, conversations.DONE, True)
         letters, end = found.trace(0)
@@ -178,3 +177,4 @@ def test_lattice_of_a_long_conversation_takes_linear_time():
         short = conversations.leaf_lattice(codes[:600], conversations.DONE, True)
         assert (short.cost(0, 0), "".join(short.trace(0)[0])) == cheapest(rows)
         assert end in (0, 3) and sum(x != "I" for x in letters) == n
+    assert steps[1] < 5 * steps[0]
