@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.llm import (bpe, conversations, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_scan,
-                          toxicity, url_filter)
+                          toxicity, url_filter, whitening)
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -72,6 +72,10 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     return conversations.report(rows, conversations.damaged(rows))
@@ -88,6 +92,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_nearest": op9_nearest,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_whitening": op11_whitening,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
