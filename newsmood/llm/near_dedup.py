@@ -1,80 +1,42 @@
 """Near-duplicate documents by an inverted join over the coordinates of MinHash signatures.
 
-1. ``signed``: words, hashed 5-word shingles and a signature of ``COORDINATES`` minima for every document. Documents
-   with equal shingle sets are one class, represented by its smallest id; from here on only classes count.
+1. Words, hashed 5-word shingles and a signature of ``COORDINATES`` minima for every document. Documents with equal
+   shingle sets are one class with a number of its own; from here on only classes count.
 2. Posting: a class is posted under each (coordinate, value). Lists of one class are dropped. A pair that agrees in
    ``MATCHES`` coordinates must meet in a list that is not among the ``MATCHES - 1`` longest of either class, so these
    long lists are skipped (prefix filter, rarest first).
 3. Each remaining list has a hub, its member that meets most others over all its lists. Only (hub, member) pairs leave
    a list, so a list of n classes makes n - 1 rows. All pairs of a list share its hub's group.
-4. The texts of grouped classes are shingled once more and their full sets meet in the task of the group. There the
-   collisions of signatures are counted, and pairs above the match threshold are confirmed on the full sets: first
-   all members against the hub, then each member that its hub did not link against those of other components. The
-   group gives a spanning forest of its links. A group of more than ``GROUP_BYTES`` of sets is dealt out as pairs of
-   blocks, so that no task holds much more and no pair is lost. The copies of a set that this takes, for the hub one
-   for each pair of blocks, are made by several tasks, and leave them in batches of ``GROUP_BYTES``.
-5. The forests' components are the result.
+4. The texts of grouped classes are shingled once more and their full sets meet in the tasks of the group
+   (``setjoin.links``). There the collisions of signatures are counted, and pairs above the match threshold are confirmed
+   on the full sets: first all members against the hub, then the others against those of other components.
+5. The components of the links are the result.
 
 A pair at the threshold of similarity agrees in a coordinate with probability 0.75; that it agrees in fewer than 9 of
-32 has a probability of about 2e-8, and of less for more similar pairs. That is the only way to lose a link.
+32 has a probability of 4e-9, and of less for more similar pairs. That is the only way to lose a link.
 
 Defined results: without words, or with a null text, a document has no shingles and is linked with nothing. With fewer
-than five words the whole sequence is the one shingle. Rows that repeat are copies. A null id is in no component.
+than five words the whole sequence is the one shingle. Rows that repeat are copies. Ids may repeat with other texts: each
+row is in the component of its own text. Rows with a null id are linked like others; component_id is the smallest id that
+is not null, and null where there is none.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import id_and_text, map_batches, values, with_ids, worker_cache
-from newsmood.llm.components import components
+from newsmood.llm import setjoin
+from newsmood.llm.setjoin import SetJoin
 from newsmood.sources.shared import materialise
 
 COORDINATES, MATCHES, WORDS = 32, 9, 5
 PERCENT = 75
-GROUP_BYTES = 16 << 20
-VOCABULARY = 300_000  # words whose hashes a Python worker keeps before it starts again
 
-_RANDOM = np.random.default_rng(2024)
-FACTORS = _RANDOM.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(2025)
 SLOPES = _RANDOM.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(1, 2**63, COORDINATES, dtype=np.uint64)
-SIG = "array<int>"
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= VOCABULARY:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-def shingles(text: str) -> np.ndarray:
-    """The distinct hashed shingles of a text, ascending. bytes.split() cuts at x20 and x09-x0D and nowhere else."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = worker_cache("word hashes", WordHashes)
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(each) - WORDS + 1)
-    total = np.zeros(n, np.uint64)
-    for i in range(min(WORDS, len(each))):
-        total += each[i:i + n] * FACTORS[i]
-    if len(each) < WORDS:  # else a short sequence could meet a longer one that ends in a word hashed to 0
-        total += np.uint64(len(each))
-    total ^= total >> np.uint64(33)
-    total *= np.uint64(0xFF51AFD7ED558CCD)
-    total ^= total >> np.uint64(33)
-    return np.unique(total)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -85,35 +47,29 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def _key(found: np.ndarray) -> bytes:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+class MinHashJoin(SetJoin):
+    words, percent, payload = WORDS, PERCENT, "array<int>"
 
+    def post(self, found: np.ndarray) -> list[int]:
+        return signature(found).view(np.int32).tolist()
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig) of every document; set_key and sig are null without shingles."""
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts, keys, sigs = [], [], []
-            for text in values(batch.column(1)):
-                found = shingles(text)
-                counts.append(len(found))
-                keys.append(_key(found) if len(found) else None)
-                sigs.append(signature(found).view(np.int32) if len(found) else None)
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_key", "sig"])
+    def prepared(self, sets: list[np.ndarray]) -> np.ndarray:
+        return np.stack([signature(s) for s in sets])
 
-        return each
+    def may(self, state: np.ndarray, size: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+        """Those with enough collisions of signatures."""
+        return (state[others] == state[k]).sum(axis=1) >= MATCHES
 
-    return map_batches(id_and_text(docs), make, f"doc_id long, n_shingles long, set_key binary, sig {SIG}")
+
+JOIN = MinHashJoin()
 
 
 def stars(classes: DataFrame) -> DataFrame:
     """(hub, cls, n_shingles) of all members of all groups, hubs among their own members.
 
-    ``classes``: cls, n_shingles, sig.
+    ``classes``: cls, n_shingles, payload.
     """
-    posted = (classes.select("cls", "n_shingles", F.posexplode("sig").alias("at", "value"))
+    posted = (classes.select("cls", "n_shingles", F.posexplode("payload").alias("at", "value"))
               .select("cls", "n_shingles",
                       (F.shiftleft(F.col("at").cast("long"), 32)
                        + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("list")))
@@ -129,169 +85,23 @@ def stars(classes: DataFrame) -> DataFrame:
     hubs = (kept.groupBy("list").agg(F.max(F.struct("meets", (-F.col("cls")).alias("first"))).alias("hub"),
                                      F.count(F.lit(1)).alias("n"))
             .where("n > 1").select("list", (-F.col("hub.first")).alias("hub")))
-    return kept.join(hubs, "list").select("hub", "cls", "n_shingles").distinct()
-
-
-def _dealt(members: DataFrame) -> DataFrame:
-    """(cls, slice, groups): the (hub, block, block) tasks that a class takes part in, in slices whose copies of its set
-    hold ``GROUP_BYTES`` for each hub at most, or are one copy.
-
-    A hub takes part in all pairs of blocks of its group, others in one task for each block.
-    """
-    blocks = (members.groupBy("hub").agg(F.sum("n_shingles").alias("held"))
-              .select("hub", F.ceil(F.col("held") * 8 / GROUP_BYTES).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pair = F.when(F.col("cls") == F.col("hub"),
-                  F.flatten(F.transform(every, lambda i: F.transform(
-                      F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    pair = F.coalesce(pair, F.transform(every, lambda j: F.struct(
-        F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"))))
-    copies = F.greatest(F.lit(1), F.floor(F.lit(GROUP_BYTES) / (F.col("n_shingles") * 8)))
-    tasks = (members.join(blocks, "hub").withColumn("own", own)
-             .select("cls", "n_shingles", "hub", F.posexplode(pair).alias("at", "pair"))
-             .select("cls", F.floor(F.col("at") / copies).cast("int").alias("slice"),
-                     F.struct("hub", "pair.i", "pair.j").alias("task")))
-    return tasks.groupBy("cls", "slice").agg(F.collect_list("task").alias("groups"))
-
-
-def copies_of(cls: int, found: np.ndarray, groups: list[tuple], most: int) -> Iterator[pa.RecordBatch]:
-    """A set once for each of its tasks, in batches of ``most`` bytes of sets at most, or of one copy."""
-    data, sig = found.tobytes(), signature(found).tobytes()
-    step = max(1, most // len(data))
-    for at in range(0, len(groups), step):
-        hubs, firsts, seconds = zip(*groups[at:at + step], strict=True)
-        n = len(hubs)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hubs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(seconds, pa.int32()),
-             pa.array([cls] * n, pa.int64()), pa.array([data] * n, pa.binary()), pa.array([sig] * n, pa.binary())],
-            ["hub", "i", "j", "cls", "found", "sig"])
-
-
-def _full_sets(docs: DataFrame, classes: DataFrame, dealt: DataFrame) -> DataFrame:
-    """(hub, i, j, cls, found, sig): the full set of each class, once for each of its tasks.
-
-    The slices of a class are dealt out with its text, so that the copies of a hub are not made in one task.
-    """
-    wanted = dealt.join(classes.select("cls", "set_key"), "cls")
-    rows = (id_and_text(docs).join(wanted, F.col("doc_id") == F.col("cls")).repartition("cls", "slice")
-            .select("cls", "text", "set_key", F.col("groups.hub"), F.col("groups.i"), F.col("groups.j")))
-    most = GROUP_BYTES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cls, text, key, hubs, firsts, seconds in zip(*(values(c) for c in batch.columns), strict=True):
-                found = shingles(text)
-                if _key(found) == key:  # else another row with the id of the class
-                    yield from copies_of(cls, found, list(zip(hubs, firsts, seconds, strict=True)), most)
-
-    return rows.mapInArrow(run, "hub long, i int, j int, cls long, found binary, sig binary")
-
-
-def similar(common, size_a, size_b):
-    return 100 * common >= PERCENT * (size_a + size_b - common)
-
-
-def forest(hub: int, ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of the links among the members of a group.
-
-    Sets are compared by their parts in and outside the hub's set: a bit for each element of the hub's set, and an
-    index of the elements outside it, which near copies share with few others.
-    """
-    top = int(np.flatnonzero(ids == hub)[0])
-    base, n = sets[top], len(ids)
-    size = np.array([len(s) for s in sets])
-    group = np.arange(n)
-    edges: list[tuple[int, int]] = []
-
-    def root(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    bits = np.zeros((n, -(-len(base) // 64) * 64), np.uint8)
-    outside, holders = [], {}
-    for k, found in enumerate(sets):
-        at = np.minimum(np.searchsorted(base, found), len(base) - 1)
-        inside = base[at] == found
-        bits[k, at[inside]] = 1
-        outside.append(found[~inside])
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    within = size - np.array([len(x) for x in outside])
-
-    # collisions with the hub are counted first, then the full sets decide
-    linked = ((sigs == sigs[top]).sum(axis=1) >= MATCHES) & similar(within, size, size[top])
-    linked[top] = True
-    for k in np.flatnonzero(linked):
-        if k != top:
-            group[k] = top
-            edges.append((hub, int(ids[k])))
-    rest = np.flatnonzero(~linked)
-    if not len(rest):
-        return edges
-    for k in rest:
-        for element in outside[k].tolist():
-            holders.setdefault(element, []).append(k)
-    for k in np.flatnonzero(linked):
-        for element in outside[k].tolist():
-            if element in holders:  # only elements of members that are compared below
-                holders[element].append(k)
-    open_ = np.ones(n, bool)  # not yet compared with all others
-    for k in rest.tolist():
-        open_[k] = False
-        match = open_ & ((sigs == sigs[k]).sum(axis=1) >= MATCHES)
-        match &= 100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])
-        others = np.flatnonzero(match)
-        if not len(others):
-            continue
-        common = np.bitwise_count(packed[others] & packed[k]).sum(axis=1).astype(np.int64)
-        meet = [x for element in outside[k].tolist() if len(holders[element]) > 1 for x in holders[element]]
-        if meet:
-            common += np.bincount(meet, minlength=n)[others]
-        for other in others[similar(common, size[others], size[k])].tolist():
-            a, b = root(k), root(other)
-            if a != b:
-                group[a] = b
-                edges.append((int(ids[k]), int(ids[other])))
-    return edges
-
-
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): edges between classes that span the components of all links."""
-    members = materialise(stars(classes.select("cls", "n_shingles", "sig")), "stars")
+    return materialise(kept.join(hubs, "list").select("hub", "cls", "n_shingles").distinct(), "stars")
 
-    def link(table: pa.Table) -> pa.Table:
-        hub = table.column("hub")[0].as_py()
-        rows = {}
-        for cls, found, sig in zip(*(table.column(c).to_pylist() for c in ("cls", "found", "sig")), strict=True):
-            rows[cls] = (np.frombuffer(found, np.uint64), np.frombuffer(sig, np.uint32))
-        ids = np.array(sorted(rows), np.int64)
-        pairs = []
-        if hub in rows:
-            pairs = forest(hub, ids, [rows[i][0] for i in ids.tolist()], np.stack([rows[i][1] for i in ids.tolist()]))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()),
-                         "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return _full_sets(docs, classes, _dealt(members)).groupBy("hub", "i", "j").applyInArrow(link, "a long, b long")
+def _solved(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, component) and ``more`` of every row."""
+    every = materialise(setjoin.signed(docs, JOIN, more), "signed")
+    classes = setjoin.classes_of(every)
+    return setjoin.resolved(every, classes, setjoin.links(docs, classes, stars(classes), JOIN))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    every = materialise(signed(docs), "signed")
-    classes = materialise(every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key", "n_shingles", "sig")
-                          .agg(F.min("doc_id").alias("cls")), "classes")
-    found = components(links(docs, classes))
-    of_class = (classes.join(found, F.col("cls") == F.col("node"), "left")
-                .select("set_key", F.coalesce("component", "cls").alias("component_id")))
-    some = (every.where("n_shingles > 0 AND doc_id IS NOT NULL").join(of_class, "set_key")
-            .select("doc_id", "n_shingles", "component_id"))
-    none = (every.where("n_shingles = 0 OR doc_id IS NULL")
-            .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _solved(docs).select("doc_id", "n_shingles", "component_id",
+                                F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, with the columns they came with. Ids are taken to be unique."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_ids(docs, near_duplicates(named).where("NOT kept").select("doc_id"), id_col, "left_anti")
+    """The rows that stay, one of each component, with the columns they came with: the row with the smallest id, of
+    several with that id one; rows without shingles stay. Nothing is kept or dropped by id."""
+    return setjoin.keep_first(docs, id_col, text_col, lambda named: _solved(named, ("row",)))
