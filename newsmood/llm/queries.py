@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import (bpe, conversations, exact_dedup, near_dedup, neighbours, packing, quality, secrets, token_scan,
-                          toxicity, url_filter, whitening)
+from newsmood.llm import (bpe, conversations, exact_dedup, near_dedup, neighbours, packing, parity_join, quality, secrets,
+                          token_scan, toxicity, url_filter, whitening)
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -76,6 +76,10 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     return conversations.report(rows, conversations.damaged(rows))
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_whitening": op11_whitening,
+    "op12_ngram_jaccard": op12_ngram_jaccard,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
