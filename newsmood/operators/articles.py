@@ -14,6 +14,7 @@ from newsmood.functions.text import is_english, translator_language
 from newsmood.functions.timing import in_slot
 from newsmood.operators.domains import is_relevant
 from newsmood.operators.skew import SALTS, first_per_group, spread_join, top_n_per_group
+from newsmood.sources.shared import materialise
 
 GROUP = ["target_country", "scope", "slot"]
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -61,6 +62,25 @@ def matched_terms(keyed: DataFrame, terms: DataFrame, text: str = "title") -> Da
             .where(F.col("found") == F.col("n")).drop("found", "n"))
 
 
+def _held(words: Column, terms: dict[str, str]) -> Column:
+    """The names, in order, of the terms all of whose words are among ``words``. Terms without a word are never held."""
+    listed = [(name, sorted(set(re.findall(r"[^\W_]+", term.lower())))) for name, term in sorted(terms.items())]
+    listed = [(name, parts) for name, parts in listed if parts]
+    if not listed:
+        return F.array().cast("array<string>")
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, parts)).alias("words"))
+                      for name, parts in listed])
+    every = F.array(*map(F.lit, sorted({w for _, parts in listed for w in parts})))
+    return F.transform(
+        F.array(F.array_intersect(words, every)),  # so that it is computed once, not for each term
+        lambda known: F.transform(F.filter(table, lambda t: F.size(F.array_except(t["words"], known)) == 0),
+                                  lambda t: t["name"]))[0]
+
+
+#: Up to so many terms are matched within a row, as literals of the plan; more are a table that words are joined with.
+INLINE_TERMS = 1_000
+
+
 def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None, by: list[str],
                 text: str = "title", source: str = "source_country") -> DataFrame:
     """(article, target country) pairs for the countries a text names, with the scope of each pair.
@@ -68,12 +88,29 @@ def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str
     ``country_terms`` maps a country to the term that names it; ``by`` are columns that tell copies of a text apart.
     Every row is matched by its own text, also where ``by`` repeats or is null. With ``subjects`` a text must hold one
     of them as well; those it holds are in ``subjects``, in order. Only the countries found are exploded, so there is
-    never a product of articles and countries.
+    never a product of articles and countries. Within ``INLINE_TERMS`` no text leaves its task, and the same plan works
+    on a stream; the rows are the same either way.
     """
+    if len(country_terms) + len(subjects or []) > INLINE_TERMS:
+        found = _pairs_by_join(df, country_terms, subjects, by, text)
+    else:
+        words = title_words(F.col(text))
+        found = df.withColumn("__countries", _held(words, country_terms)).withColumn(
+            "subjects", _held(words, {s: s for s in subjects or []})).where(F.size("__countries") > 0)
+        if subjects is not None:
+            found = found.where(F.size("subjects") > 0)
+    return (found.withColumn("target_country", F.explode("__countries"))
+            .drop("__countries").withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
+
+
+def _pairs_by_join(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None, by: list[str],
+                   text: str) -> DataFrame:
+    """The rows that hold a country, and a subject if there are any, with ``__countries`` and ``subjects``."""
     spark = df.sparkSession
     terms = term_words(spark, country_terms).withColumn("kind", F.lit("country"))
     if subjects is not None:
         terms = terms.unionByName(term_words(spark, {x: x for x in subjects}).withColumn("kind", F.lit("subject")))
+    terms = materialise(terms, "terms")  # a stored table, whose size is known when the join is planned
     names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name"))))
     keyed = with_text_key(df, by, text)
     found = matched_terms(keyed, terms, text).groupBy(*TEXT_KEY).agg(
@@ -81,8 +118,7 @@ def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str
     found = found.where(F.size("__countries") > 0)
     if subjects is not None:
         found = found.where(F.size("subjects") > 0)
-    return (keyed.join(found, TEXT_KEY).drop(*TEXT_KEY).withColumn("target_country", F.explode("__countries"))
-            .drop("__countries").withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
+    return keyed.join(found, TEXT_KEY).drop(*TEXT_KEY)
 
 
 def seen_in_slot(df: DataFrame, slot_end: Column, seen: str = "seen", hours: int = SLOT_HOURS) -> DataFrame:

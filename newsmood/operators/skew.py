@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsmood.sources.shared import materialise
+
 SALT = "__salt"
 SALTS = 16
 
@@ -75,3 +77,14 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Colum
     return (marked.join(offsets, cell, "inner")
             .withColumn(name, F.col("__offset") + rank - F.lit(1))
             .drop("__bucket", "__offset"))
+
+
+def positions_by_range(df: DataFrame, keys: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """``positions`` for any order: the buckets are ranges of (keys, order), cut at quantiles that Spark samples.
+
+    A group of any size is as many ranges as its rows fill, and the offset of a range is the count of those before it.
+    The ranges are written once, so that the numbers do not depend on how often they are sampled. Rows that are equal in
+    keys and order share a range.
+    """
+    ranged = df.repartitionByRange(*map(F.col, keys), *order).withColumn("__range", F.spark_partition_id())
+    return positions(materialise(ranged, "ranges"), keys, order, F.col("__range"), name).drop("__range")

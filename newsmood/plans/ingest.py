@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsmood.constants import CLASSIFIER, LEXICON, SLOT_HOURS, SUBJECTS
@@ -39,10 +39,30 @@ def flag_articles(articles: DataFrame, country_terms: dict[str, str], codes: Dat
     """
     pairs = (scope_pairs(articles, country_terms, subjects, by=["url"])
              .withColumn("slot", slot_start(F.col("seen"), hours)))
-    unique = dedup_titles(pairs, GROUP, [F.col("seen"), F.col("url")])
+    return with_flags(dedup_titles(pairs, GROUP, [F.col("seen"), F.col("url")]), codes, relevant)
+
+
+def with_flags(unique: DataFrame, codes: DataFrame, relevant: DataFrame) -> DataFrame:
+    """Adds the code of the target country, and whether the article's domain matters for it."""
     return with_relevance(with_code(unique, codes, "target_country", "target_code"), relevant, by=["url"])
 
 
+def write_counted(flagged: DataFrame, path: str, groups: list[tuple[str, str]]) -> DataFrame:
+    """Writes flagged articles and counts, in the same pass, those kept and removed of each (country, scope) in
+    ``groups``: (target_country, scope, kind, n) of the groups that have any."""
+    counts = []
+    for i, (country, scope) in enumerate(groups):
+        here = (F.col("target_country") == country) & (F.col("scope") == scope)
+        counts += [F.count_if(here & F.col("relevant")).alias(f"kept{i}"),
+                   F.count_if(here & ~F.col("relevant")).alias(f"removed{i}")]
+    seen = Observation()
+    flagged.observe(seen, *counts).write.parquet(path)
+    found = seen.get
+    rows = [(*group, kind, found[f"{kind}{i}"]) for i, group in enumerate(groups) for kind in ("kept", "removed")
+            if found[f"kept{i}"] + found[f"removed{i}"]]
+    return flagged.sparkSession.createDataFrame(rows, "target_country string, scope string, kind string, n bigint")
+
+
 def select_titles(flagged: DataFrame, translations: DataFrame | None = None,
                   translator: Callable | None = None, english: str = "English") -> DataFrame:
     """Relevant articles of complete (country, slot)s, translated.

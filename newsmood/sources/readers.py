@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newsmood import schemas
 from newsmood.functions.text import file_country_code
+from newsmood.sources.shared import materialise
 
 JSON_TIMES = "yyyyMMdd'T'HHmmss'Z'"
 
@@ -17,19 +19,75 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     Empty and unreadable payloads give no rows. ``arrival`` is the position within the payload, ``seen`` the parsed
     time (NULL if unreadable).
     """
-    payloads = (spark.read.schema(schemas.ARTICLE_PAYLOAD).option("mode", "DROPMALFORMED").json(path))
+    return article_rows(spark.read.schema(schemas.ARTICLE_PAYLOAD).option("mode", "DROPMALFORMED").json(path))
+
+
+def article_rows(payloads: DataFrame) -> DataFrame:
+    """The articles of payloads, of a table or a stream."""
     rows = payloads.select(F.posexplode("articles").alias("arrival", "a")).select("arrival", "a.*")
     return rows.withColumns({
         "seen": F.try_to_timestamp("seendate", F.lit(JSON_TIMES)).cast("timestamp_ntz"),
         "source_country": F.col("sourcecountry")}).drop("sourcecountry")
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Article payloads as ``articles``, and in ``broken`` the line of one that cannot be read, where there is one."""
+    schema = StructType([*schemas.ARTICLE_PAYLOAD.fields, StructField("broken", StringType())])
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+
+
 def read_mentions(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of {domain, countrycode, cnt} -> (domain, code, cnt)."""
     rows = spark.read.schema(schemas.MENTION_COUNT).option("multiLine", True).json(path)
     return rows.select("domain", F.col("countrycode").alias("code"), "cnt")
 
 
+def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Files that hold one JSON array of objects each, split over tasks like any text, however large the array is.
+
+    A file is cut at every closing brace. Whether a brace stands in a string follows from the parity of the quotes before
+    it, and whether it ends an object of the array from the depth of the braces outside strings; both are carried over
+    the splits of a file as sums of the splits before. Pieces of one object are put together again and parsed.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    stored = materialise(pieces, "pieces")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    marked = _carried(stored.withColumn("quotes", quotes), "quotes")
+    inside = F.col("quotes_before") % 2 == 1
+    outer = F.regexp_replace(F.when(inside, F.regexp_replace(plain, r'(?s)^[^"]*("|$)', "")).otherwise(plain),
+                             r'(?s)"[^"]*("|$)', "")
+    real = (F.col("quotes_before") + F.col("quotes")) % 2 == 0
+    opened = F.length(outer) - F.length(F.replace(outer, F.lit("{"), F.lit("")))
+    marked = _carried(marked.withColumn("real", real).withColumn("depth", opened - F.when(real, 1).otherwise(0)), "depth")
+    ends = F.when(F.col("real") & (F.col("depth_before") + F.col("depth") == 0), 1).otherwise(0)
+    marked = _carried(marked.withColumn("ends", ends), "ends")
+    objects = marked.groupBy("file", F.col("ends_before").alias("number")).agg(
+        F.concat_ws("}", F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda p: p["value"])).alias("v"))
+    text = F.ltrim(F.col("v"), F.lit("[, \t\r\n"))
+    return (objects.where(text.startswith("{")).select(F.from_json(F.concat(text, F.lit("}")), schema).alias("o"))
+            .select("o.*"))
+
+
+def _carried(pieces: DataFrame, column: str) -> DataFrame:
+    """Adds ``<column>_before``: its sum over the pieces before in the file, within the split and over those before it."""
+    split = ["file", "block"]
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (pieces.groupBy(*split).agg(F.sum(column).alias("n"))
+               .select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    within = Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(column).over(within), F.lit(0))
+    return materialise(pieces.withColumn("own", own).join(offsets, split)
+                       .withColumn(f"{column}_before", F.col("own") + F.col("offset")).drop("own", "offset"), "carried")
+
+
+def read_fact(spark: SparkSession, path: str) -> DataFrame:
+    """The scored headlines stored under a path."""
+    return spark.read.schema(schemas.SCORED_HEADLINE).parquet(path)
+
+
 def read_ranks(spark: SparkSession, path: str) -> DataFrame:
     """Folder of per-country rank files -> (domain, code, rank). Further columns of a file are ignored."""
     rows = (spark.read.schema(schemas.RANK).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path))

@@ -3,13 +3,16 @@ the rows is split over tasks instead of being written by one."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsmood import schemas
 from newsmood.functions.text import safe_name
 from newsmood.functions.timing import epoch_seconds, second_key
-from newsmood.operators.skew import spread_join
+from newsmood.operators.skew import SALT, SALTS, salt
 
 
 def append(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
@@ -22,19 +25,26 @@ def append(df: DataFrame, table: str, columns: list[str] | None = None) -> None:
     schemas.as_table(given, target).write.insertInto(table)
 
 
-def only_new(df: DataFrame, stored: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+def only_new(df: DataFrame, stored: DataFrame, keys: list[str], by: list[str] | None = None,
+             salts: int = SALTS) -> DataFrame:
     """Rows whose key is not stored yet, each once. ``keys`` identify a row, so none of them is hot; where they do not,
-    ``by`` are the columns that tell rows of one key apart, and all rows of a new key stay."""
-    known = stored.select(*keys).distinct()
+    ``by`` are the columns that tell rows of one key apart, and all rows of a new key stay. A null in a key is a value
+    like any other: rows with nulls are found again too."""
+    known = stored.select(*[F.col(k).alias(f"__known_{k}") for k in keys]).distinct()
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__known_{k}")) for k in keys))
     if by is None:
-        return df.dropDuplicates(keys).join(known, keys, "left_anti")
-    return spread_join(df, known, keys, "left_anti", by)
+        return df.dropDuplicates(keys).join(known, same, "left_anti")
+    spread = known.withColumn("__known_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return (df.withColumn(SALT, salt(by, salts))
+            .join(spread, same & (F.col(SALT) == F.col("__known_salt")), "left_anti").drop(SALT))
 
 
 def touched(df: DataFrame, stored: DataFrame, partition: str) -> DataFrame:
-    """The stored rows of the partitions that ``df`` has rows in: a batch touches few days, and only they are read."""
+    """The stored rows of the partitions that ``df`` has rows in, the null one included: a batch touches few days, and
+    only they are read."""
     values = [r[0] for r in df.select(partition).distinct().collect()]
-    return stored.where(F.col(partition).isin([v for v in values if v is not None]))
+    wanted = F.col(partition).isin([v for v in values if v is not None])
+    return stored.where(wanted | F.col(partition).isNull() if None in values else wanted)
 
 
 def append_new(df: DataFrame, table: str, keys: list[str], partition: str = "day") -> None:
@@ -46,6 +56,44 @@ def append_new(df: DataFrame, table: str, keys: list[str], partition: str = "day
     append(only_new(df, touched(df, df.sparkSession.table(table), partition), keys), table)
 
 
+def append_missing(batch: DataFrame, path: str, keys: list[str], partition: str = "day") -> None:
+    """Appends the rows of a batch that the table does not hold by ``keys``; reads only the partitions it touches."""
+    spark = batch.sparkSession
+    # A table of this shape without rows is written first, so that the first batch can be compared with it too.
+    batch.limit(0).write.mode("append").partitionBy(partition).parquet(path)
+    stored = touched(batch, spark.read.schema(batch.schema).parquet(path), partition)
+    only_new(batch, stored, keys).write.mode("append").partitionBy(partition).parquet(path)
+
+
+RANK_FILE = "domains-by-country-"  # with the number of a file behind the country's code
+
+
+def write_ranks(ranks: DataFrame, path: str) -> None:
+    """(domain, code, rank) as CSV files of (rank, domain), which carry the country's code in their name.
+
+    Spark names the files it writes; they are renamed on the storage by the driver, which sees no rows: a name for each
+    file, of which a country has as many as its rows fill.
+    """
+    spark, staged = ranks.sparkSession, f"{path}/_staged"
+    ranks.select("code", "rank", "domain").write.partitionBy("code").csv(staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n, file in enumerate(fs.globStatus(hadoop.Path(f"{staged}/code=*/part-*"))):
+        code = file.getPath().getParent().getName().partition("=")[2]
+        fs.rename(file.getPath(), hadoop.Path(f"{path}/{RANK_FILE}{code}-{n}.csv"))
+    fs.delete(hadoop.Path(staged), True)
+
+
+def save_clustered(df: DataFrame, table: str, by: list[str], buckets: int) -> None:
+    """Stores a table in ``buckets`` buckets by ``by``, sorted by it: joins and aggregates on these columns need no
+    exchange of the table, and row groups hold few values of the first column, so an equality on it skips the others.
+
+    Rows are brought together by bucket first, so that a task does not write a file for every bucket it meets.
+    """
+    (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite").format("parquet")
+     .saveAsTable(table))
+
+
 def write_partitioned(df: DataFrame, path: str, partition: str = "day", mode: str = "append") -> None:
     df.hint("rebalance", F.col(partition)).write.mode(mode).partitionBy(partition).parquet(path)
 

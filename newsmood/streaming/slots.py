@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StructType
 from newsmood.constants import SLOT_HOURS
 from newsmood.functions.sentiment import tally
 from newsmood.functions.timing import from_instant, slot_start, to_instant
-from newsmood.sources.writers import only_new, touched
+from newsmood.sources.writers import append_missing
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, pattern: str | None = None,
@@ -90,15 +90,6 @@ def start_append(df: DataFrame, path: str, checkpoint: str, keys: list[str], par
             .trigger(availableNow=True).foreachBatch(write).start())
 
 
-def append_missing(batch: DataFrame, path: str, keys: list[str], partition: str = "day") -> None:
-    """Appends the rows of a batch that the table does not hold by ``keys``; reads only the partitions it touches."""
-    spark = batch.sparkSession
-    # A table of this shape without rows is written first, so that the first batch can be compared with it too.
-    batch.limit(0).write.mode("append").partitionBy(partition).parquet(path)
-    stored = touched(batch, spark.read.schema(batch.schema).parquet(path), partition)
-    only_new(batch, stored, keys).write.mode("append").partitionBy(partition).parquet(path)
-
-
 def backfill(df: DataFrame, slots: DataFrame, time: str, hours: int = SLOT_HOURS) -> DataFrame:
     """The rows of many slots at once, with the start of theirs in ``slot``: one pass, however many slots there are.
 

@@ -96,7 +96,13 @@ def _articles(spark):
     return spark.createDataFrame(rows, "id int, title string, domain string, source_country string, language string")
 
 
-def test_scope_pairs(spark):
+@pytest.fixture(params=[1_000, 0])
+def inline_terms(request, monkeypatch):
+    """Terms matched within the row, and by a join."""
+    monkeypatch.setattr(art, "INLINE_TERMS", request.param)
+
+
+def test_scope_pairs(spark, inline_terms):
     terms = {"India": "India", "Niger": "Niger", "Nigeria": "Nigeria"}
     got = {(r.id, r.target_country, r.scope) for r in
            art.scope_pairs(_articles(spark), terms, ["Economy", "Trade"], by=["id"]).collect()}
@@ -106,13 +112,13 @@ def test_scope_pairs(spark):
     assert (6, "India") in {(r.id, r.target_country) for r in unlimited.collect()}
 
 
-def test_every_word_of_a_term_is_needed(spark):
+def test_every_word_of_a_term_is_needed(spark, inline_terms):
     df = _articles(spark).where("id = 3")
     pairs = art.scope_pairs(df, {"X": "niger trade", "Y": "niger economy"}, None, by=["id"])
     assert [r.target_country for r in pairs.collect()] == ["X"]
 
 
-def test_terms_are_whole_words(spark):
+def test_terms_are_whole_words(spark, inline_terms):
     df = spark.createDataFrame(
         [(1, "Romania woman economy", "x"), (2, "Nigeria trade", "x"), (3, "Somalia-Mali energy", "x"),
          (4, "OMAN: trade, economy", "x"), (5, None, "x"), (6, "", "x")], "id int, title string, source_country string")
@@ -123,7 +129,7 @@ def test_terms_are_whole_words(spark):
         (4, "Oman", ("Economy", "Trade"))}
 
 
-def test_rows_are_matched_one_by_one(spark):
+def test_rows_are_matched_one_by_one(spark, inline_terms):
     """The same article landed twice, two titles under one url, and null urls."""
     rows = [("u1", "India trade"), ("u1", "India trade"), ("u2", "Burkina economy"), ("u2", "Faso economy"),
             ("u3", "India"), ("u3", "economy"), (None, "India economy"), (None, "Burkina Faso trade")]
@@ -135,7 +141,7 @@ def test_rows_are_matched_one_by_one(spark):
         ("u1", "India trade", "India", ("Trade",)), ("u1", "India trade", "India", ("Trade",))]
 
 
-def test_flag_articles_keeps_repeated_articles(spark):
+def test_flag_articles_keeps_repeated_articles(spark, inline_terms):
     seen = datetime.datetime(2024, 1, 1, 1)
     rows = [("u1", "India trade"), ("u1", "India trade"), ("u2", "India economy"), ("u2", "India energy"),
             (None, "India trade up")]
@@ -342,21 +348,39 @@ def test_idioms(spark):
     assert got == {i: pytest.approx(round(v / np.sqrt(v * v + 15), 4)) for i, v in expected.items()}
 
 
-def test_lexicon_plan_needs_no_job_and_no_broadcast(spark):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_lexicon_tables_are_broadcast_by_their_size_or_joined_by_a_shuffle(spark, threshold):
     lexicon = spark.createDataFrame(LEXICON_ROWS, "token string, valence double")
     df = spark.createDataFrame([(i, s[0]) for i, s in enumerate(SENTENCES)], "id int, text string")
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("lexicon-plan", "")
-    plan = lexicon_score(df, lexicon, "text", ["id"])
-    assert not tracker.getJobIdsForGroup("lexicon-plan")
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        got = {r.id: r.compound for r in plan.collect()}
+        scored = lexicon_score(df, lexicon, "text", ["id"], {"not a phrase here": 1.0, "no phrase": 2.0})
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.compound for r in scored.collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {i: s[4] for i, s in enumerate(SENTENCES)}
+    if threshold != "-1":  # only the sums of texts are shuffled, no words
+        assert plan.count("Exchange hashpartitioning(id") == 1 == plan.count("Exchange hashpartitioning")
+        assert "SortMergeJoin" not in plan
+
+
+def test_phrases_are_a_table_of_any_size(spark):
+    lexicon = spark.createDataFrame(LEXICON_ROWS, "token string, valence double")
+    words = "one two three four five six seven eight nine ten".split()
+    phrases = spark.range(100_000).select(
+        F.concat(F.lit("p"), "id", F.lit(" q"), F.col("id") % 10).alias("phrase"), (F.col("id") % 7).cast("double").alias("value"))
+    more = spark.createDataFrame([("three good", 0.7), ("two three good", -1.2), ("good four", 2.0), ("good four five", -2.5)],
+                                 "phrase string, value double")
+    df = spark.createDataFrame([(0, "one two three good"), (1, "zero one three good four"), (2, "one zero three good four five"),
+                                (3, "one one three good"), (4, " ".join(words))], "id int, text string")
+    scored = lexicon_score(df, lexicon, "text", ["id"], phrases.unionByName(more))
+    plan = scored._jdf.queryExecution().toString()
+    assert "p99999" not in plan and len(plan) < 200_000
+    got = {r.id: r.compound for r in scored.collect()}
+    expected = {0: 0.7, 1: 2.0, 2: -2.5, 3: 0.7, 4: 0.0}  # the shorter phrase that ends here comes before the longer
+    assert got == {i: pytest.approx(round(v / np.sqrt(v * v + 15), 4)) for i, v in expected.items()}
 
 
 def test_daily_form(spark):

@@ -104,6 +104,19 @@ def test_only_new_with_and_without_salt(spark):
         assert {r.k for r in writers.only_new(df, stored, ["k"], by).collect()} == {"new"}
 
 
+def test_rows_with_null_keys_are_stored_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None, None), (None, "t", "2025-01-01"), (None, None, None)],
+                                 "country string, title string, d string").select(
+        "country", "title", F.col("d").cast("date").alias("day"))
+    path = str(tmp_path / "table")
+    for _ in range(2):
+        writers.append_missing(rows, path, ["country", "title"])
+    assert spark.read.schema(rows.schema).parquet(path).count() == 3
+    for by in (None, ["title"]):
+        assert writers.only_new(rows, rows.limit(0), ["country"], by).count() == (2 if by is None else 3)
+        assert writers.only_new(rows, rows, ["country"], by).count() == 0
+
+
 def test_staging(spark, sf, tmp_path):
     titles = fx.placed_scores(spark, sf).where(F.col("model") == "lexicon").where(F.col("scope") == NATIONAL)
     path = str(tmp_path / "staged")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood.constants import CLASSIFIER, INTERNATIONAL, LEXICON, NATIONAL
@@ -12,7 +12,7 @@ from newsmood.operators import domains as dom
 from newsmood.operators.articles import scope_pairs
 from newsmood.operators.labels import tally_labels
 from newsmood.operators.nested import CHUNK, to_nested
-from newsmood.operators.skew import positions
+from newsmood.operators.skew import positions, positions_by_range
 
 FIRST_SLOT = "2025-01-01 00:00:00"
 MIN_MENTIONS, MIN_WEIGHT = 40, 0.966
@@ -71,6 +71,49 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
         F.timestamp_add("SECOND", (F.col("doc_id") % 14400).cast("int"), slot).alias("seen"))
 
 
+def payloads(rows: DataFrame) -> DataFrame:
+    """Articles as the payloads of a service, seven to one."""
+    item = F.struct(
+        "url", F.col("title"), F.date_format("seen", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), "domain", "language",
+        F.col("source_country").alias("sourcecountry"))
+    return (rows.groupBy(F.floor(F.col("doc_id") / 7).alias("payload"))
+            .agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("a")))).alias("rows"))
+            .select(F.to_json(F.struct(F.transform("rows", lambda r: r["a"]).alias("articles"))).alias("value")))
+
+
+def array_file(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array in one file, which one task writes."""
+    def run(batches):
+        import pandas as pd
+
+        opening = "["
+        for batch in batches:
+            for value in batch["value"]:
+                yield pd.DataFrame({"value": [opening + value]})
+                opening = ","
+        yield pd.DataFrame({"value": ["]"]})
+
+    (rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).coalesce(1).mapInPandas(run, "value string")
+     .write.text(path))
+
+
+def make_scorer():
+    """A classifier whose raw scores are remainders of the text's length."""
+    import numpy as np
+
+    return lambda titles: np.array([[len(t) % 5, len(t) % 3, len(t) % 7] for t in titles], dtype=float) / 2
+
+
+def phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every two and every three words that follow each other in a document, with a score by their length."""
+    def runs(n: int) -> DataFrame:
+        words = documents(spark, sf).select(F.split("text", r"\s+").alias("w")).where(F.size("w") >= n)
+        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return words.select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("phrase"))
+
+    return runs(2).unionByName(runs(3)).distinct().withColumn("value", F.length("phrase") % 9 - F.lit(4.5))
+
+
 def pairs(spark: SparkSession, sf: str, subjects: list[str] | None = None) -> DataFrame:
     """(article, target) pairs with scope and the target's code."""
     rows = scope_pairs(articles(spark, sf), COUNTRY_TERMS, subjects, by=["doc_id"])
@@ -90,8 +133,8 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranks(mentioned: DataFrame) -> DataFrame:
     """The domains of each country by their mentions."""
-    place = F.row_number().over(Window.partitionBy("code").orderBy(F.col("cnt").desc(), "domain"))
-    return mentioned.select("domain", "code", place.cast("double").alias("rank"))
+    placed = positions_by_range(mentioned, ["code"], [F.col("cnt").desc(), F.col("domain").asc()], "place")
+    return placed.select("domain", "code", (F.col("place") + 1).cast("double").alias("rank"))
 
 
 def authority(spark: SparkSession, sf: str) -> DataFrame:

@@ -191,7 +191,8 @@ def _spoken() -> str:
     return text
 
 
-def _lexicon_rules() -> str:
+def _lexicon_ctes(spoken: str, idioms: str) -> str:
+    """The rules step by step, over (doc_id, text) with phrases (phrase, value)."""
     marks = "|".join("".join("\\" + c if c in ".?-" else c for c in p)
                      for p in sorted(PUNCTUATION, key=len, reverse=True)).replace("'", "''")
     word = "[^[:punct:]\\s]{2,}"
@@ -220,9 +221,9 @@ def _lexicon_rules() -> str:
         f"(SELECT value FROM idioms WHERE phrase = {joined})" for joined in (" || ' ' || ".join(o) for o in orders)) + ")"
     weak = _in(["kind of", "sort of", "just enough"])
     return f"""
-    WITH lexicon AS ({_VIEWS['lexicon']}),
-    spoken AS (SELECT doc_id, {_spoken()} AS text FROM documents),
-    idioms AS (SELECT * FROM {_values(IDIOMS.items(), "phrase, value")}),
+    lexicon AS ({_VIEWS['lexicon']}),
+    spoken AS ({spoken}),
+    idioms AS ({idioms}),
     split AS (SELECT doc_id, text, list_transform(
         list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 1),
         lambda w: regexp_replace(regexp_replace(w, '^(?:{marks})({word})$', '\\1'),
@@ -268,12 +269,62 @@ def _lexicon_rules() -> str:
         CASE WHEN total > 0 THEN total + emphasis WHEN total < 0 THEN total - emphasis ELSE coalesce(total, 0) END AS t,
         CASE WHEN up > down THEN up + emphasis ELSE up END AS u,
         CASE WHEN down > up THEN down + emphasis ELSE down END AS d
-        FROM facts f LEFT JOIN sums s USING (doc_id))
-    SELECT doc_id, CASE WHEN n > 0 THEN round(d / (u + d + flat), 3) ELSE 0 END AS neg,
+        FROM facts f LEFT JOIN sums s USING (doc_id)),
+    lexicon_scores AS (SELECT doc_id, CASE WHEN n > 0 THEN round(d / (u + d + flat), 3) ELSE 0 END AS neg,
            CASE WHEN n > 0 THEN round(flat / (u + d + flat), 3) ELSE 0 END AS neu,
            CASE WHEN n > 0 THEN round(u / (u + d + flat), 3) ELSE 0 END AS positive,
            round(t / sqrt(t * t + 15), 4) AS compound
-    FROM loud"""
+    FROM loud)"""
+
+
+def _lexicon_rules() -> str:
+    ctes = _lexicon_ctes(f"SELECT doc_id, {_spoken()} AS text FROM documents",
+                         f"SELECT * FROM {_values(IDIOMS.items(), 'phrase, value')}")
+    return f"WITH {ctes} SELECT * FROM lexicon_scores"
+
+
+def _phrase_rules() -> str:
+    runs = " UNION ".join(
+        f"SELECT unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS phrase"
+        " FROM (SELECT string_split_regex(text, '\\s+') AS w FROM documents)" for n in (2, 3))
+    ctes = _lexicon_ctes("SELECT doc_id, text FROM documents",
+                         f"SELECT phrase, length(phrase) % 9 - 4.5 AS value FROM ({runs})")
+    return f"WITH {ctes} SELECT * FROM lexicon_scores"
+
+
+_URL = "'http://news.example/' || doc_id"
+_RELEVANT = """EXISTS (SELECT 1 FROM relevant r WHERE r.domain = p.domain AND
+    ((p.scope = 'national' AND r.code = p.target_code) OR (p.scope = 'international' AND r.code <> p.target_code)))"""
+
+
+def _load(where: str = "true") -> str:
+    """The whole load; ``where`` picks slots out of the fact."""
+    english = "CASE WHEN lang = 'en' THEN text ELSE '[en] ' || text END AS text"
+    ctes = _lexicon_ctes(f"SELECT doc_id, {english} FROM documents", "SELECT '' AS phrase, 0.0 AS value WHERE false")
+    return _with(["pairs", "held", "relevant"], f""",
+    matched AS (SELECT p.*, h.subjects FROM pairs p JOIN held h USING (doc_id)),
+    first_seen AS (SELECT * FROM matched QUALIFY row_number() OVER (
+        PARTITION BY target_country, scope, slot, title ORDER BY seen, {_URL}) = 1),
+    flagged AS (SELECT p.*, {_RELEVANT} AS relevant FROM first_seen p),
+    whole AS (SELECT *, bool_or(relevant) OVER (PARTITION BY target_country, scope, slot) AS any_here,
+                     bool_or(scope = 'national') OVER s AND bool_or(scope = 'international') OVER s AS complete
+              FROM flagged WINDOW s AS (PARTITION BY target_country, slot)),
+    kept AS (SELECT *, CASE WHEN language = 'en' THEN title ELSE '[en] ' || title END AS shown FROM whole w
+             WHERE (relevant OR NOT any_here) AND complete AND (language = 'en' OR EXISTS (
+                 SELECT 1 FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+                 WHERE d.lang = w.language AND d.text = w.title))),
+    {ctes},
+    raw AS (SELECT *, exp((length(shown) % 5) / 2) AS a, exp((length(shown) % 3) / 2) AS b,
+                   exp((length(shown) % 7) / 2) AS c FROM kept),
+    p AS (SELECT *, round(a / (a + b + c), 4) AS neg, round(b / (a + b + c), 4) AS neu,
+                 round(c / (a + b + c), 4) AS positive FROM raw),
+    fact AS (SELECT k.*, 'lexicon' AS model, round(s.neg, 4) AS neg, round(s.neu, 4) AS neu,
+                    round(s.positive, 4) AS positive, round(s.compound, 6) AS compound
+             FROM kept k JOIN lexicon_scores s USING (doc_id) UNION ALL
+             SELECT * EXCLUDE (a, b, c, neg, neu, positive), 'classifier', neg, neu, positive,
+                    round((positive - neg) / (neu + 1), 6) FROM p)
+    SELECT target_country, {_KEY.format("slot")}, scope, model, sha256(shown) AS title_sha, domain, source_country, subjects,
+           neg, neu, positive, compound, strftime(slot, '%Y%m%d') AS day FROM fact WHERE {where}""")
 
 
 _K = _KEY.format("slot")
@@ -547,6 +598,58 @@ ORACLE = {
         SELECT *, round((positive - neg) / (neu + 1), 6) AS compound,
                CASE WHEN tanh(positive - neg) <= -0.05 THEN 'negative' WHEN tanh(positive - neg) >= 0.05 THEN 'positive'
                     ELSE 'neutral' END AS label FROM p""",
+    "classify_once": "classify_documents",
+    "translation_batches": _with(["articles"], """
+        , titles AS (SELECT DISTINCT language, sha256(title) AS digest, CAST(length(title) AS BIGINT) AS chars
+                     FROM articles WHERE language <> 'en'),
+        sums AS (SELECT *, row_number() OVER w - 1 AS n, sum(chars) OVER w - chars AS c FROM titles WHERE chars <= 20000
+                 WINDOW w AS (PARTITION BY language ORDER BY digest))
+        SELECT language, digest, chars, (n // 150) || '-' || CAST(c // 20000 AS BIGINT) AS batch FROM sums UNION ALL
+        SELECT language, digest, chars, 'long-' || digest FROM titles WHERE chars > 20000"""),
+    "translation_memory": """
+        WITH tagged AS (SELECT doc_id, lang, text, length(text) AS n, bool_or(doc_id IN (SELECT doc_id FROM labels))
+                               OVER (PARTITION BY lang, text) AS known FROM documents)
+        SELECT doc_id, lang AS language, sha256(CASE
+                   WHEN lang = 'en' THEN text WHEN known AND n % 7 <> 0 THEN '[1 ' || lang || '] ' || text
+                   ELSE '[2 ' || lang || '] ' || text END) AS title_sha
+        FROM tagged WHERE lang = 'en' OR (known AND n % 7 <> 0) OR n % 11 <> 0""",
+    "load_scored": _load(),
+    "stream_load": _load("slot + INTERVAL 4 HOUR <= (SELECT max(seen) - INTERVAL 1 HOUR FROM matched)"),
+    "load_counters": _with(["pairs", "relevant"], f"""
+        , flags AS (SELECT p.*, {_RELEVANT} AS relevant FROM pairs p),
+        n AS (SELECT target_country, scope, count(*) FILTER (relevant) AS kept, count(*) FILTER (NOT relevant) AS removed
+              FROM flags GROUP BY ALL)
+        SELECT target_country, scope, 'kept' AS kind, kept AS n FROM n UNION ALL
+        SELECT target_country, scope, 'removed', removed FROM n UNION ALL
+        SELECT '', '', 'broken', count(DISTINCT doc_id // 7) FROM articles"""),
+    "rollup_deltas": _with(["wide"], f"""
+        , every AS (
+            SELECT target_country, slot, scope, 'lexicon' AS model,
+                   CASE WHEN c <= -0.05 THEN 'negative' WHEN c >= 0.05 THEN 'positive' ELSE 'neutral' END AS label
+            FROM wide UNION ALL
+            SELECT target_country, slot, scope, 'classifier',
+                   CASE WHEN tanh(cneg - cpos) <= -0.05 THEN 'negative' WHEN tanh(cneg - cpos) >= 0.05 THEN 'positive'
+                        ELSE 'neutral' END FROM wide)
+        SELECT target_country, {_KEY.format("slot")}, scope, model, count(*) FILTER (label = 'negative') AS negative,
+               count(*) FILTER (label = 'neutral') AS neutral, count(*) FILTER (label = 'positive') AS positive
+        FROM every GROUP BY target_country, slot, scope, model"""),
+    "phrase_sentiment": _phrase_rules(),
+    "pending_bucketed": "pending_slots",
+    "stream_append_nulls": _with(["events_labelled"], """
+        SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS event_type, label,
+               CASE WHEN label <> 'neutral' THEN strftime(ts, '%Y%m%d') END AS day FROM events_labelled"""),
+    "mention_array": "mention_files",
+    "rank_files": _with(["ranks"], "SELECT domain, code, rank FROM ranks"),
+    "dimension_files": """
+        SELECT n_name AS name, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code FROM nation UNION ALL
+        SELECT DISTINCT lang, 'language' FROM documents""",
+    "page_files": "outlet_extract",
+    "table_append": _with(["counts", "mentions"], f"""
+        SELECT 'counts' AS kind, target_country, {_KEY.format("slot")}, scope, model, negative, neutral, positive
+        FROM counts UNION ALL
+        SELECT 'domain', domain, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT domain FROM mentions) UNION ALL
+        SELECT 'table', unnest(['scored_headline', 'sentiment_counts', 'global_info', 'global_info_hourly', 'domain_info']),
+               NULL, NULL, NULL, NULL, NULL, NULL"""),
     "stream_append_once": _with(["events_labelled"], """
         SELECT event_id, event_type, label, strftime(ts, '%Y%m%d') AS day FROM events_labelled"""),
     "stream_dedup_titles": "SELECT DISTINCT sha256(text) AS title_sha FROM documents",
@@ -568,11 +671,14 @@ ORACLE = {
     "authority_files": _with(
         ["authority"], "SELECT domain, domain_auth, CAST(NULL AS VARCHAR) AS facebook_fol FROM authority"),
     "staged_roundtrip": _with(["wide"], """
-        SELECT target_country, strftime(slot, '%Y%m%d%H%M%S') AS slot_key, 'economy' AS query, title, domain,
-               source_country FROM wide WHERE scope = 'national'"""),
+        SELECT target_country, strftime(slot, '%Y%m%d%H%M%S') AS slot_key,
+               CASE WHEN scope = 'national' THEN 'economy' ELSE '-economy' END AS query, title, domain, source_country
+        FROM wide"""),
     "scored_roundtrip": _with(["wide"], f"""
-        SELECT target_country, {_K}, title, c AS compound, cneg AS neg FROM wide WHERE scope = 'national'"""),
-    "batch_roundtrip": "SELECT doc_id, lang, n_chars FROM documents",
+        SELECT target_country, {_K}, scope, title, domain, source_country, lneg AS lexicon_neg, lneu AS lexicon_neu,
+               lpos AS lexicon_pos, c AS lexicon_compound, cneg AS classifier_neg, cneu AS classifier_neu,
+               cpos AS classifier_pos FROM wide"""),
+    "batch_roundtrip": "SELECT * FROM documents",
     "term_lists": """
         SELECT n_name, array_to_string(t, ' OR ') AS joined, CAST(i - 1 AS INTEGER) AS place, t[i] AS term
         FROM (SELECT n_name, [n_name || ' Climate', n_name || ' Economy', n_name || ' Trade'] AS t FROM nation),
@@ -580,3 +686,6 @@ ORACLE = {
     "stream_slot_counts": _with(["events_labelled"], _EVENT_COUNTS),
     "batch_slot_counts": _with(["events_labelled"], _EVENT_COUNTS),
 }
+
+# The same rows by another way.
+ORACLE.update({name: ORACLE[sql] for name, sql in ORACLE.items() if sql in ORACLE})

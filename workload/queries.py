@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.constants import INTERNATIONAL, LEXICON, NATIONAL
+from newsmood import schemas
+from newsmood.constants import CLASSIFIER, INTERNATIONAL, LEXICON, NATIONAL
 from newsmood.functions import arrays, sentiment, text, timing
 from newsmood.functions.timing import hour_key
 from newsmood.operators import articles as art
-from newsmood.operators import dims, domains, labels, models, nested, outlets
+from newsmood.operators import dims, domains, labels, models, nested, outlets, translation
 from newsmood.operators import lexicon as lex
-from newsmood.plans import reports
+from newsmood.operators.skew import positions_by_range
+from newsmood.plans import deltas, ingest, reports
 from newsmood.sources import readers, writers
 from newsmood.sources.shared import fresh_path, materialise
 from newsmood.sources.writers import batch_name
+from newsmood.streaming import load as stream_plan
 from newsmood.streaming import slots as stream
 from workload import fixtures as fx
 
@@ -281,14 +286,114 @@ def translate_hook(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classify_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """A classifier whose raw scores are remainders of the text's length."""
-    def make():
-        import numpy as np
+    rows = fx.documents(spark, sf).select("doc_id", F.col("text").alias("title"))
+    return models.classify(rows, fx.make_scorer).select("doc_id", "neg", "neu", "positive", _r6("compound"), "label")
 
-        return lambda titles: np.array([[len(t) % 5, len(t) % 3, len(t) % 7] for t in titles], dtype=float) / 2
 
+def classify_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled documents, then all documents, by a model whose scores are stored: each text is scored once."""
+    path = fresh_path(spark, "scores")
     rows = fx.documents(spark, sf).select("doc_id", F.col("text").alias("title"))
-    return models.classify(rows, make).select("doc_id", "neg", "neu", "positive", _r6("compound"), "label")
+    labelled = rows.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    models.classify_once(labelled, fx.make_scorer, path, by=["doc_id"])
+    scored = models.classify_once(rows, fx.make_scorer, path, by=["doc_id"])
+    return scored.select("doc_id", "neg", "neu", "positive", _r6("compound"), "label")
+
+
+def translation_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches in which the different titles go to a translator."""
+    titles = translation.different_titles(fx.articles(spark, sf), english=fx.ENGLISH)
+    return translation.batches(titles, 150, 40_000).select("language", "digest", "chars", "batch")
+
+
+def translation_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of the labelled documents, then those of all: the second run asks for new titles and earlier failures."""
+    def translator(run: int, fails: int):
+        return lambda language, titles: [None if len(t) % fails == 0 else f"[{run} {language}] {t}" for t in titles]
+
+    path = fresh_path(spark, "memory")
+    rows = fx.articles(spark, sf).select("doc_id", "language", "title")
+    labelled = rows.join(fx.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    translation.remember(labelled, path, translator(1, 7), english=fx.ENGLISH, budget=40_000)
+    memory = translation.remember(rows, path, translator(2, 11), english=fx.ENGLISH, budget=40_000)
+    done = translation.from_memory(rows, memory, english=fx.ENGLISH, by=["doc_id"])
+    return done.select("doc_id", "language", F.sha2("title", 256).alias("title_sha"))
+
+
+# ---- the load -------------------------------------------------------------------------------------------------
+
+def _fact(rows: DataFrame) -> DataFrame:
+    return rows.select("target_country", KEY(), "scope", "model", F.sha2("title", 256).alias("title_sha"), "domain",
+                       "source_country", F.array_join("subjects", "|").alias("subjects"),
+                       F.round("neg", 4).alias("neg"), F.round("neu", 4).alias("neu"),
+                       F.round("positive", 4).alias("positive"), _r6("compound"),
+                       F.date_format("day", "yyyyMMdd").alias("day"))
+
+
+def load_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole load over documents that have landed twice, with translations, a lexicon and a classifier."""
+    path = fresh_path(spark, "landed")
+    for _ in range(2):
+        fx.payloads(fx.articles(spark, sf)).write.mode("append").text(path)
+    fact = ingest.load(readers.read_articles(spark, path), fx.COUNTRY_TERMS, fx.codes(spark, sf), fx.relevant(spark, sf),
+                       lexicon=fx.lexicon(spark), make_scorer=fx.make_scorer, translations=fx.translations(spark, sf),
+                       subjects=fx.SUBJECTS, english=fx.ENGLISH)
+    return _fact(fact)
+
+
+def stream_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The load as a stream: documents land in three batches, each twice; the result are the slots closed by then."""
+    path = fresh_path(spark, "stream-load")
+    codes, lexicon = fx.codes(spark, sf), fx.lexicon(spark)
+    relevant = materialise(fx.relevant(spark, sf), "relevant")
+    translations = materialise(fx.translations(spark, sf), "translations")
+    rows = fx.articles(spark, sf)
+    for first in ("2025-01-01 00:00:00", "2025-01-01 08:00:00", "2025-01-01 16:00:00"):
+        slot = F.col("slot")
+        landing = rows.where((slot >= timing.ntz(first)) & (slot < timing.shift_hours(timing.ntz(first), 8)))
+        for _ in range(2):
+            fx.payloads(landing).write.mode("append").text(f"{path}/landed")
+        titles = stream_plan.closed_titles(stream_plan.read_articles(spark, f"{path}/landed"), fx.COUNTRY_TERMS, "1 hour",
+                                           fx.SUBJECTS)
+        stream_plan.start_load(titles, f"{path}/fact", f"{path}/checkpoint", codes, relevant, lexicon, fx.make_scorer,
+                               translations, fx.ENGLISH).awaitTermination()
+    return _fact(readers.read_fact(spark, f"{path}/fact"))
+
+
+def load_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Kept and removed articles of every group, counted while the flagged articles are written, and the payloads that
+    cannot be read: every payload has also landed cut off in the middle."""
+    path, lines = fresh_path(spark, "landed"), fx.payloads(fx.articles(spark, sf))
+    lines.write.text(path)
+    lines.select(F.expr("left(value, length(value) div 2)").alias("value")).write.mode("append").text(path)
+    payloads = materialise(readers.read_payloads(spark, path), "payloads")
+    pairs = art.scope_pairs(readers.article_rows(payloads.drop("broken")), fx.COUNTRY_TERMS, None, by=["url"])
+    flagged = ingest.with_flags(pairs, fx.codes(spark, sf), fx.relevant(spark, sf))
+    groups = [(c, s) for c in fx.COUNTRY_TERMS for s in (NATIONAL, INTERNATIONAL)]
+    counters = ingest.write_counted(flagged, fresh_path(spark, "flagged"), groups)
+    broken = payloads.where("broken IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
+    return counters.unionByName(broken.select(
+        F.lit("").alias("target_country"), F.lit("").alias("scope"), F.lit("broken").alias("kind"), "n"))
+
+
+def rollup_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts rollup after three batches: national headlines, international ones, and all classifier scores replaced
+    by their mirror image; the second batch is run again after the third."""
+    path, fact = fresh_path(spark, "rollup"), materialise(fx.scores(spark, sf), "fact")
+    scored = fact.where(F.col("model") == CLASSIFIER)
+    mirrored = scored.withColumns({"neg": F.col("positive"), "positive": F.col("neg"), "compound": -F.col("compound")})
+    batches = [deltas.delta(added=fact.where(F.col("scope") == NATIONAL)),
+               deltas.delta(added=fact.where(F.col("scope") == INTERNATIONAL)),
+               deltas.delta(added=mirrored, withdrawn=scored)]
+    for number in (0, 1, 2, 1):
+        deltas.merge(batches[number], path, number)
+    return deltas.read(spark, path, batches[0]).select(
+        "target_country", KEY(), "scope", "model", "negative", "neutral", "positive")
+
+
+def phrase_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexicon model with all phrases of the documents themselves as idioms."""
+    return lex.lexicon_score(fx.documents(spark, sf), fx.lexicon(spark), "text", ["doc_id"], fx.phrases(spark, sf))
 
 
 # ---- time -----------------------------------------------------------------------------------------------------
@@ -332,6 +437,17 @@ def pending_slots(spark: SparkSession, sf: str) -> DataFrame:
     return art.pending(grid, stored, ["target_country", "slot"]).select("target_country", KEY())
 
 
+def pending_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a table that is stored in buckets by country and slot."""
+    writers.save_clustered(fx.counts(spark, sf), "clustered_counts", ["target_country", "slot"], 8)
+    stored = spark.table("clustered_counts")
+    slots = stored.select("slot").distinct()
+    grid = dims.work_grid_from(
+        slots.union(slots.agg(timing.shift_hours(F.max("slot"), 4).alias("slot"))), fx.table(spark, sf, "nation"), "n_name")
+    return art.pending(grid, art.both_scopes(stored, ["target_country", "slot"]), ["target_country", "slot"]).select(
+        "target_country", KEY())
+
+
 # ---- domains --------------------------------------------------------------------------------------------------
 
 def domain_mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -475,6 +591,21 @@ def stream_append_once(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "event_type", "label", F.date_format("day", "yyyyMMdd").alias("day"))
 
 
+def stream_append_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Days and types that are not known are null: appended twice by streams that have lost their checkpoints, the rows
+    are there once."""
+    events = fx.labelled_events(fx.table(spark, sf, "events")).select(
+        "event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("event_type"), "label",
+        F.when(F.col("label") != "neutral", F.to_date("ts")).alias("day"))
+    path = fresh_path(spark, "append")
+    events.repartition(4, "event_id").write.parquet(f"{path}/landed")
+    for run in range(2):
+        landed = stream.read_stream(spark, f"{path}/landed", events.schema, files_per_trigger=2)
+        stream.start_append(landed, f"{path}/table", f"{path}/checkpoint{run}", ["event_type", "event_id"]).awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{path}/table").select(
+        "event_id", "event_type", "label", F.date_format("day", "yyyyMMdd").alias("day"))
+
+
 def stream_dedup_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of a stream of articles, each once, over the borders of batches."""
     rows = fx.articles(spark, sf).select(F.sha2("title", 256).alias("title_sha"), "seen")
@@ -512,14 +643,8 @@ def backfill_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def article_files(spark: SparkSession, sf: str) -> DataFrame:
     """Articles as landed payloads of seven, and read again."""
-    item = F.struct(
-        "url", F.col("title"), F.date_format("seen", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), "domain", "language",
-        F.col("source_country").alias("sourcecountry"))
-    payloads = (fx.articles(spark, sf).groupBy(F.floor(F.col("doc_id") / 7).alias("payload"))
-                .agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("a")))).alias("rows"))
-                .select(F.to_json(F.struct(F.transform("rows", lambda r: r["a"]).alias("articles"))).alias("value")))
     path = fresh_path(spark, "articles")
-    payloads.write.text(path)
+    fx.payloads(fx.articles(spark, sf)).write.text(path)
     return readers.read_articles(spark, path).select(
         "url", F.sha2("title", 256).alias("title_sha"), second_key_of("seen"), "domain", "language", "source_country",
         F.col("arrival").cast("bigint").alias("arrival"))
@@ -529,49 +654,124 @@ def second_key_of(column: str):
     return timing.second_key(F.col(column)).alias(column)
 
 
+def _array_files(spark: SparkSession, rows: DataFrame, keys: list[str], order: list, item, most: int = 1_000) -> str:
+    """Rows as files of one JSON array each, of at most ``most`` items, however many a key has."""
+    placed = positions_by_range(rows, keys, order, "place").withColumn("chunk", F.expr(f"place div {most}"))
+    arrays_of = placed.groupBy(*keys, "chunk").agg(F.to_json(F.collect_list(item)).alias("value"))
+    path = fresh_path(spark, "arrays")
+    arrays_of.write.partitionBy(*keys, "chunk").text(path)
+    return path + "/*" * (len(keys) + 1)
+
+
 def mention_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Mention counts as one JSON array per country, and read again."""
-    arrays_of = fx.mentions(spark, sf).groupBy("code").agg(F.to_json(F.collect_list(F.struct(
-        "domain", F.col("code").alias("countrycode"), "cnt"))).alias("value"))
-    path = fresh_path(spark, "mentions")
-    arrays_of.withColumnRenamed("code", "part").write.partitionBy("part").text(path)
-    return readers.read_mentions(spark, f"{path}/part=*")
+    """Mention counts as JSON arrays of a country, and read again."""
+    rows = fx.mentions(spark, sf).withColumn("countrycode", F.col("code"))
+    return readers.read_mentions(spark, _array_files(
+        spark, rows, ["code"], [F.col("domain").asc()], F.struct("domain", "countrycode", "cnt")))
 
 
 def authority_files(spark: SparkSession, sf: str) -> DataFrame:
     """Authority records as JSON arrays of some hundred, and read again."""
-    known = fx.authority(spark, sf).withColumn("part", F.pmod(F.xxhash64("domain"), F.lit(16)))
-    path = fresh_path(spark, "authority")
-    (known.groupBy("part").agg(F.to_json(F.collect_list(F.struct("domain", "domain_auth"))).alias("value"))
-     .write.partitionBy("part").text(path))
-    return readers.read_authority(spark, f"{path}/part=*").select("domain", "domain_auth", "facebook_fol")
+    path = _array_files(spark, fx.authority(spark, sf), [], [F.col("domain").asc(), F.col("domain_auth").asc()],
+                        F.struct("domain", "domain_auth"), 200)
+    return readers.read_authority(spark, path).select("domain", "domain_auth", "facebook_fol")
+
+
+def mention_array(spark: SparkSession, sf: str) -> DataFrame:
+    """All mention counts as one JSON array in one file, with braces and quotes in a name, read by several tasks."""
+    rows = fx.mentions(spark, sf).select(
+        F.concat(F.lit('{"a":[}\\'), F.col("domain")).alias("domain"), F.col("code").alias("countrycode"), "cnt")
+    path = fresh_path(spark, "array")
+    fx.array_file(rows, path)
+    found = readers.read_json_array(spark, path, schemas.MENTION_COUNT)
+    return found.select(F.substring("domain", 9, 1 << 20).alias("domain"), F.col("countrycode").alias("code"), "cnt")
+
+
+def rank_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Domain ranks as one folder of files per country, named by it, and read again."""
+    path = fresh_path(spark, "ranks")
+    writers.write_ranks(fx.ranks(fx.mentions(spark, sf)), path)
+    return readers.read_ranks(spark, path)
+
+
+def dimension_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Country codes and languages as CSV files, and read again."""
+    path = fresh_path(spark, "dimensions")
+    fx.codes(spark, sf).write.option("header", True).csv(f"{path}/codes")
+    languages = fx.documents(spark, sf).select("lang").distinct()
+    languages.write.option("header", True).csv(f"{path}/languages")
+    return (readers.read_country_codes(spark, f"{path}/codes").select("name", "code")
+            .unionByName(readers.read_languages(spark, f"{path}/languages").select(
+                F.col("lang").alias("name"), F.lit("language").alias("code"))))
+
+
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawled pages as one file each, some of them JSON strings, read again and their outlets extracted."""
+    path = fresh_path(spark, "pages")
+    quoted = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
+    (fx.outlet_pages(spark, sf).withColumn("value", F.when(F.col("page_id") % 2 == 0, quoted).otherwise(F.col("text")))
+     .select("page_id", "value").repartition("page_id").write.partitionBy("page_id").text(path))
+    pages = readers.read_pages(spark, f"{path}/*").withColumn(
+        "page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
+    return outlets.extract_outlets(pages, "text", ["page_id"]).withColumn("record", F.col("record").cast("bigint"))
+
+
+def table_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and domains appended to declared tables, the counts twice, and all read again."""
+    name, before = "loads_" + uuid.uuid4().hex, spark.catalog.currentDatabase()
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        schemas.create_tables(spark)
+        counts = fx.counts(spark, sf).withColumn("day", F.to_date("slot"))
+        for _ in range(2):
+            writers.append_new(counts, "sentiment_counts", ["target_country", "slot", "scope", "model"])
+        writers.append(domains.unique_domains(fx.domain_info(spark, sf)), "domain_info", ["domain", "country_code"])
+        listed = readers.list_tables(spark, name).select("tableName")
+        rows = readers.read_table(spark, f"{name}.sentiment_counts").select(
+            F.lit("counts").alias("kind"), "target_country", KEY(), "scope", "model", "negative", "neutral", "positive")
+        known = readers.read_table(spark, f"{name}.domain_info")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+    def named(df: DataFrame, kind: str, column: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(column).alias("target_country"))
+
+    return (rows.unionByName(named(known, "domain", "domain"), allowMissingColumns=True)
+            .unionByName(named(listed, "table", "tableName"), allowMissingColumns=True))
 
 
 def staged_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """National titles staged per country and slot in payloads of three, and read again."""
-    titles = fx.placed_scores(spark, sf).where((F.col("model") == LEXICON) & (F.col("scope") == NATIONAL))
+    """Titles staged per country, slot and scope in payloads of three, and read again."""
+    titles = fx.placed_scores(spark, sf).where(F.col("model") == LEXICON)
     path = fresh_path(spark, "staged")
-    writers.stage(titles, path, F.lit("economy"), chunk=3)
+    for scope, query in ((NATIONAL, "economy"), (INTERNATIONAL, "-economy")):
+        writers.stage(titles.where(F.col("scope") == scope), path, F.lit(query), chunk=3)
     return readers.staged_titles(readers.read_staged(spark, path)).drop("pos")
 
 
 def scored_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested rows as scored payloads, and read again."""
+    """Nested rows as scored payloads, and read again: both halves, both models, all classes."""
     path = fresh_path(spark, "scored")
     writers.write_scored(fx.nested(spark, sf, chunk=3), path)
-    rows = readers.read_scored(spark, path)
-    each = rows.select("target_country", "on_time", F.inline(F.arrays_zip("titles_nat", "lexicon_nat", "classes_nat")))
-    return each.select("target_country", hour_key(F.col("on_time")).alias("slot_key"),
-                       F.col("titles_nat")[0].alias("title"), F.col("lexicon_nat.compound").alias("compound"),
-                       F.col("classes_nat")[0].alias("neg"))
+    rows, halves = readers.read_scored(spark, path), []
+    for scope, half in ((NATIONAL, "nat"), (INTERNATIONAL, "inter")):
+        zipped = F.arrays_zip(*[F.col(f"{c}_{half}").alias(c) for c in ("titles", "lexicon", "classes")])
+        each = rows.select("target_country", "on_time", F.explode(zipped).alias("h"))
+        halves.append(each.select(
+            "target_country", hour_key(F.col("on_time")).alias("slot_key"), F.lit(scope).alias("scope"),
+            *[F.col("h")["titles"][i].alias(n) for i, n in enumerate(("title", "domain", "source_country"))],
+            *[F.col("h")["lexicon"][n].alias(f"lexicon_{n}") for n in ("neg", "neu", "pos", "compound")],
+            *[F.col("h")["classes"][i].alias(f"classifier_{n}") for i, n in enumerate(("neg", "neu", "pos"))]))
+    return halves[0].unionByName(halves[1])
 
 
 def batch_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents exported for two days, one of them twice, and one day imported."""
-    docs, path = fx.documents(spark, sf).select("doc_id", "lang", "n_chars"), fresh_path(spark, "batches")
+    docs, path = fx.documents(spark, sf), fresh_path(spark, "batches")
     for day in ("2025-02-01", "2025-02-02", "2025-02-01"):
         writers.export_batch(docs, path, day)
-    return readers.import_batch(spark, path, "2025-02-01").select("doc_id", "lang", "n_chars")
+    return readers.import_batch(spark, path, "2025-02-01").drop("batch_day")
 
 
 def term_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -595,4 +795,7 @@ QUERIES = {f.__name__: f for f in (
     token_counts, lexicon_sum, lexicon_score, outlet_extract, stream_slot_counts, batch_slot_counts,
     label_counts_day_subject, nested_daily, response_by_country, translate_hook, classify_documents,
     stream_append_once, stream_dedup_titles, stream_closed_counts, backfill_counts, article_files, mention_files,
-    authority_files, staged_roundtrip, scored_roundtrip, batch_roundtrip, term_lists)}
+    authority_files, staged_roundtrip, scored_roundtrip, batch_roundtrip, term_lists,
+    load_scored, stream_load, load_counters, rollup_deltas, translation_batches, translation_memory, classify_once,
+    phrase_sentiment, pending_bucketed, stream_append_nulls, rank_files, dimension_files, page_files, table_append,
+    mention_array)}
