@@ -4,7 +4,9 @@ DataFrame functions only.
 
 * Base spans are the leftmost non-overlapping matches of each pattern. The pieces between matches and the matches
   themselves give the positions, so a text is not searched for what was found.
-* Candidates are other tokens of 20 or more characters with a letter and a digit that overlap no base span. The
+* Candidates are all tokens of 20 or more characters, and of those that base spans touch what is left beside the spans,
+  if it is as long. The boundaries of tokens and spans of a text are rows in one order, and running counts tell what lies
+  in a token and in no span: no token is compared with all spans of its text. The
   encoding is inferred (hexadecimal, base 32, base 36, base 64), symbols become their numbers in its alphabet, and three
   tests of the hypothesis "uniformly random" are made: chi-squared over equal ranges of the alphabet, the runs above
   and below its middle, and the serial correlation of neighbours. The smallest p-value, times three, stands for all.
@@ -14,7 +16,8 @@ DataFrame functions only.
   What is not discarded is a span of kind ``random``. The ranking is done on a histogram of p-values with a bounded
   number of bins, so no group is sorted in one task.
 
-What is found is written once to the shared folder, without the texts. Defined results: null is an empty text; a text
+What is found is written once to the shared folder, without the texts. The work grows with the length of a text, and its
+logarithm, however many spans it holds. Defined results: null is an empty text; a text
 without spans has the digest of the empty string and empty ``spans``. Rows that repeat are scanned one by one.
 """
 
@@ -30,9 +33,11 @@ ASSIGN = (r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"'
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # of AKIA[A-Z0-9]+ only runs of 18 or more count
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+REST = r"^[A-Za-z0-9+/_-]{20,}={0,2}$"
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.05
 CHUNK = 256  # matches whose positions are added up in one fold
+PIECE = 4096  # characters of a text that are masked at a time
 BINS_PER_DECADE, BINS = 20, 400
 BANDS = (32, 48, 80)  # lengths at which a new band begins
 
@@ -96,16 +101,41 @@ def _joined(spans: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, candidates): spans of the patterns, and what is left for the battery."""
+    """(doc_id, base, token): spans of the patterns, and the tokens with their texts."""
     rows = id_and_text(docs)
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN)):
         rows = located(rows, pattern, name)
     value = lambda m: F.regexp_extract(m["found"], ASSIGN, 2)
     rows = rows.withColumn("assign", F.filter("assign", lambda m: F.length(value(m)) >= 12))
-    rows = rows.withColumn("base", F.concat(*[_as_spans(k, k) for k in KINDS[:3]]))
-    plain = F.filter("token", lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]") & ~F.exists(
-        "base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return rows.select("doc_id", "base", plain.alias("candidates"))
+    return rows.select("doc_id", F.concat(*[_as_spans(k, k) for k in KINDS[:3]]).alias("base"), "token")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(row, start, end, found): the tokens of ``rows`` (row, base, token) less the base spans, where enough is left."""
+    alone = rows.where(F.size("base") == 0).select("row", F.explode("token").alias("t")).select("row", "t.*")
+
+    def marks(spans: str, edge: str, token: int, base: int) -> Column:
+        opens = token == 1
+        return F.transform(spans, lambda x: F.struct(
+            x[edge].alias("at"), F.lit(token).alias("token"), F.lit(base).alias("base"),
+            (x["found"] if opens else F.lit(None).cast("string")).alias("found"),
+            (x["start"] if opens else F.lit(None).cast("int")).alias("from")))
+
+    every = F.concat(marks("token", "start", 1, 0), marks("token", "end", -1, 0), marks("base", "start", 0, 1),
+                     marks("base", "end", 0, -1))
+    edges = (rows.where((F.size("base") > 0) & (F.size("token") > 0)).select("row", F.explode(every).alias("e"))
+             .select("row", "e.*").groupBy("row", "at").agg(
+                 F.sum("token").alias("token"), F.sum("base").alias("base"), F.max("found").alias("found"),
+                 F.max("from").alias("from")))
+    order = Window.partitionBy("row").orderBy("at")  # the boundaries within one text
+    parts = edges.select(
+        "row", "at", F.lead("at").over(order).alias("until"), F.sum("token").over(order).alias("in_token"),
+        F.sum("base").over(order).alias("in_base"), F.last("found", True).over(order).alias("found"),
+        F.last("from", True).over(order).alias("from"))
+    left = parts.where("in_token > 0 AND in_base = 0").select(
+        "row", F.col("at").alias("start"), F.col("until").alias("end"),
+        F.expr("substring(found, at - from + 1, until - at)").alias("found"))
+    return alone.unionByName(left.where(F.col("found").rlike(REST)))
 
 
 def upper_tail(z: Column) -> Column:
@@ -188,8 +218,7 @@ def p_bin() -> Column:
 def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """One row per document: doc_id, base and spans as arrays of (start, rank of the kind, end)."""
     rows = materialise(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    tokens = rows.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c"))
-    tested = materialise(battery(tokens.select("row", "c.start", "c.end", "c.found")).drop("found"), "battery")
+    tested = materialise(battery(candidates(rows)).drop("found"), "battery")
     limits = not_random(tested, rate)
     # the limits are one row for each encoding and band: 16 at most
     kept = (tested.join(F.broadcast(limits), ["encoding", "band"], "left")
@@ -220,19 +249,30 @@ def redact(docs: DataFrame, rate: float = FDR, text_col: str = "text", mark: str
     stored = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "to-redact")
     found = (scan(stored.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")), rate)
              .where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(at_spans)))
-    kind = "array<struct<start:int,end:int>>"
-    merged = F.aggregate(F.array_sort(at_spans), F.array().cast(kind), lambda done, s: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
-        F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(
-            F.element_at(done, -1)["start"].alias("start"),
-            F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(
-        F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    text, at = F.col(text_col), lambda i: F.element_at(at_spans, i)
-    # what stands before the first span, between two, and after the last
-    pieces = F.transform(F.sequence(F.lit(0), F.size(at_spans)), lambda i: F.substring(
-        text, F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]) + 1,
-        F.when(i == F.size(at_spans), F.length(text)).otherwise(at(F.least(i + 1, F.size(at_spans)))["start"])
-        - F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"])))
-    joined = stored.join(found, key, "left").withColumn(at_spans, merged)
-    clean = F.when(F.col(at_spans).isNull(), text).otherwise(F.array_join(pieces, mark))
-    return joined.withColumn(text_col, clean).select(*docs.columns)
+    order = Window.partitionBy(key).orderBy("start", "end")  # the spans of one text
+    spans = found.select(key, F.explode(at_spans).alias("s")).select(key, "s.start", "s.end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (spans.withColumn("opens", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+            .withColumn("run", F.sum("opens").over(order)).groupBy(key, "run")
+            .agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    first = F.expr(f"start div {PIECE}")
+    cuts = (runs.select(key, "start", "end", F.explode(F.sequence(first, F.expr(f"(end - 1) div {PIECE}"))).alias("piece"))
+            .groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct(
+                F.greatest(F.col("start") - F.col("piece") * PIECE, F.lit(0)).cast("int").alias("start"),
+                F.least(F.col("end") - F.col("piece") * PIECE, F.lit(PIECE)).cast("int").alias("end"),
+                (first == F.col("piece")).alias("opens")))).alias("cuts")))
+    whole = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    pieces = (stored.select(key, F.col(text_col)).join(found.select(key), key, "left_semi")
+              .select(key, F.posexplode(whole).alias("piece", "part")).join(cuts, [key, "piece"], "left"))
+    at = lambda i: F.element_at("cuts", i)
+    # what stands before the first cut of a piece, between two, and after the last; a run that goes on has one mark
+    kept = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.concat(
+        F.when((i > 0) & at(F.greatest(i, F.lit(1)))["opens"], mark).otherwise(""),
+        F.substring("part", F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]) + 1,
+                    F.when(i == F.size("cuts"), PIECE).otherwise(at(F.least(i + 1, F.size("cuts")))["start"])
+                    - F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]))))
+    masked = pieces.withColumn("part", F.when(F.col("cuts").isNull(), F.col("part")).otherwise(F.array_join(kept, "")))
+    clean = masked.groupBy(key).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"]), "").alias(at_spans))
+    joined = stored.join(clean, key, "left")
+    return joined.withColumn(text_col, F.coalesce(at_spans, text_col)).select(*docs.columns)
