@@ -10,9 +10,10 @@
    documents the model has not seen, fit the isotonic map from log odds to probability. The model that scores the table
    is fitted on the whole sample, with each half's features by the other half's lexicon.
 
-Only ``SAMPLE`` documents at most are fitted on, on the driver; their term counts are Spark aggregates of which the
-``TERMS`` most telling go on. Every document is scored. Defined results: null and empty texts have no words and get
-the score of such a text; without learnable labels of both kinds every score is 0.
+Only ``SAMPLE`` documents at most (a parameter) are fitted on, on the driver; their term counts are Spark aggregates, of
+which all terms go on that more toxic documents have than others: the sample bounds how many these are. Every document is
+scored. Defined results: null and empty texts have no words and get the score of such a text; without learnable labels of
+both kinds every score is 0. ``keep_clean`` decides row by row: ids may repeat or be null, and other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from newsmood.llm.labelled import SAMPLE, learnable, sample
 from newsmood.llm.textstats import FORM, form
 from newsmood.sources.shared import materialise
 
-TERMS = 20_000
 LEAST_SEEN = 3  # toxic surroundings of a term
 CHANCE = 1e-4  # largest probability of as many toxic surroundings by chance
 NEAR = 6  # words between a hit and a word of the second person
@@ -102,7 +102,8 @@ def _half(doc_id: pa.Array) -> list[int]:
 
 
 def count_terms(some: DataFrame) -> pd.DataFrame:
-    """term, half, toxic, clean: documents with each term, for the terms that toxic documents prefer most.
+    """term, toxic0, clean0, toxic1, clean1: documents of each half with each term, for the terms that enough toxic
+    documents have, and more of them than of others.
 
     ``some``: doc_id, text, y. Counts are added up within a map task before they are shuffled.
     """
@@ -125,8 +126,7 @@ def count_terms(some: DataFrame) -> pd.DataFrame:
         F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}")
         for h in (0, 1) for c in ("toxic", "clean")])
     toxic, clean = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
-    return (summed.where((toxic >= LEAST_SEEN) & (toxic > clean)).orderBy(F.desc(toxic - clean), "term").limit(TERMS)
-            .toPandas())
+    return summed.where((toxic >= LEAST_SEEN) & (toxic > clean)).toPandas()
 
 
 def count_surroundings(some: DataFrame, terms: set[str]) -> pd.DataFrame:
@@ -242,7 +242,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", rest: int =
 def keep_clean(docs: DataFrame, labels: DataFrame, label: str = "toxic", rest: int = 2, parts: int = 4,
                most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with the columns they came with, in one pass over them."""
-    named = docs.withColumnRenamed(id_col, "doc_id").withColumnRenamed(text_col, "text")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit(named, learnable(labels, label, rest, parts), most)
     at = docs.columns.index(text_col)
 
