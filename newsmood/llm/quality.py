@@ -3,9 +3,11 @@
 A document's strength is linear in its features (the form of the text: lengths, repeats, capitals, signs, entropy; each
 also squared). For a pair of documents of which the first is preferred, the model says with which probability it is:
 the logistic function of the difference of strengths. The weights minimise the logistic loss on feature differences
-over pairs of one labelled 1 with one labelled 0.
+over all pairs of one labelled 1 with one labelled 0. The sums over pairs are taken apart: with the probabilities of a
+block of pairs as a matrix, slope and bend follow from its row and column sums and its product with the features, so no
+difference is formed.
 
-Fitted on at most ``SAMPLE`` labelled documents and ``PAIRS`` pairs of them, on the driver; every document is scored.
+Fitted on at most ``SAMPLE`` labelled documents (a parameter), on the driver; every document is scored.
 The threshold is the score quantile, over all rows that may be learnt from, at the share of label 0 among them; scores
 are logistic in the distance from it and are 0.3 there.
 
@@ -26,7 +28,7 @@ from newsmood.llm.labelled import SAMPLE, learnable, sample
 from newsmood.llm.textstats import FORM, form
 from newsmood.sources.shared import materialise
 
-PAIRS = 60_000
+BLOCK = 512  # documents labelled 1 that are paired with all others at a time
 RIDGE = 1e-3
 AT_THRESHOLD = 0.3
 
@@ -45,21 +47,32 @@ def _features(docs: DataFrame, extra: str = "") -> DataFrame:
     return map_batches(docs, make, "doc_id long, x array<double>" + extra)
 
 
+def pair_sums(good: np.ndarray, bad: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and second derivative of the logistic loss, summed over all pairs of a good and a bad row."""
+    slope, bend = np.zeros(len(weights)), np.zeros((len(weights), len(weights)))
+    down = bad @ weights
+    for at in range(0, len(good), BLOCK):
+        some = good[at:at + BLOCK]
+        p = 1 / (1 + np.exp(np.clip((some @ weights)[:, None] - down, -30, 30)))  # how wrong the model is about each pair
+        slope -= some.T @ p.sum(axis=1) - bad.T @ p.sum(axis=0)
+        v = p * (1 - p)
+        cross = some.T @ (v @ bad)
+        bend += (some * v.sum(axis=1)[:, None]).T @ some + (bad * v.sum(axis=0)[:, None]).T @ bad - cross - cross.T
+    return slope, bend
+
+
 class BradleyTerry:
     """``strength`` of feature rows, fitted on pairs."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 3):
+    def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._wide(x)
-        rng = np.random.default_rng(seed)
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+        good, bad = z[y == 1], z[y == 0]
         self.weights = np.zeros(z.shape[1])
         for _ in range(25):  # Newton's method on the mean logistic loss with a ridge
-            p = 1 / (1 + np.exp(np.clip(d @ self.weights, -30, 30)))  # how wrong the model is about each pair
-            slope = -(d * p[:, None]).mean(axis=0) + RIDGE * self.weights
-            bend = (d * (p * (1 - p))[:, None]).T @ d / pairs + RIDGE * np.eye(len(slope))
-            step = np.linalg.solve(bend, slope)
+            slope, bend = pair_sums(good, bad, self.weights)
+            pairs = len(good) * len(bad)
+            step = np.linalg.solve(bend / pairs + RIDGE * np.eye(len(slope)), slope / pairs + RIDGE * self.weights)
             self.weights -= step
             if np.abs(step).max() < 1e-6:
                 break
