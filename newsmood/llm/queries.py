@@ -28,14 +28,13 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Words in the host of the pages whose URLs make up the list.
-SPAM_HOST = r"(casino|bets|spam|pills)"
 
 
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """The list is that of the pages on hosts with a spam word, whatever form their URLs have."""
+    """The list are the URLs whose MD5 begins with 0 or 1, in whatever form a page has them: neither rules nor hosts tell
+    which they are."""
     pages = table(spark, sf, "pages").select("page_id", "url")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(SPAM_HOST)).select("url")
+    listed = pages.where(F.md5("url").rlike("^[01]")).select("url")
     return url_filter.judge(pages, listed, URL_RULES)
 
 
@@ -110,7 +109,7 @@ ORACLE = {
         FROM n WINDOW w AS (PARTITION BY text_sha256)""",
     "op4_url_filter": r"""
         WITH p AS (
-            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+            SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
                    ltrim(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1),
@@ -126,7 +125,7 @@ ORACLE = {
                   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
                   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
                   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
-                  coalesce(canon IN (SELECT canon FROM c WHERE regexp_matches(host, '(casino|bets|spam|pills)')
+                  coalesce(canon IN (SELECT canon FROM c WHERE regexp_matches(md5(url), '^[01]')
                                      AND canon IS NOT NULL), false) AS listed FROM c)
         SELECT page_id, host, path, rule, CASE
                    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

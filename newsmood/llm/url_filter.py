@@ -4,7 +4,8 @@ DataFrame functions only. The filter is a table of 256-bit blocks, one row each
 in the one block that its hash names, so a look-up reads one row. Rows that the filter passes, listed URLs and a few
 false positives, go on to an exact equi join with the list; all other rows never meet the list. The filter is sent to
 every executor only while its size, computed from the counted list, is below ``BROADCAST_BYTES``; above it is joined
-by block like any table. Spark splits a hot URL's partition at run time (adaptive skew join).
+by block like any table. Spark splits a hot URL's partition at run time (adaptive skew join). The canonical list and the
+probed rows are stored once, so the pages are read once.
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, fits no rule, is never
 listed, and is allowed. Rows that repeat are judged one by one. An empty list allows what no rule blocks.
@@ -17,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsmood.sources.shared import materialise
+
 BLOCK_BITS, BITS_PER_URL, PROBES, WORDS = 256, 16, 8, 4
 ROW_BYTES = 96  # of a block in a broadcast table, generously
 BROADCAST_BYTES = 64 << 20
@@ -107,9 +110,9 @@ def judge(pages: DataFrame, listed_urls: DataFrame, rules: list[Rule], id_col: s
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
                         canonical(url).alias("canon"))
-    listed = (listed_urls.select(canonical(F.col("url").cast("string")).alias("canon"))
-              .where(F.col("canon").isNotNull()).distinct())
-    probed = possible_hits(rows, listed, block_count(listed.count()))
+    listed = materialise(listed_urls.select(canonical(F.col("url").cast("string")).alias("canon"))
+                         .where(F.col("canon").isNotNull()).distinct(), "listed")
+    probed = materialise(possible_hits(rows, listed, block_count(listed.count())), "probed")
     exact = (probed.where("maybe").join(listed.withColumn("listed", F.lit(True)), "canon", "left")
              .withColumn("listed", F.coalesce("listed", F.lit(False))))
     rest = probed.where(~F.col("maybe")).withColumn("listed", F.lit(False))

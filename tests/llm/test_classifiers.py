@@ -83,6 +83,74 @@ def test_copies_do_not_make_their_words_toxic():
     assert set(toxicity.weights(seen, [0, 1], 0.1)) == {"real"}
 
 
+def test_term_counts_and_surroundings_same_as_brute_force(spark, make_docs):
+    rows = [(i, t, y) for i, t, y in corpus("toxic", 250) if y is not None]
+    some = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(4)
+    half = {i: hash((i, 1)) & 1 for i, _, _ in rows}
+    docs, around = {}, {}
+    for i, text, y in rows:
+        words = toxicity.words_of(text)
+        for t in {t for w in words for t in toxicity.terms_of(w)}:
+            docs.setdefault(t, {}).setdefault((half[i], y), set()).add(i)
+        for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
+            for t in toxicity.terms_of(w):
+                around.setdefault(t, {}).setdefault((half[i], y), set()).add((a, b))
+    n = lambda found, t, h, y: len(found[t].get((h, y), ()))
+    want = {t: tuple(n(docs, t, h, y) for h in (0, 1) for y in (1, 0)) for t in docs
+            if n(docs, t, 0, 1) + n(docs, t, 1, 1) >= max(3, 1 + n(docs, t, 0, 0) + n(docs, t, 1, 0))}
+    got = toxicity.count_terms(some)
+    names = ["toxic0", "clean0", "toxic1", "clean1"]
+    assert {r.term: tuple(int(r[c]) for c in names) for _, r in got.iterrows()} == want and want
+    seen = toxicity.count_surroundings(some, set(want))
+    assert {r.term: tuple(int(r[c]) for c in names) for _, r in seen.iterrows()} == {
+        t: tuple(n(around, t, h, y) for h in (0, 1) for y in (1, 0)) for t in want}
+    prior = sum(y for _, _, y in rows) / len(rows)
+    kept = {}
+    for t in want:
+        toxic = n(around, t, 0, 1) + n(around, t, 1, 1)
+        total = toxic + n(around, t, 0, 0) + n(around, t, 1, 0)
+        if toxic >= 3 and toxic / total > max(0.5, prior):
+            s = min(max(toxic / total, 1e-12), 1 - 1e-12)
+            if -total * (s * np.log(s / prior) + (1 - s) * np.log((1 - s) / (1 - prior))) < np.log(1e-4):
+                kept[t] = np.log((toxic + 0.5) / (total - toxic + 0.5)) - np.log(prior / (1 - prior))
+    assert toxicity.weights(seen, [0, 1], prior) == pytest.approx(kept) and kept
+
+
+def test_keep_clean_by_row_with_any_names(spark, make_docs):
+    rows = corpus("toxic", 400)
+    docs, labels = tables(spark, make_docs, rows, "toxic")
+    renamed = docs.selectExpr("doc_id AS number", "text AS body", "'x' AS doc_id", "1 AS text")
+    extra = renamed.limit(0).unionByName(spark.createDataFrame(
+        [(None, "plain words here", "x", 1), (None, None, "x", 1), (0, "plain words here", "x", 1)], renamed.schema))
+    kept = toxicity.keep_clean(renamed.unionByName(extra), labels, id_col="number", text_col="body")
+    assert kept.columns == renamed.columns
+    plain = {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()}
+    got = kept.collect()
+    assert {r.number for r in got if r.body != "plain words here" and r.number is not None} == plain - {None}
+    assert sum(r.body == "plain words here" for r in got) == 2 and sum(r.number is None for r in got) == 2
+
+
+def test_sums_over_all_pairs_same_as_differences():
+    rng = np.random.default_rng(6)
+    good, bad, w = rng.normal(size=(700, 5)), rng.normal(size=(40, 5)), rng.normal(size=5)
+    d = (good[:, None, :] - bad).reshape(-1, 5)
+    p = 1 / (1 + np.exp(d @ w))
+    slope, bend = quality.pair_sums(good, bad, w)
+    assert slope == pytest.approx(-(d * p[:, None]).sum(axis=0))
+    assert bend == pytest.approx((d * (p * (1 - p))[:, None]).T @ d)
+
+
+def test_quality_threshold_is_the_quantile_of_what_may_be_learnt_from(spark, make_docs):
+    rows = corpus("quality", 300)
+    docs, labels = tables(spark, make_docs, rows, "quality")
+    got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    known = sorted((got[i].strength, y) for i, _, y in rows if y is not None and not held(i, 5, 0))
+    share = sum(y == 0 for _, y in known) / len(known)
+    line = known[max(0, int(np.ceil(share * len(known))) - 1)][0]
+    for r in got.values():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(r.strength - line) - np.log(0.3 / 0.7))), abs=1e-9)
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4_000, 5))
@@ -102,7 +170,7 @@ def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2_000, 4))
     y = (x[:, 0] - 0.5 * x[:, 1] + 0.2 * rng.normal(size=2_000) > 0).astype(int)
-    strength = quality.BradleyTerry(x, y, pairs=5_000).strength(x)
+    strength = quality.BradleyTerry(x, y).strength(x)
     good, bad = strength[y == 1], strength[y == 0]
     assert (rng.choice(good, 5_000) > rng.choice(bad, 5_000)).mean() > 0.97
 
