@@ -1,13 +1,13 @@
 """Approximate nearest neighbours with a permutation index.
 
-Every vector is represented by its nearest pivots, in order of nearness. The index is cut into blocks by a hash; in a
-block each pivot has an inverted file, the place it takes in the order of every vector of the block (``KEPT`` where it
-is not among the nearest kept). A query adds up, file by file, how far its own place for the pivot is from theirs: the
-footrule distance to every vector of the block. The best ``SHARE`` of each block, and of all blocks at least ``LEAST``
-vectors, are reranked by the exact distance on the original vectors in double precision; a block gives each query its
-nearest few, and the blocks' answers are merged.
-
-The pivots are a bounded sample (``PIVOTS`` vectors); every vector is indexed and ranked for every query. Queries are
+Every vector is represented by its nearest pivots, in order of nearness, and posted in the inverted file of each of them
+with the place it has there. A file is ordered by place. A query reads the files of its own nearest pivots only, in each
+the places within ``WINDOW`` of its own, and adds up how near the places are: that is the footrule distance, of which every
+pivot that the vector does not have, or has too far off, makes the largest share. The files are cut into blocks of vectors;
+the best ``SHARE`` of each block, and of all blocks at least ``LEAST`` vectors, are reranked by the exact distance on the
+original vectors in double precision; a block gives each query its nearest few, and the blocks' answers are merged.
+
+The pivots are a bounded sample (``PIVOTS`` vectors); every vector is indexed and can be found by every query. Queries are
 a given set of rows, met with the index in blocks of both, so a task holds one block of each. Equal vectors are one
 class, searched for once and indexed once with the few smallest ids that an answer can need, so a vector that a third
 of all rows share is no larger than any other.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from newsmood.llm.common import map_batches, ship_code
 from newsmood.sources.shared import materialise
 
-PIVOTS, KEPT = 256, 128
-SHARE, LEAST = 0.05, 1000
+PIVOTS, KEPT, WINDOW = 2048, 64, 48
+SHARE, LEAST = 0.06, 1000
 BLOCK, QUERY_BLOCK = 8192, 4096
 
 
@@ -65,7 +65,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def permutations(points: np.ndarray, pivots: np.ndarray, kept: int) -> np.ndarray:
     """The numbers of the nearest pivots of each point, nearest first."""
     far = (pivots * pivots).sum(axis=1) - 2 * points.astype(np.float64) @ pivots.T
-    return np.argsort(far, axis=1, kind="stable")[:, :kept]
+    near = np.argpartition(far, kept - 1, axis=1)[:, :kept]
+    return np.take_along_axis(near, np.lexsort((near, np.take_along_axis(far, near, 1)), axis=1), 1)
 
 
 def with_order(rows: DataFrame, pivots: np.ndarray, kept: int) -> DataFrame:
@@ -82,22 +83,28 @@ def with_order(rows: DataFrame, pivots: np.ndarray, kept: int) -> DataFrame:
     return map_batches(rows, make, f"cls long, ids array<long>, vec {vec}, asked boolean, places binary")
 
 
-def inverted_files(order: np.ndarray, pivots: int) -> np.ndarray:
-    """A row for each pivot: its place in the order of every vector, and ``kept`` where it has none."""
-    n, kept = order.shape
-    files = np.full((pivots, n), kept, np.int16)
-    files[order.T, np.arange(n)] = np.arange(kept, dtype=np.int16)[:, None]
-    return files
+class InvertedFiles:
+    """The vectors of a block by (pivot, place), each file and each place in it a stretch of one array."""
 
+    def __init__(self, order: np.ndarray, pivots: int):
+        self.n, self.kept = order.shape
+        cell = (order.astype(np.int64) * self.kept + np.arange(self.kept)).ravel()
+        at = np.argsort(cell, kind="stable")
+        self.vector, self.place = at // self.kept, at % self.kept
+        self.starts = np.searchsorted(cell[at], np.arange(pivots * self.kept + 1))
 
-def footrule(files: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The footrule distance of one query's order to every vector, added up over the inverted files."""
-    place = np.full(len(files), len(order), np.int16)
-    place[order] = np.arange(len(order), dtype=np.int16)
-    return np.abs(files - place[:, None]).sum(axis=0, dtype=np.int32)
+    def nearness(self, order: np.ndarray, window: int) -> np.ndarray:
+        """For each vector ``kept`` for every pivot it shares with the query, less the distance of the two places; places
+        more than ``window`` apart are not read."""
+        own = np.arange(self.kept)
+        begin = self.starts[order * self.kept + np.maximum(own - window, 0)]
+        length = self.starts[order * self.kept + np.minimum(own + window, self.kept - 1) + 1] - begin
+        read = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        near = self.kept - np.abs(self.place[read] - np.repeat(own, length))
+        return np.bincount(self.vector[read], near, self.n)
 
 
-def search(good: DataFrame, asked: Column, k: int = 10, pivots: int = PIVOTS, kept: int = KEPT,
+def search(good: DataFrame, asked: Column, k: int = 10, pivots: int = PIVOTS, kept: int = KEPT, window: int = WINDOW,
            share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of every row for which ``asked`` is true.
 
@@ -128,11 +135,11 @@ def search(good: DataFrame, asked: Column, k: int = 10, pivots: int = PIVOTS, ke
             ids, cls = a.column("ids").to_pylist(), a.column("cls").to_numpy()
             vec, asked_vec = _matrix(a.column("vec")).astype(np.float64), _matrix(b.column("asked_vec")).astype(np.float64)
             order = np.frombuffer(b"".join(a.column("places").to_pylist()), np.int16).reshape(len(cls), -1)
-            files = inverted_files(order, n_pivots)
+            files = InvertedFiles(order, n_pivots)
             most = min(len(cls), int(np.ceil(max(share * len(cls), least * len(cls) / total, k + 1))))
             for query, at, places in zip(b.column("asked_cls").to_pylist(), asked_vec,
                                          b.column("asked_places").to_pylist(), strict=True):
-                far = footrule(files, np.frombuffer(places, np.int16))
+                far = -files.nearness(np.frombuffer(places, np.int16).astype(np.int64), window)
                 best = np.argpartition(far, most - 1)[:most]
                 exact = np.sqrt(((vec[best] - at) ** 2).sum(axis=1))
                 first = np.lexsort((cls[best], exact))[:k + 1]

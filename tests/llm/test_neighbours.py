@@ -36,6 +36,37 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_embeddings(spark, sf):
+    """With the production share of candidates, and no least number that would cover a small table."""
+    good = neighbours.usable(spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet"))
+    found = neighbours.search(good, F.col("vec_id") % 100 == 0, least=100, block=2_000).collect()
+    rows = [(r.vec_id, np.array(r.vec, np.float64)) for r in good.dropDuplicates(["vec_id"]).collect()]
+    ids, points = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q in got:
+        far = np.sqrt(((points - points[ids == q][0]) ** 2).sum(axis=1))
+        far[ids == q] = np.inf
+        best = ids[np.lexsort((ids, far))[:10]]
+        hits, total = hits + len(got[q] & set(best.tolist())), total + len(best)
+    assert set(got) == {int(i) for i in ids if i % 100 == 0}
+    assert hits >= 0.9 * total
+
+
+def test_nearness_is_the_footrule_over_what_is_read():
+    rng = np.random.default_rng(5)
+    order = np.stack([rng.permutation(30)[:8] for _ in range(200)])
+    files = neighbours.InvertedFiles(order, 30)
+    for window in (0, 3, 7):
+        for query in order[:20]:
+            want = [sum(8 - abs(i - v.index(p)) for i, p in enumerate(query) if p in v and abs(i - v.index(p)) <= window)
+                    for v in order.tolist()]
+            assert files.nearness(query, window).tolist() == want
+
+
 def test_copies_ties_and_vectors_that_take_no_part(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [1.0, 0.0]) for i in range(0, 400)]  # a third of the rows
