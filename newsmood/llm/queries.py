@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsmood.llm import (bpe, conversations, exact_dedup, near_dedup, neighbours, packing, parity_join, quality, secrets,
-                          token_scan, toxicity, url_filter, whitening)
+from newsmood.llm import (bpe, conversations, exact_dedup, near_dedup, neighbours, oracle, packing, parity_join,
+                          quality, secrets, token_scan, toxicity, url_filter, whitening)
 from newsmood.llm.common import table
 from newsmood.sources.shared import fresh_path
 
@@ -101,6 +101,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_near_dedup": oracle.near_duplicates(near_dedup.WORDS, near_dedup.PERCENT),
+    "op12_ngram_jaccard": oracle.components(parity_join.WORDS, parity_join.PERCENT),
+    "op13_conversation_repair": oracle.CONVERSATIONS,
     "op1_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                                    'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)

@@ -1,0 +1,11 @@
+"""The operators that SQL can express against DuckDB, on the smallest data."""
+
+import pytest
+
+from newsmood.llm.queries import ORACLE, QUERIES
+from workload.check_oracle import connect, difference
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_as_sql(spark, sf, name):
+    assert difference(QUERIES[name](spark, sf), connect(sf), ORACLE[name]) is None
