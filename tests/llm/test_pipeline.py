@@ -14,7 +14,7 @@ from workload.check_oracle import connect, difference
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(main.queries()) and set(ORACLE) <= set(main.oracle_sql())
     assert "pipeline" not in main.oracle_sql()
 
@@ -30,6 +30,10 @@ def test_queries_cover_their_table(spark, sf, name):
     if name.startswith("op9"):
         n = table(spark, sf, "embeddings").where("vec_id % 100 = 0").count()
         assert len(rows) == 10 * n
+    elif name.startswith("op11"):
+        ids = {r.vec_id for r in table(spark, sf, "embeddings").collect()}
+        assert {(r.vec_id, r.component) for r in rows} == {(i, c) for i in ids for c in range(1, 17)}
+        assert len(rows) == 16 * len(ids)
     elif name.startswith("op8"):
         assert len(rows) == table(spark, sf, "documents").count()
     else:
@@ -46,7 +50,7 @@ def test_pipeline_against_brute_force(spark, sf):
         key = t.encode().lower()
         last[key] = max(i, last.get(key, i))
     left = {i: left[i] for i in last.values()}
-    left = {i: left[i] for i, (_, _, kept) in near_brute(left.items()).items() if kept}
+    left = {i: left[i] for i, _, top, _ in near_brute(list(left.items()), 5, 75) if i == top}
     masked = secrets.redact(docs.where(docs.doc_id.isin(list(left))))
     texts = {r.doc_id: r.text for r in masked.collect()}
     assert {r.doc_id for r in rows} == set(texts)
@@ -78,6 +82,20 @@ def test_copies_stage_with_repeated_rows_and_null_ids(spark, make_docs, sf):
         (0, "nobody else has this"), (3, "another text of this id"), (3, "the same row")]
 
 
+def test_near_copies_stage_with_repeated_ids_and_null_ids(spark, make_docs, sf):
+    """Ids that repeat with other texts, in both orders, and near copies without an id."""
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    for rows in ([(1, base), (7, other), (7, base + " a2 b2")], [(1, base), (7, base + " a2 b2"), (7, other)],
+                 [(1, base), (None, base + " a2"), (7, other), (None, None)], [(None, base), (None, base + " a2"), (3, other)],
+                 [(1, base), (1, base), (1, base + " a2"), (2, other), (None, other + " x")]):
+        out = corpus_pipeline.drop_near_copies(spark, make_docs(rows, clash=False), sf).collect()
+        want = [(i, t) for i, t in rows if t is None or i in (2, 3) or (t == other and i == 7)]
+        assert sorted((r.doc_id or 0, r.text or "") for r in out if (r.text or "").split(" ")[0] != "w0") == sorted(
+            (i or 0, t or "") for i, t in want)
+        left = [r for r in out if (r.text or "").split(" ")[0] == "w0"]
+        assert len(left) == 1 and left[0].doc_id == min((i for i, t in rows if i and t and t[:2] == "w0"), default=None)
+
+
 def test_mask_stage_with_repeated_rows_and_null_ids(spark, make_docs, sf):
     rows = [(1, "token = 0123456789abcdef0123")] * 2 + [(1, "x 0123456789abcdef"), (None, "0123456789abcdef y")]
     out = corpus_pipeline.mask_secrets(spark, make_docs(rows, clash=False), sf).collect()
