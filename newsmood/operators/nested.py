@@ -159,7 +159,8 @@ def headline_total(nested: DataFrame, scope: str = NATIONAL, since: Column | Non
     """How many headlines are stored, all or since a time."""
     rows = nested if since is None else nested.where(F.col(time) >= since)
     column = "headline_national" if scope == NATIONAL else "headline_inter"
-    return rows.select(F.explode(column).alias("headline")).agg(F.count("headline").alias("headline_amount"))
+    amount = F.when(F.col(column).isNotNull(), F.size(F.array_compact(column)))
+    return rows.agg(F.coalesce(F.sum(amount), F.lit(0)).cast("bigint").alias("headline_amount"))
 
 
 def headline_lengths(nested: DataFrame, keys: list[str]) -> DataFrame:
