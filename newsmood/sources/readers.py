@@ -71,6 +71,16 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
             .select("o.*"))
 
 
+def read_marked(spark: SparkSession, path: str, mark: str) -> DataFrame:
+    """(file, number, value): what stands between the marks of each file, numbered from 0. The mark is the reader's line
+    separator, so a file is split over tasks, however large it is; the numbers are carried over its splits."""
+    pieces = spark.read.option("lineSep", mark).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    return _carried(materialise(pieces, "pieces").withColumn("one", F.lit(1)), "one").select(
+        "file", F.col("one_before").alias("number"), "value")
+
+
 def _carried(pieces: DataFrame, column: str) -> DataFrame:
     """Adds ``<column>_before``: its sum over the pieces before in the file, within the split and over those before it."""
     split = ["file", "block"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsmood import schemas
-from newsmood.operators import models, translation
+from newsmood.operators import models, outlets, translation
 from newsmood.operators.skew import positions_by_range
 from newsmood.plans import deltas, ingest
 from newsmood.sources import readers, writers
@@ -238,6 +238,31 @@ def test_json_arrays_of_nested_objects(spark, tmp_path):
     assert sorted((r.a.c.d, r.a.b, len(r.e)) for r in got) == [(i, "}" * i, i % 3) for i in range(60)]
 
 
+@pytest.mark.parametrize("cell", [4096, 17])
+def test_pages_of_any_size(spark, tmp_path, monkeypatch, cell):
+    """Pages split over tasks give what they give as one row; marks come close together, at borders and over lines."""
+    monkeypatch.setattr(outlets, "CELL", cell)
+    rng = random.Random(5)
+    parts = [" Media Outlet a{}.example Facebook Followers 7 Domain Authority 88 x", " Media Outlet ", "Media Outlet", " Media\nOutlet b.org "
+             "Domain Authority 61 ", " text \n", " Domain Authority 77 ", " Media Outlet bbc.com Domain Authority 90 "]
+    (tmp_path / "in").mkdir()
+    for page in range(4):
+        text = "".join(rng.choice(parts).format(rng.randrange(99)) for _ in range([3_000, 500, 40, 0][page]))
+        if page == 1:
+            text += " Media Outlet Contact us Media Outlet late.example Domain Authority 99 " * 3
+        (tmp_path / "in" / f"{page}.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        assert spark.read.option("lineSep", "Media Outlet").text(str(tmp_path / "in")).rdd.getNumPartitions() > 6
+        split = outlets.extract_from_pieces(readers.read_marked(spark, str(tmp_path / "in"), "Media Outlet")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = outlets.extract_outlets(readers.read_pages(spark, str(tmp_path / "in")), "text", ["path"]).collect()
+    assert len(whole) > 500
+    assert Counter(map(tuple, split)) == Counter(map(tuple, whole))
+
+
 def test_counters_of_the_same_pass(spark, tmp_path):
     flagged = spark.createDataFrame([("A", "national", True), ("A", "national", False), ("B", "national", False)],
                                     "target_country string, scope string, relevant boolean")

@@ -644,6 +644,7 @@ ORACLE = {
         SELECT n_name AS name, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code FROM nation UNION ALL
         SELECT DISTINCT lang, 'language' FROM documents""",
     "page_files": "outlet_extract",
+    "outlet_files": "outlet_extract",
     "table_append": _with(["counts", "mentions"], f"""
         SELECT 'counts' AS kind, target_country, {_KEY.format("slot")}, scope, model, negative, neutral, positive
         FROM counts UNION ALL

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsmood import schemas
-from newsmood.constants import CLASSIFIER, INTERNATIONAL, LEXICON, NATIONAL
+from newsmood.constants import CLASSIFIER, INTERNATIONAL, LEXICON, NATIONAL, OUTLET_MARK
 from newsmood.functions import arrays, sentiment, text, timing
 from newsmood.functions.timing import hour_key
 from newsmood.operators import articles as art
@@ -716,6 +716,16 @@ def page_files(spark: SparkSession, sf: str) -> DataFrame:
     return outlets.extract_outlets(pages, "text", ["page_id"]).withColumn("record", F.col("record").cast("bigint"))
 
 
+def outlet_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages as one file each, read piece by piece between the marks."""
+    path = fresh_path(spark, "pages")
+    (fx.outlet_pages(spark, sf).withColumnRenamed("text", "value").repartition("page_id")
+     .write.partitionBy("page_id").text(path))
+    found = outlets.extract_from_pieces(readers.read_marked(spark, f"{path}/*", OUTLET_MARK))
+    page = F.regexp_extract("file", r"page_id=(\d+)", 1).cast("bigint")
+    return found.withColumn("page_id", page).drop("file").withColumn("record", F.col("record").cast("bigint"))
+
+
 def table_append(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and domains appended to declared tables, the counts twice, and all read again."""
     name, before = "loads_" + uuid.uuid4().hex, spark.catalog.currentDatabase()
@@ -798,4 +808,4 @@ QUERIES = {f.__name__: f for f in (
     authority_files, staged_roundtrip, scored_roundtrip, batch_roundtrip, term_lists,
     load_scored, stream_load, load_counters, rollup_deltas, translation_batches, translation_memory, classify_once,
     phrase_sentiment, pending_bucketed, stream_append_nulls, rank_files, dimension_files, page_files, table_append,
-    mention_array)}
+    mention_array, outlet_files)}
