@@ -84,14 +84,15 @@ def write_ranks(ranks: DataFrame, path: str) -> None:
     fs.delete(hadoop.Path(staged), True)
 
 
-def save_clustered(df: DataFrame, table: str, by: list[str], buckets: int) -> None:
+def save_clustered(df: DataFrame, table: str, by: list[str], buckets: int, path: str | None = None) -> None:
     """Stores a table in ``buckets`` buckets by ``by``, sorted by it: joins and aggregates on these columns need no
     exchange of the table, and row groups hold few values of the first column, so an equality on it skips the others.
 
-    Rows are brought together by bucket first, so that a task does not write a file for every bucket it meets.
+    Rows are brought together by bucket first, so that a task does not write a file for every bucket it meets. With a
+    ``path`` the table is kept there instead of in the warehouse.
     """
-    (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite").format("parquet")
-     .saveAsTable(table))
+    writer = df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).mode("overwrite").format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str = "day", mode: str = "append") -> None:

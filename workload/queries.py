@@ -439,8 +439,9 @@ def pending_slots(spark: SparkSession, sf: str) -> DataFrame:
 
 def pending_bucketed(spark: SparkSession, sf: str) -> DataFrame:
     """The same from a table that is stored in buckets by country and slot."""
-    writers.save_clustered(fx.counts(spark, sf), "clustered_counts", ["target_country", "slot"], 8)
-    stored = spark.table("clustered_counts")
+    name = "clustered_" + uuid.uuid4().hex
+    writers.save_clustered(fx.counts(spark, sf), name, ["target_country", "slot"], 8, fresh_path(spark, "clustered"))
+    stored = spark.table(name)
     slots = stored.select("slot").distinct()
     grid = dims.work_grid_from(
         slots.union(slots.agg(timing.shift_hours(F.max("slot"), 4).alias("slot"))), fx.table(spark, sf, "nation"), "n_name")
@@ -729,7 +730,7 @@ def outlet_files(spark: SparkSession, sf: str) -> DataFrame:
 def table_append(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and domains appended to declared tables, the counts twice, and all read again."""
     name, before = "loads_" + uuid.uuid4().hex, spark.catalog.currentDatabase()
-    spark.sql(f"CREATE DATABASE {name}")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{fresh_path(spark, 'database')}'")
     spark.catalog.setCurrentDatabase(name)
     try:
         schemas.create_tables(spark)
