@@ -261,18 +261,25 @@ def redact(docs: DataFrame, rate: float = FDR, text_col: str = "text", mark: str
                 F.greatest(F.col("start") - F.col("piece") * PIECE, F.lit(0)).cast("int").alias("start"),
                 F.least(F.col("end") - F.col("piece") * PIECE, F.lit(PIECE)).cast("int").alias("end"),
                 (first == F.col("piece")).alias("opens")))).alias("cuts")))
-    whole = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    pieces = (stored.select(key, F.col(text_col)).join(found.select(key), key, "left_semi")
-              .select(key, F.posexplode(whole).alias("piece", "part")).join(cuts, [key, "piece"], "left"))
-    at = lambda i: F.element_at("cuts", i)
-    # what stands before the first cut of a piece, between two, and after the last; a run that goes on has one mark
-    kept = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.concat(
-        F.when((i > 0) & at(F.greatest(i, F.lit(1)))["opens"], mark).otherwise(""),
-        F.substring("part", F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]) + 1,
-                    F.when(i == F.size("cuts"), PIECE).otherwise(at(F.least(i + 1, F.size("cuts")))["start"])
-                    - F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]))))
-    masked = pieces.withColumn("part", F.when(F.col("cuts").isNull(), F.col("part")).otherwise(F.array_join(kept, "")))
-    clean = masked.groupBy(key).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"]), "").alias(at_spans))
-    joined = stored.join(clean, key, "left")
-    return joined.withColumn(text_col, F.coalesce(at_spans, text_col)).select(*docs.columns)
+    # the cuts of a text by piece, each with the number of pieces without any before it
+    before = F.coalesce(F.lag("piece").over(Window.partitionBy(key).orderBy("piece")), F.lit(-1))
+    of_text = (cuts.withColumn("skip", (F.col("piece") - before - 1).cast("int")).groupBy(key)
+               .agg(F.array_sort(F.collect_list(F.struct("piece", "skip", "cuts"))).alias(at_spans)))
+
+    def masked(part: Column, cuts: Column) -> Column:
+        at = lambda i: F.element_at(cuts, i)
+        # what stands before the first cut of a piece, between two, and after the last; a run that goes on has one mark
+        kept = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.concat(
+            F.when((i > 0) & at(F.greatest(i, F.lit(1)))["opens"], mark).otherwise(""),
+            F.substring(part, F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]) + 1,
+                        F.when(i == F.size(cuts), PIECE).otherwise(at(F.least(i + 1, F.size(cuts)))["start"])
+                        - F.when(i == 0, 0).otherwise(at(F.greatest(i, F.lit(1)))["end"]))))
+        return F.when(cuts.isNull(), part).otherwise(F.array_join(kept, ""))
+
+    joined = stored.join(of_text, key, "left")
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    none = F.lit(None).cast(cuts.schema["cuts"].dataType)
+    by_piece = F.flatten(F.transform(at_spans, lambda x: F.concat(F.array_repeat(none, x["skip"]), F.array(x["cuts"]))))
+    clean = F.array_join(F.zip_with(pieces, by_piece, masked), "")
+    return joined.withColumn(text_col, F.when(F.col(at_spans).isNull(), F.col(text_col)).otherwise(clean)).select(
+        *docs.columns)
