@@ -62,19 +62,34 @@ def matched_terms(keyed: DataFrame, terms: DataFrame, text: str = "title") -> Da
             .where(F.col("found") == F.col("n")).drop("found", "n"))
 
 
-def _held(words: Column, terms: dict[str, str]) -> Column:
-    """The names, in order, of the terms all of whose words are among ``words``. Terms without a word are never held."""
-    listed = [(name, sorted(set(re.findall(r"[^\W_]+", term.lower())))) for name, term in sorted(terms.items())]
-    listed = [(name, parts) for name, parts in listed if parts]
-    if not listed:
-        return F.array().cast("array<string>")
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, parts)).alias("words"))
-                      for name, parts in listed])
-    every = F.array(*map(F.lit, sorted({w for _, parts in listed for w in parts})))
-    return F.transform(
-        F.array(F.array_intersect(words, every)),  # so that it is computed once, not for each term
-        lambda known: F.transform(F.filter(table, lambda t: F.size(F.array_except(t["words"], known)) == 0),
-                                  lambda t: t["name"]))[0]
+def _listed(terms: dict[str, str]) -> list[tuple[str, list[str]]]:
+    """The names in order with the words of their terms. Terms without a word are never held."""
+    split = [(name, sorted(set(re.findall(r"[^\W_]+", term.lower())))) for name, term in sorted(terms.items())]
+    return [(name, parts) for name, parts in split if parts]
+
+
+def _held(words: Column, country_terms: dict[str, str], subjects: list[str] | None) -> Column:
+    """struct<countries, subjects>: the names of the terms all of whose words are among ``words``; no countries where
+    subjects are asked for and none is held."""
+    countries, wanted = _listed(country_terms), _listed({s: s for s in subjects or []})
+    every = sorted({w for _, parts in countries + wanted for w in parts})
+
+    def names(listed: list[tuple[str, list[str]]], known: Column) -> Column:
+        if not listed:
+            return F.array().cast("array<string>")
+        table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, parts)).alias("words"))
+                          for name, parts in listed])
+        held = F.filter(table, lambda t: F.size(F.array_except(t["words"], known)) == 0)
+        return F.transform(held, lambda t: t["name"])
+
+    def both(found: Column) -> Column:
+        held = F.when(F.lit(subjects is None) | (F.size(found["subjects"]) > 0), found["countries"])
+        return F.struct(held.alias("countries"), found["subjects"].alias("subjects"))
+
+    # arrays of one element, so that the words are looked at once, and not for each term or each use of what was found
+    known = F.array(F.array_intersect(words, F.array(*map(F.lit, every)).cast("array<string>")))
+    found = F.transform(known, lambda k: F.struct(names(countries, k).alias("countries"), names(wanted, k).alias("subjects")))
+    return F.transform(found, both)[0]
 
 
 #: Up to so many terms are matched within a row, as literals of the plan; more are a table that words are joined with.
@@ -94,12 +109,12 @@ def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str
     if len(country_terms) + len(subjects or []) > INLINE_TERMS:
         found = _pairs_by_join(df, country_terms, subjects, by, text)
     else:
-        words = title_words(F.col(text))
-        found = df.withColumn("__countries", _held(words, country_terms)).withColumn(
-            "subjects", _held(words, {s: s for s in subjects or []})).where(F.size("__countries") > 0)
-        if subjects is not None:
-            found = found.where(F.size("subjects") > 0)
-    return (found.withColumn("target_country", F.explode("__countries"))
+        held = df.withColumn("__held", _held(title_words(F.col(text)), country_terms, subjects))
+        others = [c for c in df.columns if c != "subjects"]
+        found = held.select(*others, F.col("__held.subjects").alias("subjects"),
+                            F.col("__held.countries").alias("__countries"))
+    # The outer form, and a condition on what it gives: Spark would evaluate one on the arrays a second time before it.
+    return (found.withColumn("target_country", F.explode_outer("__countries")).where("target_country IS NOT NULL")
             .drop("__countries").withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
 
 
