@@ -88,9 +88,9 @@ def stars(classes: DataFrame) -> DataFrame:
     return materialise(kept.join(hubs, "list").select("hub", "cls", "n_shingles").distinct(), "stars")
 
 
-def _solved(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, component) and ``more`` of every row."""
-    every = materialise(setjoin.signed(docs, JOIN, more), "signed")
+def _solved(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, component) of every row."""
+    every = materialise(setjoin.signed(docs, JOIN), "signed")
     classes = setjoin.classes_of(every)
     return setjoin.resolved(every, classes, setjoin.links(docs, classes, stars(classes), JOIN))
 
@@ -103,5 +103,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each component, with the columns they came with: the row with the smallest id, of
-    several with that id one; rows without shingles stay. Nothing is kept or dropped by id."""
-    return setjoin.keep_first(docs, id_col, text_col, lambda named: _solved(named, ("row",)))
+    several with that id one; rows without shingles stay. Nothing is kept or dropped by the id alone."""
+    return setjoin.keep_first(docs, id_col, text_col, _solved)

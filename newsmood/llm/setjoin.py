@@ -14,14 +14,14 @@ tasks where these are many, in batches of bounded bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsmood.llm.common import free_name, id_and_text, map_batches, values, with_ids, worker_cache
+from newsmood.llm.common import free_name, id_and_text, map_batches, values, worker_cache
 from newsmood.llm.components import components
 from newsmood.sources.shared import materialise
 
@@ -97,9 +97,9 @@ class SetJoin:
         raise NotImplementedError
 
 
-def signed(docs: DataFrame, join: SetJoin, more: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set_key, payload) and the columns ``more`` of whole numbers; set_key and payload are
-    null without shingles. text_key, a hash of the text, helps to find a row again."""
+def signed(docs: DataFrame, join: SetJoin) -> DataFrame:
+    """(doc_id, text_key, n_shingles, set_key, payload); set_key and payload are null without shingles. text_key, a hash of
+    the text, helps to find a row again."""
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, keys, posts = [], [], []
@@ -111,19 +111,17 @@ def signed(docs: DataFrame, join: SetJoin, more: tuple[str, ...] = ()) -> DataFr
             kind = pa.int64() if "bigint" in join.payload else pa.int32()
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(posts, pa.list_(kind)), *batch.columns[3:]],
-                ["doc_id", "text_key", "n_shingles", "set_key", "payload", *more])
+                 pa.array(posts, pa.list_(kind))],
+                ["doc_id", "text_key", "n_shingles", "set_key", "payload"])
 
         return each
 
-    schema = ", ".join(["doc_id long", "text_key long", "n_shingles long", "set_key binary",
-                        f"payload {join.payload}", *(f"{c} long" for c in more)])
-    return map_batches(_texts(docs, more), make, schema)
+    return map_batches(_texts(docs), make, "doc_id long, text_key long, n_shingles long, set_key binary, "
+                                           f"payload {join.payload}")
 
 
-def _texts(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    texts = id_and_text(docs, more=more)
-    return texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"), *more)
+def _texts(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
 
 def classes_of(every: DataFrame) -> DataFrame:
@@ -325,14 +323,29 @@ def resolved(every: DataFrame, classes: DataFrame, found: DataFrame) -> DataFram
     return some.unionByName(none)
 
 
-def keep_first(docs: DataFrame, id_col: str, text_col: str, solve) -> DataFrame:
-    """The rows that stay: of each component the one with the smallest id, of several such rows the first stored, and
-    every row without shingles; with the columns they came with. ``solve(named)`` gives (doc_id, row, component)."""
-    row = free_name(docs, "row_key")
-    stored = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "to-join")
-    named = stored.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(row).alias("row"))
-    rows = materialise(solve(named), "solved")
-    first = (rows.where("component IS NOT NULL").groupBy("component")
-             .agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
-             .select("first.row"))
-    return with_ids(stored, first.unionByName(rows.where("component IS NULL").select("row")), row).select(*docs.columns)
+def keep_first(docs: DataFrame, id_col: str, text_col: str, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that stay: of each component one with the smallest id, and every row without shingles; with the columns
+    they came with. ``solve(named)`` gives (doc_id, text_key, component) of every row.
+
+    A row is known by its id and a hash of its text together, so ids may repeat with other texts or be null. Of rows that
+    are equal in both one stays.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = solve(named).where("component IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    alike = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+    id_key, text_key = free_name(docs, "stays_id"), free_name(docs, "stays_text")
+    winners = first.select(F.col("first.doc_id").alias(id_key), F.col("first.text_key").alias(text_key))
+    winners = materialise(winners.join(
+        alike, F.col(id_key).eqNullSafe(F.col("doc_id")) & (F.col(text_key) == F.col("text_key")))
+        .select(id_key, text_key, "rows"), "winners")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    is_winner = F.col(id_col).cast("long").eqNullSafe(F.col(id_key)) & (F.xxhash64(text) == F.col(text_key))
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) == ""
+    spoken = docs.where(~bare)
+    kept = docs.where(bare).unionByName(spoken.join(winners.where("rows = 1").drop("rows"), is_winner, "left_semi"))
+    repeated = winners.where("rows > 1").drop("rows")
+    if repeated.isEmpty():
+        return kept
+    one = spoken.join(repeated, is_winner).dropDuplicates([id_key, text_key]).select(*docs.columns)
+    return kept.unionByName(one)
