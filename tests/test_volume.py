@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,15 @@ def test_rank_files_carry_the_code(spark, tmp_path):
     writers.write_ranks(ranks, str(tmp_path / "ranks"))
     got = sorted(map(tuple, readers.read_ranks(spark, str(tmp_path / "ranks")).collect()))
     assert got == [("a.x", "US", 2.0), ("b.x", "US", 1.0), ("c.x", "IN", 1.0)]
+
+
+def test_an_array_file_is_written_by_batches_not_by_rows(spark, tmp_path):
+    frames = [pd.DataFrame({"value": [f'{{"domain":"d{i}"}}' for i in part]}) for part in (range(3), (), range(3, 1_000))]
+    lines = list(fx.array_lines()(iter(frames)))
+    assert [len(f) for f in lines] == [3, 997, 1]
+    assert [r["domain"] for r in json.loads("".join(v for f in lines for v in f["value"]))] == [f"d{i}" for i in range(1_000)]
+    rows = spark.range(5_000).select(F.format_string('{"}%d', "id").alias("domain"), F.lit("01").alias("countrycode"), F.col("id").alias("cnt"))
+    fx.array_file(rows, str(tmp_path / "array"))
+    assert len([p for p in (tmp_path / "array").iterdir() if p.name.startswith("part-")]) == 1
+    got = readers.read_json_array(spark, str(tmp_path / "array"), schemas.MENTION_COUNT).collect()
+    assert sorted((r.cnt, r.domain) for r in got) == [(i, f'{{"}}{i}') for i in range(5_000)]

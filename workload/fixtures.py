@@ -81,20 +81,28 @@ def payloads(rows: DataFrame) -> DataFrame:
             .select(F.to_json(F.struct(F.transform("rows", lambda r: r["a"]).alias("articles"))).alias("value")))
 
 
-def array_file(rows: DataFrame, path: str) -> None:
-    """Rows as one JSON array in one file, which one task writes."""
+def array_lines():
+    """The lines of a JSON array out of batches of its objects, a frame for a batch."""
     def run(batches):
         import pandas as pd
 
         opening = "["
         for batch in batches:
-            for value in batch["value"]:
-                yield pd.DataFrame({"value": [opening + value]})
+            if len(batch):
+                values = "," + batch["value"]
+                values.iloc[0] = opening + values.iloc[0][1:]
                 opening = ","
+                yield values.to_frame()
         yield pd.DataFrame({"value": ["]"]})
 
-    (rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).coalesce(1).mapInPandas(run, "value string")
-     .write.text(path))
+    return run
+
+
+def array_file(rows: DataFrame, path: str) -> None:
+    """Rows as one JSON array in one file. One task writes it, batch by batch; the rows come to it as text, so that what
+    they are made of is computed by as many tasks as otherwise."""
+    (rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).repartition(1)
+     .mapInPandas(array_lines(), "value string").write.text(path))
 
 
 def make_scorer():
