@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsmood import schemas
 from newsmood.operators import models, outlets, translation
+from newsmood.operators.lexicon import lexicon_score
 from newsmood.operators.skew import positions_by_range
 from newsmood.plans import deltas, ingest
 from newsmood.sources import readers, writers
@@ -298,3 +299,30 @@ def test_an_array_file_is_written_by_batches_not_by_rows(spark, tmp_path):
     assert len([p for p in (tmp_path / "array").iterdir() if p.name.startswith("part-")]) == 1
     got = readers.read_json_array(spark, str(tmp_path / "array"), schemas.MENTION_COUNT).collect()
     assert sorted((r.cnt, r.domain) for r in got) == [(i, f'{{"}}{i}') for i in range(5_000)]
+
+
+def test_phrases_as_a_table_travel_alone_and_score_as_a_dictionary(spark):
+    words = ["good", "bad", "the", "a1", "b2", "c3"]
+    rng = random.Random(5)
+    said = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = [(i % 50, t) for i, t in enumerate(said)] + [(7, said[7]), (None, said[3]), (None, said[3]), (80, None), (81, "")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    lexicon = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "token string, valence double")
+    pairs = [f"{a} {b}" for a in words for b in words]
+    phrases = {p: (len(p) * i) % 7 - 3.0 for i, p in enumerate([p for p in pairs if rng.random() < 0.2]
+                                                               + [f"{p} {w}" for p in pairs for w in words if rng.random() < 0.2])}
+    table = spark.createDataFrame([*phrases.items(), *[(p, v - 1) for p, v in phrases.items()], (None, 1.0), ("good bad a1 the", 3.0),
+                                   ("good", 2.0), *[(p, None) for p in pairs]], "phrase string, value double")
+    by_table = lexicon_score(texts, lexicon, "text", ["id"], table)
+    listed = lexicon_score(texts, lexicon, "text", ["id"], phrases)
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert order(by_table) == order(listed) != order(lexicon_score(texts, lexicon, "text", ["id"]))
+
+    def kinds(node):
+        yield from (node.output().apply(i).dataType().typeName() for i in range(node.output().size()))
+        for i in range(node.children().size()):
+            yield from kinds(node.children().apply(i))
+
+    # all that goes on after a phrase would otherwise travel with every word that stands before it
+    for df in (by_table, listed):
+        assert "map" not in set(kinds(df._jdf.queryExecution().optimizedPlan()))
