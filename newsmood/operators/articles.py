@@ -96,15 +96,21 @@ def _held(words: Column, country_terms: dict[str, str], subjects: list[str] | No
 INLINE_TERMS = 1_000
 
 
+def text_digest(text: Column) -> Column:
+    """The 32 bytes that a text is known by where it does not travel itself."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None, by: list[str],
-                text: str = "title", source: str = "source_country") -> DataFrame:
+                text: str = "title", source: str = "source_country", once: bool = False) -> DataFrame:
     """(article, target country) pairs for the countries a text names, with the scope of each pair.
 
     ``country_terms`` maps a country to the term that names it; ``by`` are columns that tell copies of a text apart.
     Every row is matched by its own text, also where ``by`` repeats or is null. With ``subjects`` a text must hold one
     of them as well; those it holds are in ``subjects``, in order. Only the countries found are exploded, so there is
     never a product of articles and countries. Within ``INLINE_TERMS`` no text leaves its task, and the same plan works
-    on a stream; the rows are the same either way.
+    on a stream; the rows are the same either way. With ``once`` the text stays with the first of an article's countries
+    and is null in its other pairs; which country that is depends on the text alone.
     """
     if len(country_terms) + len(subjects or []) > INLINE_TERMS:
         found = _pairs_by_join(df, country_terms, subjects, by, text)
@@ -114,8 +120,13 @@ def scope_pairs(df: DataFrame, country_terms: dict[str, str], subjects: list[str
         found = held.select(*others, F.col("__held.subjects").alias("subjects"),
                             F.col("__held.countries").alias("__countries"))
     # The outer form, and a condition on what it gives: Spark would evaluate one on the arrays a second time before it.
-    return (found.withColumn("target_country", F.explode_outer("__countries")).where("target_country IS NOT NULL")
-            .drop("__countries").withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
+    if once:
+        pairs = found.select("*", F.posexplode_outer("__countries").alias("__at", "target_country"))
+        pairs = pairs.withColumn(text, F.when(F.col("__at") == 0, F.col(text))).drop("__at")
+    else:
+        pairs = found.withColumn("target_country", F.explode_outer("__countries"))
+    return (pairs.where("target_country IS NOT NULL").drop("__countries")
+            .withColumn("scope", scope_of(F.col(source), F.col("target_country"))))
 
 
 def _pairs_by_join(df: DataFrame, country_terms: dict[str, str], subjects: list[str] | None, by: list[str],

@@ -1,7 +1,7 @@
 """The load as a stream: articles as they land -> titles of closed slots -> scored headlines.
 
 One stateful step holds, for every (country, scope, slot, title), the article seen first until the watermark has passed
-the end of the slot; then the slot's titles leave the state together and are never seen again. So a micro-batch holds
+the end of the slot, and the text of a title with the first of its countries only; then the slot's titles leave the state together and are never seen again. So a micro-batch holds
 closed slots whole, and what is decided for a slot as a whole - whether a group has a relevant article, whether both
 scopes are there, the position of a title - is decided by the same operators as in the batch load, on its rows alone.
 Rows later than the watermark are left out by Spark and counted (``slots.late_rows``).
@@ -18,15 +18,15 @@ from pyspark.sql.streaming import StreamingQuery
 from newsmood import schemas
 from newsmood.constants import SLOT_HOURS, SUBJECTS
 from newsmood.functions.timing import from_instant
-from newsmood.operators.articles import scope_pairs
+from newsmood.operators.articles import scope_pairs, text_digest
 from newsmood.plans import ingest
 from newsmood.sources.readers import article_rows
 from newsmood.sources.shared import materialise
-from newsmood.sources.writers import append_missing
+from newsmood.sources.writers import only_new, touched
 from newsmood.streaming.slots import with_watermark
 
 CARRIED = ["title", "domain", "language", "source_country", "subjects"]
-HEADLINE = ["target_country", "slot", "scope", "title", "model"]
+HEADLINE = ["target_country", "slot", "scope", "digest", "model"]
 
 
 def read_articles(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -40,12 +40,14 @@ def read_articles(spark: SparkSession, path: str, files_per_trigger: int | None
 def closed_titles(articles: DataFrame, country_terms: dict[str, str], delay: str, subjects: list[str] | None = SUBJECTS,
                   hours: int = SLOT_HOURS) -> DataFrame:
     """The different titles of each (country, scope, slot) once the slot is closed: of equal ones that seen first, then
-    that of the smaller url."""
-    pairs = with_watermark(scope_pairs(articles, country_terms, subjects, by=["url"]), "seen", delay)
+    that of the smaller url. As in ``ingest.first_articles``, titles are known by ``digest`` and stand beside the first of
+    their countries. A slot leaves the state whole, so the text comes with the other countries' rows."""
+    known = articles.withColumn("digest", text_digest(F.col("title")))
+    pairs = with_watermark(scope_pairs(known, country_terms, subjects, by=["url"], once=True), "seen", delay)
     first = F.min(F.struct("seen", "url", *CARRIED)).alias("a")
     found = pairs.groupBy(F.window("instant", f"{hours} hours").alias("w"), "target_country", "scope",
-                          F.sha2("title", 256).alias("digest")).agg(first)
-    return found.select("target_country", "scope", from_instant(F.col("w.start")).alias("slot"), "a.seen", "a.url",
+                          "digest").agg(first)
+    return found.select("target_country", "scope", from_instant(F.col("w.start")).alias("slot"), "digest", "a.seen", "a.url",
                         *[f"a.{c}" for c in CARRIED])
 
 
@@ -58,13 +60,17 @@ def start_load(titles: DataFrame, path: str, checkpoint: str, codes: DataFrame,
     model).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = materialise(batch, "closed")
-        if batch.isEmpty():
+        unique = materialise(batch, "closed")
+        if unique.isEmpty():
             return
-        flagged = materialise(ingest.with_flags(batch, codes, relevant), "flagged")
-        chosen = materialise(ingest.select_titles(flagged, translations, english=english), "titles")
-        ranked = materialise(ingest.rank_titles(chosen), "ranked")
-        append_missing(ingest.score_titles(ranked, lexicon, make_scorer), path, HEADLINE)
+        ranked, texts = ingest.place_titles(unique, codes, relevant, translations, english=english)
+        scored = ingest.score_titles(ranked, texts, lexicon, make_scorer)
+        empty = ingest.with_texts(scored, texts).limit(0)  # the table is there, also for the first batch
+        empty.write.mode("append").partitionBy("day").parquet(path)
+        stored = touched(ranked.withColumn("day", F.to_date("slot")), batch.sparkSession.read.schema(empty.schema).parquet(path), "day")
+        # What is stored is compared by digest too, so no title is shuffled for it.
+        new = only_new(scored, stored.withColumn("digest", text_digest(F.col("title"))), HEADLINE)
+        ingest.with_texts(new, texts).write.mode("append").partitionBy("day").parquet(path)
 
     return (titles.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(write).start())

@@ -189,3 +189,54 @@ def test_load_with_both_models(spark):
     by_model = {r["model"]: r["count"] for r in fact.groupBy("model").count().collect()}
     assert by_model == {LEXICON: 5, CLASSIFIER: 5}
     assert ingest.count_labels(fact).where(F.col("model") == CLASSIFIER).agg(F.sum("positive")).first()[0] == 5
+
+
+def _recorded(monkeypatch):
+    """The tables the load stores, by label."""
+    stored, store = {}, ingest.materialise
+    monkeypatch.setattr(ingest, "materialise", lambda df, label: stored.setdefault(label, []).append(store(df, label)) or stored[label][-1])
+    return stored
+
+
+def test_a_title_travels_once(spark, monkeypatch):
+    """Titles that name three countries, landed twice and by two sites: stored once, and no table of pairs holds them."""
+    stored = _recorded(monkeypatch)
+    names = ["Chad", "India", "Mali"]
+    rows = [(f"u{i}{site}", f"Chad India Mali trade {i % 20} good", f"2025-01-01 00:{i % 60:02d}:00", "a.in", "English", site)
+            for i in range(40) for site in ("Chad", "India", "Mali")] * 2
+    articles = spark.createDataFrame(
+        rows, "url string, title string, t string, domain string, language string, source_country string") \
+        .withColumn("seen", F.col("t").cast("timestamp_ntz")).drop("t")
+    fact = ingest.load(articles, {n: n for n in names}, spark.createDataFrame([(n, n) for n in names], "name string, code string"),
+                       spark.createDataFrame([("a.in", names)], "domain string, codes array<string>"),
+                       lexicon=spark.createDataFrame([("good", 1.9)], "token string, valence double"), subjects=["Trade"])
+    got = fact.collect()
+    assert len(got) == 20 * 3 * 2  # every title for every country, from there and from abroad
+    assert {(r.title, round(r.compound, 4)) for r in got} == {(f"Chad India Mali trade {i} good", 0.4404) for i in range(20)}
+    texts = [t.where(F.col("title").isNotNull()).count() for tables in stored.values() for t in tables if "title" in t.columns]
+    assert max(texts) == 20 * 2  # of the first country only, from there and from abroad
+    assert all("title" not in t.columns for label in ("flagged", "titles", "ranked") for t in stored[label])
+
+
+def test_load_with_a_translator(spark):
+    """A translator is asked for each title of a language once, also for articles without a language; failures drop out."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def translate(language, titles):
+        asked.add(len(titles))
+        return [None if "fehlt" in t else f"{t} great" for t in titles]
+
+    rows = [(f"u{i}", title, "2025-01-01 00:05:00", "b.us", language, source) for i, (title, language, source) in enumerate([
+        ("India handel", "German", "US"), ("India handel", "German", "India"), ("India handel fehlt", "German", "US"),
+        ("India handel eins", None, "US"), ("India economy", "English", "India")])]
+    articles = spark.createDataFrame(
+        rows, "url string, title string, t string, domain string, language string, source_country string") \
+        .withColumn("seen", F.col("t").cast("timestamp_ntz")).drop("t")
+    fact = ingest.load(articles, {"India": "India"}, spark.createDataFrame([("India", "IN")], "name string, code string"),
+                       spark.createDataFrame([("b.us", ["IN", "US"])], "domain string, codes array<string>"),
+                       lexicon=spark.createDataFrame([("great", 3.1)], "token string, valence double"),
+                       translator=translate, subjects=["Economy", "Handel"])
+    assert sorted((r.scope, r.title) for r in fact.collect()) == [
+        (INTERNATIONAL, "India handel eins great"), (INTERNATIONAL, "India handel great"),
+        (NATIONAL, "India economy"), (NATIONAL, "India handel great")]
+    assert asked.value == 3
