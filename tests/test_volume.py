@@ -192,6 +192,33 @@ def test_state_falls_when_slots_close(spark, tmp_path):
     assert (held, late) == (1, 1)
 
 
+def test_state_holds_a_title_once(spark, tmp_path, monkeypatch):
+    """A title that names three countries is in the state, and in the batch that leaves it, with the first of them only."""
+    stored, store = [], stream_load.materialise
+    monkeypatch.setattr(stream_load, "materialise", lambda df, label: stored.append(store(df, label)) or stored[-1])
+    articles = [{"url": f"u{n}", "title": f"Chad India Mali trade {n % 2}", "seendate": "20250101T010000Z", "domain": "d",
+                 "language": "English", "sourcecountry": c} for n, c in enumerate(["Chad", "Chad", "India", "India"])]
+    articles.append({**articles[0], "title": "nothing", "seendate": "20250101T091500Z"})
+    late = {**articles[0], "url": "v", "title": "Mali trade", "seendate": "20250101T091500Z"}
+    lines = [(json.dumps({"articles": a}),) for a in (articles, [late])]
+    for _ in range(2):
+        spark.createDataFrame(lines, "value string").write.mode("append").text(str(tmp_path / "landed"))
+    names = ["Chad", "India", "Mali"]
+    titles = stream_load.closed_titles(stream_load.read_articles(spark, str(tmp_path / "landed")), {n: n for n in names},
+                                       "1 hour", ["trade"])
+    stream_load.start_load(
+        titles, str(tmp_path / "fact"), str(tmp_path / "cp"), spark.createDataFrame([(n, n) for n in names], "name string, code string"),
+        spark.createDataFrame([("d", names)], "domain string, codes array<string>"),
+        spark.createDataFrame([("good", 1.9)], "token string, valence double")).awaitTermination()
+    closed = [r for batch in stored for r in batch.collect()]
+    assert len(closed) == 2 * 5  # Chad and India from there and from abroad, Mali from abroad
+    assert {(r.target_country, r.title) for r in closed if r.title is not None} == {
+        ("Chad", f"Chad India Mali trade {n}") for n in range(2)}
+    fact = readers.read_fact(spark, str(tmp_path / "fact")).collect()
+    assert sorted((r.target_country, r.title) for r in fact) == sorted(
+        (c, f"Chad India Mali trade {n}") for c in ("Chad", "Chad", "India", "India") for n in range(2))
+
+
 def test_clustered_table_is_joined_without_an_exchange(spark):
     rows = spark.range(5_000).select((F.col("id") % 50).cast("string").alias("c"), (F.col("id") % 7).alias("s"), "id")
     writers.save_clustered(rows, "clustered_test", ["c", "s"], 4)

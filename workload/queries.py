@@ -333,9 +333,11 @@ def _fact(rows: DataFrame) -> DataFrame:
 def load_scored(spark: SparkSession, sf: str) -> DataFrame:
     """The whole load over documents that have landed twice, with translations, a lexicon and a classifier."""
     path = fresh_path(spark, "landed")
-    for _ in range(2):
-        fx.payloads(fx.articles(spark, sf)).write.mode("append").text(path)
-    fact = ingest.load(readers.read_articles(spark, path), fx.COUNTRY_TERMS, fx.codes(spark, sf), fx.relevant(spark, sf),
+    fx.payloads(fx.articles(spark, sf)).write.text(path)
+    spark.read.text(path).write.mode("append").text(path)  # the payloads are put together once
+    # stored, so that its size is known when the join is planned
+    relevant = materialise(fx.relevant(spark, sf), "relevant")
+    fact = ingest.load(readers.read_articles(spark, path), fx.COUNTRY_TERMS, fx.codes(spark, sf), relevant,
                        lexicon=fx.lexicon(spark), make_scorer=fx.make_scorer, translations=fx.translations(spark, sf),
                        subjects=fx.SUBJECTS, english=fx.ENGLISH)
     return _fact(fact)
@@ -348,12 +350,13 @@ def stream_load(spark: SparkSession, sf: str) -> DataFrame:
     relevant = materialise(fx.relevant(spark, sf), "relevant")
     translations = materialise(fx.translations(spark, sf), "translations")
     rows = fx.articles(spark, sf)
-    for first in ("2025-01-01 00:00:00", "2025-01-01 08:00:00", "2025-01-01 16:00:00"):
+    for n, first in enumerate(("2025-01-01 00:00:00", "2025-01-01 08:00:00", "2025-01-01 16:00:00")):
         slot = F.col("slot")
         landing = rows.where((slot >= timing.ntz(first)) & (slot < timing.shift_hours(timing.ntz(first), 8)))
-        for _ in range(2):
-            fx.payloads(landing).write.mode("append").text(f"{path}/landed")
-        titles = stream_plan.closed_titles(stream_plan.read_articles(spark, f"{path}/landed"), fx.COUNTRY_TERMS, "1 hour",
+        landed = f"{path}/landed/{n}"
+        fx.payloads(landing).write.text(landed)
+        spark.read.text(landed).write.mode("append").text(landed)  # the payloads are put together once
+        titles = stream_plan.closed_titles(stream_plan.read_articles(spark, f"{path}/landed/*"), fx.COUNTRY_TERMS, "1 hour",
                                            fx.SUBJECTS)
         stream_plan.start_load(titles, f"{path}/fact", f"{path}/checkpoint", codes, relevant, lexicon, fx.make_scorer,
                                translations, fx.ENGLISH).awaitTermination()
