@@ -71,10 +71,11 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
             .select("o.*"))
 
 
-def read_marked(spark: SparkSession, path: str, mark: str) -> DataFrame:
+def read_marked(spark: SparkSession, path: str, mark: str, nested: bool = False) -> DataFrame:
     """(file, number, value): what stands between the marks of each file, numbered from 0. The mark is the reader's line
-    separator, so a file is split over tasks, however large it is; the numbers are carried over its splits."""
-    pieces = spark.read.option("lineSep", mark).text(path).select(
+    separator, so a file is split over tasks, however large it is; the numbers are carried over its splits. ``nested`` reads
+    the folders within the path as well."""
+    pieces = spark.read.option("lineSep", mark).option("recursiveFileLookup", nested).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value")
     return _carried(materialise(pieces, "pieces").withColumn("one", F.lit(1)), "one").select(
@@ -126,9 +127,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("token").isNotNull() & F.col("valence").isNotNull())
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Scraped pages, one file each, as (path, text); a page stored as a JSON string is unquoted."""
-    pages = spark.read.text(path, wholetext=True)
+def read_pages(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
+    """Scraped pages, one file each, as (path, text); a page stored as a JSON string is unquoted. ``nested`` reads the
+    folders within the path as well: names of the form key=value are then no columns that the driver has to collect."""
+    pages = spark.read.text(path, wholetext=True, recursiveFileLookup=nested)
     plain = F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v string")["v"]
     text = F.when(F.trim("value").startswith('"'), F.coalesce(plain, F.col("value"))).otherwise(F.col("value"))
     return pages.select(F.col("_metadata.file_path").alias("path"), text.alias("text"))

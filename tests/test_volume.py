@@ -239,6 +239,21 @@ def test_clustered_table_is_joined_without_an_exchange(spark):
     spark.sql("DROP TABLE clustered_test")
 
 
+def test_pages_are_put_in_place_by_folder(spark, monkeypatch):
+    """A file for each page, but few folders for the driver to move; the reader goes down into them."""
+    import glob
+    monkeypatch.setattr(queries, "PAGE_FOLDERS", 8)
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("page "), F.col("id")).alias("value"))
+    path = queries._pages_as_files(spark, pages)
+    folders = [f for f in glob.glob(path) if not f.endswith("_SUCCESS")]
+    assert 1 < len(folders) <= 8 and len(glob.glob(f"{path}/*/*.txt")) == 300
+    read = readers.read_pages(spark, path, nested=True)
+    assert sorted((r.path.split("page_id=")[1].split("/")[0], r.text.strip()) for r in read.collect()) == sorted(
+        (str(i), f"page {i}") for i in range(300))
+    pieces = readers.read_marked(spark, path, "Media Outlet", nested=True)
+    assert sorted(r.value.strip() for r in pieces.collect()) == sorted(f"page {i}" for i in range(300))
+
+
 ODD = ['plain', 'br}ace', '{"a":[}', 'quo"te', 'back\\slash', 'end\\', '\\"}', '}{', '', 'new\nline', None, '][,']
 
 

@@ -713,13 +713,24 @@ def dimension_files(spark: SparkSession, sf: str) -> DataFrame:
                 F.col("lang").alias("name"), F.lit("language").alias("code"))))
 
 
+PAGE_FOLDERS = 256
+
+
+def _pages_as_files(spark: SparkSession, pages: DataFrame) -> str:
+    """(page_id, value) as one file for each page. A folder of pages is written by one task, so the driver puts folders in
+    their place and not each page, and a task lists a whole folder."""
+    path = fresh_path(spark, "pages")
+    (pages.withColumn("folder", F.pmod(F.xxhash64("page_id"), F.lit(PAGE_FOLDERS))).repartition(PAGE_FOLDERS, "folder")
+     .write.partitionBy("folder", "page_id").text(path))
+    return path + "/*"
+
+
 def page_files(spark: SparkSession, sf: str) -> DataFrame:
     """The crawled pages as one file each, some of them JSON strings, read again and their outlets extracted."""
-    path = fresh_path(spark, "pages")
     quoted = F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)")
-    (fx.outlet_pages(spark, sf).withColumn("value", F.when(F.col("page_id") % 2 == 0, quoted).otherwise(F.col("text")))
-     .select("page_id", "value").repartition("page_id").write.partitionBy("page_id").text(path))
-    pages = readers.read_pages(spark, f"{path}/*").withColumn(
+    path = _pages_as_files(spark, fx.outlet_pages(spark, sf).select(
+        "page_id", F.when(F.col("page_id") % 2 == 0, quoted).otherwise(F.col("text")).alias("value")))
+    pages = readers.read_pages(spark, path, nested=True).withColumn(
         "page_id", F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint"))
     return outlets.extract_outlets(pages, "text", ["page_id"]).withColumn("record", F.col("record").cast("bigint"))
 
