@@ -737,10 +737,8 @@ def page_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def outlet_files(spark: SparkSession, sf: str) -> DataFrame:
     """The pages as one file each, read piece by piece between the marks."""
-    path = fresh_path(spark, "pages")
-    (fx.outlet_pages(spark, sf).withColumnRenamed("text", "value").repartition("page_id")
-     .write.partitionBy("page_id").text(path))
-    found = outlets.extract_from_pieces(readers.read_marked(spark, f"{path}/*", OUTLET_MARK))
+    path = _pages_as_files(spark, fx.outlet_pages(spark, sf).withColumnRenamed("text", "value"))
+    found = outlets.extract_from_pieces(readers.read_marked(spark, path, OUTLET_MARK, nested=True))
     page = F.regexp_extract("file", r"page_id=(\d+)", 1).cast("bigint")
     return found.withColumn("page_id", page).drop("file").withColumn("record", F.col("record").cast("bigint"))
 
