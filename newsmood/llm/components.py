@@ -3,7 +3,8 @@
 Every node points to its smallest neighbour or itself; pointers are followed to their ends by doubling; edges are
 rewritten to the ends and those within one end are dropped. What a round makes is written to the shared folder, which
 cuts the lineage. No node's neighbours are gathered: the smallest comes from a map-side aggregate, and the joins on
-hot nodes are equi joins that Spark splits at run time.
+hot nodes are equi joins that Spark splits at run time. They are never broadcasts: Spark would go by the sizes of packed
+files of numbers, which are many times smaller than their rows on the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ def _followed(parent: DataFrame) -> DataFrame:
     """(node, top): pointers followed to the node that points to itself."""
     while True:
         up = parent.select(F.col("node").alias("top"), F.col("top").alias("above"))
-        parent = materialise(parent.join(up, "top").select(
+        parent = materialise(parent.hint("merge").join(up, "top").select(
             "node", F.col("above").alias("top"), (F.col("above") != F.col("top")).alias("moved")), "pointers")
         if parent.where("moved").isEmpty():
             return parent.select("node", "top")
@@ -37,10 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
         if whole is None:
             whole = tops
         else:
-            whole = (whole.join(tops.select(F.col("node").alias("top"), F.col("top").alias("above")), "top", "left")
+            above = tops.select(F.col("node").alias("top"), F.col("top").alias("above"))
+            whole = (whole.hint("merge").join(above, "top", "left")
                      .select("node", F.coalesce("above", "top").alias("top")))
         for end in ("a", "b"):
-            edges = (edges.join(tops.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("top", end))
+            edges = (edges.hint("merge").join(tops.withColumnRenamed("node", end), end).drop(end)
+                     .withColumnRenamed("top", end))
         edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                             .distinct(), "edges")
     return whole.select("node", F.col("top").alias("component"))

@@ -67,7 +67,8 @@ JOIN = MinHashJoin()
 def stars(classes: DataFrame) -> DataFrame:
     """(hub, cls, n_shingles) of all members of all groups, hubs among their own members.
 
-    ``classes``: cls, n_shingles, payload.
+    ``classes``: cls, n_shingles, payload. Spark takes a row for one posting and a stored table for the size of its packed
+    file, many times too small, so both joins say that they are no broadcasts.
     """
     posted = (classes.select("cls", "n_shingles", F.posexplode("payload").alias("at", "value"))
               .select("cls", "n_shingles",
@@ -75,7 +76,7 @@ def stars(classes: DataFrame) -> DataFrame:
                        + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("list")))
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # of the lists that a class shares with others, the longest MATCHES - 1 are skipped
-    shared = posted.join(lengths, "list").groupBy("cls", "n_shingles").agg(
+    shared = posted.hint("merge").join(lengths, "list").groupBy("cls", "n_shingles").agg(
         F.sort_array(F.collect_list(F.struct("n", "list"))).alias("lists"), F.sum("n").alias("meets"))
     kept = (shared.where(F.size("lists") >= MATCHES)
             .select("cls", "n_shingles", "meets",
@@ -85,7 +86,7 @@ def stars(classes: DataFrame) -> DataFrame:
     hubs = (kept.groupBy("list").agg(F.max(F.struct("meets", (-F.col("cls")).alias("first"))).alias("hub"),
                                      F.count(F.lit(1)).alias("n"))
             .where("n > 1").select("list", (-F.col("hub.first")).alias("hub")))
-    return materialise(kept.join(hubs, "list").select("hub", "cls", "n_shingles").distinct(), "stars")
+    return materialise(kept.hint("merge").join(hubs, "list").select("hub", "cls", "n_shingles").distinct(), "stars")
 
 
 def _solved(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsmood.llm import near_dedup, parity_join, setjoin
 from newsmood.llm.components import components
@@ -255,3 +256,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in top if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_postings_and_pointers_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """However small their files are: a posting is a row on the driver, of which a file says little."""
+    plans = []
+
+    def stored(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        df.write.parquet(path := str(tmp_path / f"{label}-{len(plans)}"))
+        return spark.read.parquet(path)
+
+    monkeypatch.setattr(near_dedup, "materialise", stored)
+    monkeypatch.setattr("newsmood.llm.components.materialise", stored)
+    classes = stored(spark.range(200).selectExpr(
+        "id AS cls", "10L AS n_shingles", "transform(sequence(1, 32), i -> cast(id DIV 4 * 32 + i AS int)) AS payload"), "classes")
+    stars = near_dedup.stars(classes)
+    assert stars.count() == 200 and {r.cls - r.hub for r in stars.collect()} == {0, 1, 2, 3}
+    found = components(stars.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+    assert {(r.node, r.component) for r in found.collect()} == {(i, i // 4 * 4) for i in range(200)}
+    joined = [plan for _, plan in plans if "Join" in plan]
+    assert len(joined) >= 4 and not [plan for plan in joined if "Broadcast" in plan]
