@@ -254,6 +254,33 @@ def test_pages_are_put_in_place_by_folder(spark, monkeypatch):
     assert sorted(r.value.strip() for r in pieces.collect()) == sorted(f"page {i}" for i in range(300))
 
 
+def test_pages_that_repeat_share_a_file(spark, monkeypatch):
+    """The files that Spark's writer makes, whatever the rows, but without sums of their own beside them."""
+    import glob
+    import os
+    monkeypatch.setattr(queries, "PAGE_FOLDERS", 4)
+    pages = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (None, "d"), (-3, "\u00e9\nf"), (2**62, "")],
+                                  "page_id long, value string")
+    path = queries._pages_as_files(spark, pages)
+    files = [os.path.join(at, f) for top in glob.glob(path) for at, _, names in os.walk(top) for f in names]
+    found = {}
+    for f in files:
+        with open(f, "rb") as opened:
+            found[f.split("page_id=")[1].split("/")[0]] = sorted(opened.read().split(b"\n"))
+    assert len(files) == 5 and all(f.endswith(".txt") for f in files)
+    assert found == {"1": [b"", b"a", b"b"], "2": [b"", b""], "__HIVE_DEFAULT_PARTITION__": [b"", b"d"],
+                     "-3": [b"", b"f", "\u00e9".encode()], str(2**62): [b"", b""]}
+
+
+def test_outlets_are_extracted_once(spark):
+    """Not again for the ranges of the sort."""
+    text = f" Media Outlet a.example Domain Authority 88{' x' * 90} Media Outlet b.example Domain Authority 91 "
+    found = outlets.extract_outlets(spark.createDataFrame([(1, text)], "page_id long, text string"), "text", ["page_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" in plan[plan.index("rangepartitioning"):]
+    assert [r.domain for r in found.collect()] == ["b.example", "a.example"]
+
+
 ODD = ['plain', 'br}ace', '{"a":[}', 'quo"te', 'back\\slash', 'end\\', '\\"}', '}{', '', 'new\nline', None, '][,']
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -718,10 +719,41 @@ PAGE_FOLDERS = 256
 
 def _pages_as_files(spark: SparkSession, pages: DataFrame) -> str:
     """(page_id, value) as one file for each page. A folder of pages is written by one task, so the driver puts folders in
-    their place and not each page, and a task lists a whole folder."""
+    their place and not each page, and a task lists a whole folder.
+
+    A store that is a shared folder of the machines is written by the tasks themselves: without its native library Hadoop
+    starts several processes for each file, to set the rights of the file, of its sums and of their folder. A file gets its
+    name when it is whole, so a task may run again. Other stores go through Spark's writer. The files are the same.
+    """
     path = fresh_path(spark, "pages")
-    (pages.withColumn("folder", F.pmod(F.xxhash64("page_id"), F.lit(PAGE_FOLDERS))).repartition(PAGE_FOLDERS, "folder")
-     .write.partitionBy("folder", "page_id").text(path))
+    dealt = pages.withColumn("folder", F.pmod(F.xxhash64("page_id"), F.lit(PAGE_FOLDERS))).repartition(PAGE_FOLDERS, "folder")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.makeQualified(folder).toUri().getScheme() != "file":
+        dealt.write.partitionBy("folder", "page_id").text(path)
+        return path + "/*"
+    top = store.makeQualified(folder).toUri().getPath()
+
+    def write(batches):
+        own, at, out = f".{uuid.uuid4().hex}", None, None
+        for batch in batches:
+            for folder, page, value in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (folder, page) != at:
+                    if out:
+                        out.close()
+                        os.replace(f"{into}/{own}", f"{into}/part-0.txt")
+                    at, into = (folder, page), f"{top}/folder={folder}/page_id={page}"
+                    os.makedirs(into, exist_ok=True)
+                    out = open(f"{into}/{own}", "wb")  # noqa: SIM115
+                out.write((value or b"") + b"\n")
+        if out:
+            out.close()
+            os.replace(f"{into}/{own}", f"{into}/part-0.txt")
+        yield from ()
+
+    named = F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("page")
+    rows = dealt.select("folder", named, F.col("value").cast("binary").alias("value")).sortWithinPartitions("folder", "page")
+    rows.mapInArrow(write, "folder long").write.format("noop").mode("overwrite").save()
     return path + "/*"
 
 
