@@ -111,7 +111,10 @@ def _outlets(rows: DataFrame, keys: list[str], min_authority: int, deny: list[st
         F.concat(value("Frequency", 1), value("Frequency", 2)).alias("freq_post"),
         value("Domain", 2).alias("domain_auth"))
     kept = enough_authority(found, min_authority, deny)
-    return kept.orderBy(F.col("domain_auth").try_cast("int").desc(), *keys, "record") if ordered else kept
+    if not ordered:
+        return kept
+    # Spark computes what it sorts twice, once to find the ranges: from the exchange on, and not from the pages
+    return kept.hint("rebalance").orderBy(F.col("domain_auth").try_cast("int").desc(), *keys, "record")
 
 
 def enough_authority(outlets: DataFrame, min_authority: int = MIN_AUTHORITY,
