@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsmood import schemas
 from newsmood.operators import models, outlets, translation
-from newsmood.operators.lexicon import lexicon_score
+from newsmood.operators.lexicon import lexicon_score, speakable, spoken_words
 from newsmood.operators.skew import positions_by_range
 from newsmood.plans import deltas, ingest
 from newsmood.sources import readers, shared, writers
@@ -405,3 +405,33 @@ def test_counters_keep_no_copy_of_the_payloads(spark, sf):
     assert counted["broken"] > 0
     labels = {p.rpartition("/")[2].rpartition("-")[0] for p in made[before:]}
     assert "flagged" in labels and "payloads" not in labels
+
+
+def test_phrases_that_cannot_be_spoken_are_not_shuffled(spark):
+    """Every phrase of spoken words may be sought; one with a short word, or one that loses a mark, never is."""
+    rng = random.Random(8)
+    raw = ["ab", "a", "-", "ab.", "'ab", "'ab'", "ab!!", "a.b", "\u00e9", "\u00e9t", "x-y,", "...", "!a", "?!?ab", "\U0001f600", "AB", "a\u00a0b"]
+    texts = spark.createDataFrame([(" ".join(rng.choices(raw, k=40)),) for _ in range(50)], "text string")
+    spoken = [r.w for r in texts.select(spoken_words(F.col("text")).alias("w")).collect()]
+    sought = {" ".join(w[i:i + n]) for w in spoken for n in (2, 3) for i in range(len(w) - n + 1)}
+    other = {"ab a", "ab ab.", "'ab ab", "ab \u00e9", "ab ab!! ab", "- ab", "ab \U0001f600", ""}
+    phrases = spark.createDataFrame([(p,) for p in sought | other], "phrase string")
+    kept = speakable(phrases.distinct().withColumn("value", F.lit(1.0)))
+    assert len(sought) > 200 and {r.phrase for r in kept.collect()} == sought
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RLIKE")
+
+
+def test_the_first_phrase_is_sought_before_the_others(spark):
+    """The longest phrase decides; a word without it goes on to the others, and one without any keeps its score."""
+    lexicon = spark.createDataFrame([("good", 2.0)], "token string, valence double")
+    text = "aa bb cc good dd ee"
+    texts = spark.createDataFrame([(0, text), (0, text), (1, "aa bb cc good dd ee ff"), (2, "aa bb cc good"), (3, "aa bb cc good xx ee"),
+                                   (4, "zz yy xx good ww vv")], "id long, text string")
+    phrases = {"good dd ee": -3.0, "cc good": 1.0, "aa bb": 0.5, "good xx": -1.0, "good dd": 3.0}
+    table = spark.createDataFrame([*phrases.items()], "phrase string, value double")
+    got = lexicon_score(texts, lexicon, "text", ["id"], table)
+    listed = lexicon_score(texts, lexicon, "text", ["id"], phrases)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.collect()))
+    assert {r.id: r.compound > 0 for r in got.collect()} == {0: False, 1: False, 2: True, 3: False, 4: True}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter, ((") == 2  # by the first, by the others
